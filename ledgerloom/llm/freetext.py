@@ -65,6 +65,12 @@ from (
         where k > 0 and abs(m - n) <= k))))
 """
 
+_VERIFIED = """
+select b.scope, b.key, b.trims, p.entity_id, p.key as ref_key, levenshtein(b.key, p.key, p.k) as d
+from probes b join pieces p on b.scope = p.scope and b.n = p.n and b.i = p.i and b.piece = p.piece
+where array_contains(b.trims, p.trim) and levenshtein(b.key, p.key, p.k) between 0 and p.k
+"""
+
 _CLOSEST = """
 with exact as (
   select t.scope, t.key, t.trims, min(r.entity_id) as low, max(r.entity_id) as high
@@ -74,10 +80,7 @@ left_over as (
   select t.* from {typed} t left anti join exact e on t.scope = e.scope and t.key = e.key and t.trims = e.trims),
 pieces as (@pieces),
 probes as (@probes),
-verified as (
-  select b.scope, b.key, b.trims, p.entity_id, levenshtein(b.key, p.key, p.k) as d
-  from probes b join pieces p on b.scope = p.scope and b.n = p.n and b.i = p.i and b.piece = p.piece
-  where array_contains(b.trims, p.trim) and levenshtein(b.key, p.key, p.k) between 0 and p.k),
+verified as (@verified),
 ranked as (
   select scope, key, trims, d, min(entity_id) as low, max(entity_id) as high from verified group by scope, key, trims, d),
 nearest as (
@@ -85,7 +88,11 @@ nearest as (
 select scope, key, trims, low as entity_id from exact where low = high
 union all
 select scope, key, trims, best.low from nearest where best.low = best.high
-""".replace("@pieces", _PIECES).replace("@probes", _PROBES.replace("{typed}", "left_over"))
+""".replace("@pieces", _PIECES).replace("@probes", _PROBES.replace("{typed}", "left_over")).replace("@verified", _VERIFIED)
+
+_NEAR = "with pieces as (@pieces), probes as (@probes), verified as (@verified) select distinct scope, key, ref_key, d from verified where key < ref_key".replace(
+    "@pieces", _PIECES
+).replace("@probes", _PROBES).replace("@verified", _VERIFIED)
 
 
 def closest(typed: DataFrame, refs: DataFrame) -> DataFrame:
@@ -99,6 +106,13 @@ def closest(typed: DataFrame, refs: DataFrame) -> DataFrame:
     return typed.sparkSession.sql(_CLOSEST, typed=cut(typed), refs=cut(refs))
 
 
+def near_keys(keys: DataFrame) -> DataFrame:
+    """All pairs of different keys of one scope within the allowed edits: ``scope, key, ref_key, d``; ``keys(scope, key)``."""
+    kept = cut(keys.where("key <> ''").distinct())
+    plain = F.lit("")
+    return keys.sparkSession.sql(_NEAR, typed=kept.withColumn("trims", F.array(plain)), refs=kept.select("scope", F.col("key").alias("entity_id"), "key", plain.alias("trim")))
+
+
 def _blank(x: Column) -> Column:
     return clean_token(x) == ""
 

@@ -5,9 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import freetext
+from ledgerloom.llm import freetext, survivor
 from ledgerloom.tables import table
 
+# -- p2: best representative of each duplicate group
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return survivor.duplicate_pairs(*[table(spark, d, t) for t in ("dim_model", "dim_brand", "dim_brand_alias")])
+
+
+def p2_survivors(spark: SparkSession, d: str) -> DataFrame:
+    return survivor.survivors(*[table(spark, d, t) for t in ("dim_model", "dim_brand", "dim_brand_alias", "source_trust")])
+
+
 # -- p5: mapping free-entered values to a canonical list
 
 
@@ -15,6 +26,6 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return freetext.resolve_rows(*[table(spark, d, t) for t in ("report_rows", "dim_brand", "dim_brand_alias", "dim_model", "dim_governorate", "dim_governorate_alias")])
 
 
-QUERIES = {"p5_found": p5_found}
+QUERIES = {"p2_found": p2_found, "p2_survivors": p2_survivors, "p5_found": p5_found}
 
 SQL: dict[str, str] = {}
