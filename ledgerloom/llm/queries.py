@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import freetext, survivor
+from ledgerloom.llm import freetext, leakage, survivor
 from ledgerloom.tables import table
 
 # -- p2: best representative of each duplicate group
@@ -26,6 +26,19 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return freetext.resolve_rows(*[table(spark, d, t) for t in ("report_rows", "dim_brand", "dim_brand_alias", "dim_model", "dim_governorate", "dim_governorate_alias")])
 
 
-QUERIES = {"p2_found": p2_found, "p2_survivors": p2_survivors, "p5_found": p5_found}
+# -- p7: evaluation texts leaking into training text
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p7_item_report(spark: SparkSession, d: str) -> DataFrame:
+    """For each leaked item the number of documents that hold it and the largest share of its body found in one."""
+    found = leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return found.groupBy("item_id").agg(F.count_distinct("doc_id").alias("n_documents"), F.max("coverage").alias("most_coverage"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_survivors": p2_survivors, "p5_found": p5_found, "p7_found": p7_found, "p7_item_report": p7_item_report}
 
 SQL: dict[str, str] = {}
