@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import freetext, leakage, survivor
+from ledgerloom.llm import freetext, leakage, packing, subjects, survivor
 from ledgerloom.tables import table
 
 # -- p2: best representative of each duplicate group
@@ -39,6 +39,38 @@ def p7_item_report(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count_distinct("doc_id").alias("n_documents"), F.max("coverage").alias("most_coverage"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_survivors": p2_survivors, "p5_found": p5_found, "p7_found": p7_found, "p7_item_report": p7_item_report}
+# -- p8: subject area of each document
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.assign(table(spark, d, "documents")).select("doc_id", "subject")
+
+
+def p8_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of each subject and their share of the corpus; a document of two subjects counts in both."""
+    documents = table(spark, d, "documents")
+    total = documents.agg(F.count(F.lit(1)).alias("n_all"))
+    counts = subjects.assign(documents).groupBy("subject").agg(F.count_distinct("doc_id").alias("n_documents"))
+    return counts.crossJoin(F.broadcast(total)).select("subject", "n_documents", (F.col("n_documents") / F.col("n_all")).alias("share"))
+
+
+# -- p6: filling fixed-capacity containers
+
+
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"))
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers, tokens and unused share of the whole packing."""
+    return packing.fill(p6_containers(spark, d))
+
+
+QUERIES = {"p2_found": p2_found, "p2_survivors": p2_survivors, "p5_found": p5_found, "p7_found": p7_found, "p7_item_report": p7_item_report,
+    "p8_found": p8_found,
+    "p8_composition": p8_composition,
+    "p6_containers": p6_containers,
+    "p6_fill": p6_fill,
+}
 
 SQL: dict[str, str] = {}
