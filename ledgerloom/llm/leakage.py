@@ -7,6 +7,10 @@ for each candidate the longest common runs are marked, longest first and never o
 by Karp-Rabin fingerprints of falling length. The tiles give the covered share of the item, in any order,
 and an exact check of order and of the share of changed words follows.
 
+What counts: a stretch of the body that begins and ends with equal words, holds at least 15 of them and at most one
+edit to four, and has 15 body words in a row with at most 3 edits (edits may not all crowd one spot). Words that were
+changed are not held, so a template sentence that shares 12 of 15 words with a body is no leak.
+
 Why no passage is lost: of 15 body words with at most 3 edits, the 13 triples keep at least 13 - 3 * 3 = 4.
 Triples that very many items share are left out of the index only as long as no 15-word window of any
 item loses more than two of them, so that two seeds are always left, and edits shift a diagonal by at most 3.
@@ -298,7 +302,7 @@ def _edit_steps(pattern: Sequence[int], text: Sequence[int]) -> list[tuple[int,
 
 
 def holds(pattern: Sequence[int], text: Sequence[int], found: Sequence[tuple[int, int, int]]) -> bool:
-    """Whether a stretch of at least 15 body words stands in order in the text with at most one word in five changed, added or left out."""
+    """Whether at least 15 body words stand in the text in their order, with at most one word in five of the stretch changed, added or left out."""
     chain = sorted(found, key=lambda t: t[1])
     # the heaviest chain of tiles whose places rise in both
     best: list[tuple[int, int]] = []
@@ -326,26 +330,30 @@ def holds(pattern: Sequence[int], text: Sequence[int], found: Sequence[tuple[int
         # loose words next to the ends of the chain may belong to the passage
         fi, fj, _ = line[0]
         li, lj, ln = line[-1]
-        lead = _edit_steps(pattern[max(0, fi - 6) : fi], text[max(0, fj - 6) : fj])
-        tail = _edit_steps(pattern[li + ln : li + ln + 6], text[lj + ln : lj + ln + 6])
-        if _passes(lead + steps + tail):
-            return True
+        if sum(n for _, _, n in line) + 24 < LEAST_WORDS:
+            continue
+        for near in ((6,), (4, 10, 14)):
+            shifts = (0,) if len(near) == 1 else (-3, -2, -1, 0, 1, 2, 3)
+            leads = {tuple(_edit_steps(pattern[max(0, fi - n) : fi], text[max(0, fj - n - x) : fj])) for n in near for x in shifts}
+            tails = {tuple(_edit_steps(pattern[li + ln : li + ln + n], text[lj + ln : lj + ln + n + x])) for n in near for x in shifts}
+            if any(_passes([*lead, *steps, *tail]) for lead in leads for tail in tails):
+                return True
     return False
 
 
 def _passes(steps: Iterable[tuple[int, int]]) -> bool:
-    """A run of steps with at least 15 body words and score (1 for an equal word, -4 for an edit) not below zero."""
-    score, taken = 0, 0
-    history = [(0, 0)]  # (body words before, score before)
+    """A run of steps with at least 15 equal words and one edit at most for every four of them."""
+    score = equals = 0
+    history = [(0, 0)]  # (equal words before, score before)
     lowest, passed = None, 0
-    for equal, word in steps:
+    for equal, _ in steps:
         score += 1 if equal else -(EDIT_SHARE - 1)
-        taken += word
-        history.append((taken, score))
-        while passed < len(history) and history[passed][0] <= taken - LEAST_WORDS:
+        equals += equal
+        history.append((equals, score))
+        while passed < len(history) and history[passed][0] <= equals - LEAST_WORDS:
             lowest = history[passed][1] if lowest is None else min(lowest, history[passed][1])
             passed += 1
-        if lowest is not None and score - lowest >= 0 and equal:
+        if lowest is not None and equal and score - lowest >= 0:
             return True
     return False
 

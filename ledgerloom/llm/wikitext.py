@@ -10,7 +10,7 @@ _REF = re.compile(r"<ref\b[^<>]*/>|<ref\b[^<>]*>.*?</ref\s*>", re.S | re.I)
 _QUOTE = re.compile(r"\{\{\s*(?:block|c)?quot(?:e|ation)\s*\|\s*(?:text\s*=|1\s*=)?", re.I)
 _QUOTE_END = re.compile(r"\|\s*(?:source|author|title|sign|2)\s*=[^{}|]*(?=\||\}\})", re.I)
 _PARAMETER = re.compile(r"\{\{\{[^{}]*\}\}\}")
-_TEMPLATE = re.compile(r"\{\{(?!\{)[^{}]*\}\}(?!\})")
+_TEMPLATE = re.compile(r"\{\{[^{}]*\}\}")
 _CATEGORY = re.compile(r"\[\[\s*:?(?:category|catégorie|kategorie|categoría|file|image|datei|fichier|archivo)\s*:[^\[\]]*\]\]", re.I)
 _LINK = re.compile(r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]")
 _TAG = re.compile(r"</?[a-zA-Z][^<>\n]*>")
