@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.session import cut
+
 PLACEHOLDERS = ("", "nan", "n/a", "na", "null", "none", "-", "--", "?", "??", "???", "unknown", "tbd")
 
 
@@ -85,7 +87,7 @@ def footers(lines: DataFrame, fields: Sequence[Field] = REPORT_FIELDS) -> DataFr
     counted = entries.select(*file, F.col("key").alias("header"), _json_kind(F.col("value")).alias("kind")).groupBy(*file, "header", "kind").agg(F.count(F.lit(1)).alias("n"))
     best = F.max(F.when(F.col("kind").isNotNull(), F.struct(F.col("n"), (-F.ascii("kind")).alias("o"), F.col("kind"))))["kind"]
     files = counted.groupBy(*file, "header").agg(best.alias("kind"))
-    return files.withColumn("field", F.when(F.col("header").isNotNull(), field_of(F.col("header"), fields)))
+    return cut(files.withColumn("field", F.when(F.col("header").isNotNull(), field_of(F.col("header"), fields))))
 
 
 def _ordered(catalogue: DataFrame) -> DataFrame:
