@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.session import cut
+
 BLOCKS_PER_OCTAVE = 32
 
 
@@ -83,7 +85,7 @@ def key_summary(df: DataFrame, key: str, value: str, decimals: int = 4) -> DataF
     over the finite values (NaN and infinities are left out of it); the median and the distinct count
     are over all non-null values with NaN as the largest; ties for the mode go to the smallest value.
     """
-    weighted = compress(df, [key], value)
+    weighted = cut(compress(df, [key], value))
     finite = ~F.isnan("_value") & (F.abs(F.col("_value")) < F.lit(float("inf")))
     amount = F.when(finite, F.col("_value").cast(f"decimal(28,{decimals})") * F.col("_n").cast("decimal(10,0)"))
     ranked = F.when(F.col("_value").isNotNull(), F.struct(F.col("_n").alias("n"), (-F.col("_value")).alias("v")))
@@ -105,6 +107,6 @@ def key_summary(df: DataFrame, key: str, value: str, decimals: int = 4) -> DataF
 
 def heavy_keys(df: DataFrame, key: str, value: str, share: float) -> DataFrame:
     """The non-null keys that hold more than ``share`` of all rows, from the compressed counts."""
-    counts = compress(df, [key], value).groupBy(key).agg(F.sum("_n").alias("_rows"))
+    counts = cut(compress(df, [key], value).groupBy(key).agg(F.sum("_n").alias("_rows")))
     total = counts.agg(F.sum("_rows").alias("_all"))
     return counts.crossJoin(F.broadcast(total)).where(F.col(key).isNotNull() & (F.col("_rows") > F.col("_all") * F.lit(share))).select(key)
