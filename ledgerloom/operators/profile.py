@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.operators.skew import compress, weighted_medians
+from ledgerloom.session import cut
 
 
 @dataclass(frozen=True)
@@ -40,13 +41,15 @@ def _metrics(df: DataFrame, columns: Sequence[str], checks: Sequence[Check]) ->
     for i, name in enumerate(columns):
         c = F.col(f"`{name}`")
         text = c.cast("string")
+        # NaN has its own count and no place in a range
+        ordered = F.when(~F.isnan(c), c) if types[name] in ("double", "float") else c
         broken = F.lit(False)
         for check in by_column.get(name, []):
             broken = broken | check.broken()
         out += [
             F.count_if(c.isNull()).alias(f"nulls_{i}"),
-            F.min(c).cast("string").alias(f"low_{i}"),
-            F.max(c).cast("string").alias(f"high_{i}"),
+            F.min(ordered).cast("string").alias(f"low_{i}"),
+            F.max(ordered).cast("string").alias(f"high_{i}"),
             F.count_if(broken).alias(f"broken_{i}"),
             F.hll_sketch_agg(F.when(c.isNotNull(), F.xxhash64(text))).alias(f"hll_{i}"),
         ]
@@ -134,7 +137,7 @@ def load_shifts(
         for name, (watched, number) in measures.items()
     ]
     long = df.select(F.col(f"`{partition}`").cast("string").alias("row_key"), F.explode(F.array(*entries)).alias("e")).where("row_key is not null")
-    states = compress(long.select("row_key", "e.*"), ["row_key", "column_name", "missing"], "number")
+    states = cut(compress(long.select("row_key", "e.*"), ["row_key", "column_name", "missing"], "number"))
     nulls = F.sum(F.when(F.col("missing"), F.col("_n")).otherwise(0)) / F.sum("_n")
     each = states.groupBy("row_key", "column_name").agg(nulls.alias("null_share"))
     each_median = weighted_medians(states, ["row_key", "column_name"])
