@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.similarity import ratio_udf
 from ledgerloom.functions.text import clean_token, normalize_text, simple_normalize
-from ledgerloom.operators import dimensions, reports, resolution
+from ledgerloom.operators import dimensions, provider, reports, resolution
 from ledgerloom.operators.sequences import numbered
 from ledgerloom.plans.pipeline import resolve_report
 from ledgerloom.sources import workbook
@@ -483,6 +483,67 @@ def candidate_union_priority(spark: SparkSession, d: str) -> DataFrame:
     return created.unionByName(existing).where("k <> ''").groupBy("k").agg(F.when(F.min("p") == 0, F.lit("created")).otherwise(F.lit("existing")).alias("source"))
 
 
+def _strip_sql(n: str, b: str) -> str:
+    return f"case when {s_sql(b)} <> '' and starts_with({s_sql(n)}, {s_sql(b)}) then trim(substring({s_sql(n)}, length({s_sql(b)}) + 1)) else {s_sql(n)} end"
+
+
+_ASKED = f"""select b.brand_id as scope, any_value(b.canonical_name) as brand_name, r.model as value, min(r.row_id) as ord
+  from report_rows r join (select canonical_name, min(brand_id) as brand_id from dim_brand group by 1) b on b.canonical_name = r.brand where {c_sql('r.model')} <> '' group by b.brand_id, r.model"""
+_MODEL_PAIRS = "(select scope, value, {n} as k from v where not regexp_matches({n}, '^\\p{{Nd}}+$')) v join (select brand_id as scope, model_id as entity_id, cast(substring(model_id, 3) as int) as ord, {a} as k from dim_model) a on v.scope = a.scope"
+
+
+def _asked_models(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct models asked for under a brand's canonical name, with the first row that asked."""
+    brands = table(spark, d, "dim_brand").groupBy("canonical_name").agg(F.min("brand_id").alias("scope"))
+    rows = table(spark, d, "report_rows").where(clean_token(F.col("model")) != "").join(brands, F.col("brand") == F.col("canonical_name"))
+    return rows.groupBy("scope", F.col("model").alias("value")).agg(F.first("canonical_name").alias("brand_name"), F.min("row_id").alias("ord"))
+
+
+@query(f"""with v0 as ({_ASKED}),
+e as (select v0.scope, value, min(model_id) as entity_id from v0 join dim_model m on m.brand_id = v0.scope and {n_sql('value')} <> '' and {n_sql('value')} = {n_sql('canonical_name')} group by v0.scope, value),
+v as (select scope, value from v0 where not exists (select 1 from e where e.scope = v0.scope and e.value = v0.value)),
+t as (select scope, value, min(entity_id) as entity_id from (
+  select *, min(d) over (partition by scope, value) as best from (
+    select v.scope, v.value, a.entity_id, {edits_sql('v.k', 'a.k')} as d
+    from {_MODEL_PAIRS.format(n=n_sql('value'), a=n_sql('canonical_name'))} and length(v.k) between 1 and 6 and length(a.k) between 1 and 6) where d <= 1)
+  where d = best group by scope, value having count(distinct entity_id) = 1),
+f as (select scope, value, arg_min(entity_id, ord) as entity_id from (
+  select *, max(score) over (partition by scope, value) as best from (
+    select v.scope, v.value, a.entity_id, a.ord, {ratio_sql('v.k', 'a.k')} as score
+    from {_MODEL_PAIRS.format(n=n_sql('value'), a=n_sql('canonical_name'))} and length(v.k) > 0 and length(a.k) > 0 and 3 * least(length(v.k), length(a.k)) >= 2 * greatest(length(v.k), length(a.k)))
+  where score >= 80) where score = best group by scope, value),
+f2 as (select * from f where not exists (select 1 from t where t.scope = f.scope and t.value = f.value))
+select scope as brand_id, value, entity_id, 'exact' as stage from e union all select scope, value, entity_id, 'typo' from t union all select scope, value, entity_id, 'fuzzy' from f2
+union all select scope, value, null, 'unresolved' from v where not exists (select 1 from t where t.scope = v.scope and t.value = v.value) and not exists (select 1 from f2 where f2.scope = v.scope and f2.value = v.value)""")
+def model_cascade(spark: SparkSession, d: str) -> DataFrame:
+    """The cascade of models within their brands; all-digit models match exactly or not at all."""
+    models = table(spark, d, "dim_model").select(F.col("brand_id").alias("scope"), F.col("model_id").alias("entity_id"), F.col("canonical_name").alias("name"))
+    aliases = models.select("scope", "entity_id", F.col("name").alias("alias"), F.substring("entity_id", 3, 20).cast("int").alias("ord"))
+    return resolution.cascade(_asked_models(spark, d).select("scope", "value"), models, aliases, models=True).withColumnRenamed("scope", "brand_id")
+
+
+@query(f"""with q as (select *, value as name, {n_sql('value')} as norm from ({_ASKED})),
+known as (select m.brand_id as scope, m.model_id as entity_id, m.canonical_name as name, {n_sql('m.canonical_name')} as norm from dim_model m where source_system = 'registry_master'),
+a as (select * from q where norm <> ''),
+ex as (select a.scope, a.value, min(k.entity_id) as target from a join known k on k.scope = a.scope and k.norm = a.norm group by a.scope, a.value),
+rest as (select *, row_number() over (partition by scope, norm order by ord) as rn from a where not exists (select 1 from ex where ex.scope = a.scope and ex.value = a.value)),
+mk as (select scope, value, norm, ord, brand_name, {s_sql('name')} as ff, {_strip_sql('name', 'brand_name')} as bf from rest where rn = 1),
+kn as (select k.scope, k.entity_id, k.norm, {s_sql('k.name')} as ff, {_strip_sql('k.name', 'b.brand_name')} as bf from known k join (select distinct scope, brand_name from mk) b on b.scope = k.scope),
+vm as (select m.scope, m.norm, arg_min(c.norm, c.norm) as target from mk m join mk c on c.scope = m.scope and c.ord < m.ord and ((m.ff <> '' and m.ff = c.ff) or (m.bf <> '' and m.bf = c.ff) or (m.ff <> '' and m.ff = c.bf)) group by m.scope, m.norm),
+vk as (select m.scope, m.norm, min(c.entity_id) as target from mk m join kn c on c.scope = m.scope and ((m.ff <> '' and m.ff = c.ff) or (m.bf <> '' and m.bf = c.ff) or (m.ff <> '' and m.ff = c.bf)) group by m.scope, m.norm),
+names as (select scope, norm from mk union select scope, norm from known),
+co as (select m.scope, m.norm, min(n.norm) as target from mk m join names n on n.scope = m.scope and regexp_matches(m.norm, '^\\p{{Nd}}+$') and regexp_extract(n.norm, '^(\\p{{Nd}}+)\\p{{L}}{{1,3}}$', 1) = m.norm group by m.scope, m.norm having count(distinct n.norm) = 1)
+select scope as brand_id, value, 'exists' as stage, target from ex
+union all select scope, value, 'created_earlier', norm from rest where rn > 1
+union all select m.scope, m.value, case when coalesce(vm.target, vk.target) is not null then 'prefix_variant' when co.target is not null then 'completion' else 'created' end, coalesce(vm.target, vk.target, co.target, m.norm)
+from mk m left join vm on vm.scope = m.scope and vm.norm = m.norm left join vk on vk.scope = m.scope and vk.norm = m.norm left join co on co.scope = m.scope and co.norm = m.norm""")
+def guarded_creation(spark: SparkSession, d: str) -> DataFrame:
+    """Models asked for, held against those of the registry before any is created."""
+    known = table(spark, d, "dim_model").where("source_system = 'registry_master'").select(F.col("brand_id").alias("scope"), F.col("model_id").alias("entity_id"), F.col("canonical_name").alias("name"))
+    asked = _asked_models(spark, d).withColumn("name", F.col("value"))
+    return provider.guarded_creation(asked, known).withColumnRenamed("scope", "brand_id")
+
+
 # -- scalar functions
 
 
@@ -496,10 +557,6 @@ def simple_normalize_query(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "report_rows").select("row_id", *[simple_normalize(F.col(c)).alias(c[0]) for c in ("brand", "model", "governorate")])
 
 
-def _strip_sql(n: str, b: str) -> str:
-    return f"case when {s_sql(b)} <> '' and starts_with({s_sql(n)}, {s_sql(b)}) then trim(substring({s_sql(n)}, length({s_sql(b)}) + 1)) else {s_sql(n)} end"
-
-
 @query(f"select row_id, {_strip_sql('model', 'brand')} as stripped from report_rows")
 def strip_prefix(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "report_rows").select("row_id", resolution.strip_prefix(F.col("model"), F.col("brand")).alias("stripped"))
