@@ -88,7 +88,7 @@ def key_summary(df: DataFrame, key: str, value: str, decimals: int = 4) -> DataF
     weighted = cut(compress(df, [key], value))
     finite = ~F.isnan("_value") & (F.abs(F.col("_value")) < F.lit(float("inf")))
     amount = F.when(finite, F.col("_value").cast(f"decimal(28,{decimals})") * F.col("_n").cast("decimal(10,0)"))
-    ranked = F.when(F.col("_value").isNotNull(), F.struct(F.col("_n").alias("n"), (-F.col("_value")).alias("v")))
+    ranked = F.when(F.col("_value").isNotNull(), F.struct(F.col("_n").alias("n"), (~F.isnan("_value")).cast("int").alias("o"), (-F.col("_value")).alias("v")))
     sums = weighted.groupBy(key).agg(
         F.sum("_n").alias("n_rows"),
         F.coalesce(F.sum(F.when(F.col("_value").isNotNull(), F.col("_n"))), F.lit(0)).alias("n_values"),

@@ -35,6 +35,7 @@ def test_nan_infinite_and_nulls(spark):
     data = [("a", float("nan")), ("a", 1.0), ("a", float("inf")), ("b", None), ("c", float("-inf")), ("c", 0.0), ("c", -0.0)]
     got = {r.k: r for r in skew.key_summary(rows(spark, data), "k", "v").collect()}
     assert got["a"].median == float("inf") and float(got["a"].total) == 1.0
+    assert got["a"].mode_value == 1.0  # a tie
     assert got["b"].median is None and got["b"].n_values == 0 and got["b"].total is None
     assert got["c"].median == 0.0 and got["c"].n_distinct == 2
 
