@@ -20,7 +20,7 @@ from ledgerloom.session import cut
 
 #: Edits allowed for a reference key of at least so many letters; names of several words may hold several slips.
 EDITS = ((5, 2), (4, 1))
-MODEL_EDITS = ((9, 3), (5, 2), (4, 1))
+MODEL_EDITS = ((11, 4), (9, 3), (5, 2), (4, 1))
 
 NONE = "none"
 
@@ -68,13 +68,14 @@ from (
 _VERIFIED = """
 select b.scope, b.key, b.trims, p.entity_id, p.key as ref_key, levenshtein(b.key, p.key, p.k) as d
 from probes b join pieces p on b.scope = p.scope and b.n = p.n and b.i = p.i and b.piece = p.piece
-where array_contains(b.trims, p.trim) and levenshtein(b.key, p.key, p.k) between 0 and p.k
+where levenshtein(b.key, p.key, p.k) between 0 and p.k
+  and (array_contains(b.trims, p.trim) or p.trim = '' and array_contains(b.trims, '~') and levenshtein(b.key, p.key, 2) between 0 and 2)
 """
 
 _CLOSEST = """
 with exact as (
   select t.scope, t.key, t.trims, min(r.entity_id) as low, max(r.entity_id) as high
-  from {typed} t join {refs} r on t.scope = r.scope and t.key = r.key and array_contains(t.trims, r.trim)
+  from {typed} t join {refs} r on t.scope = r.scope and t.key = r.key and (array_contains(t.trims, r.trim) or r.trim = '' and array_contains(t.trims, '~'))
   group by t.scope, t.key, t.trims),
 left_over as (
   select t.* from {typed} t left anti join exact e on t.scope = e.scope and t.key = e.key and t.trims = e.trims),
@@ -99,7 +100,8 @@ def closest(typed: DataFrame, refs: DataFrame) -> DataFrame:
     """The one closest entry of each typed key: ``scope, key, trims, entity_id``; keys without one are not in the result.
 
     ``typed(scope, key, trims)`` holds distinct keys, ``refs(scope, entity_id, key, trim)`` the entries under
-    all their known keys. Only keys of one scope meet, and only where the entry's trim is among ``trims``.
+    all their known keys. Only keys of one scope meet, and only where the entry's trim is among ``trims`` (or, with '~' among them, where an
+    entry without a trim is within two edits).
     An equal key comes before any other. Several entries at the least distance give no row. Keys of
     fewer than four letters only match exactly. Null scopes and keys match nothing.
     """

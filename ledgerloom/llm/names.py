@@ -41,6 +41,15 @@ def _roman(word: Column) -> Column:
     return F.coalesce(F.try_element_at(table, word), word)
 
 
+def _near_number_word(word: Column) -> Column:
+    """The digit of a long spoken number that the word nearly is: one edit, or its letters in another order."""
+    out = word
+    for name, digit in (("three", "3"), ("seven", "7"), ("eight", "8")):
+        swapped = (F.length(word) == 5) & (F.array_join(F.array_sort(F.split(word, "")), "") == "".join(sorted(name)))
+        out = F.when(F.levenshtein(word, F.lit(name), 1).between(0, 1) | swapped, F.lit(digit)).otherwise(out)
+    return out
+
+
 def numbers_of(joined: Column) -> Column:
     """The numbers of a joined name, in order, as one text."""
     return F.array_join(F.regexp_extract_all(joined, F.lit(r"(\d+)"), 1), " ")
@@ -59,9 +68,11 @@ def with_model_parts(df: DataFrame, value: str, brand_keys: str) -> DataFrame:
     """
     step = df.withColumn("_text", F.concat(F.lit(" "), F.array_join(words(F.col(value)), " "), F.lit(" ")))
     step = step.withColumn("_text", F.regexp_replace("_text", r"(?<=[ \d])my ?(20)?\d\d(?= )", " "))
+    # a mark run together with the name before it
+    step = step.withColumn("_text", F.regexp_replace("_text", r"(?<=\p{L}{3})my(20)?[12]\d(?= )", " "))
     step = step.withColumn("_tokens", F.filter(F.split("_text", " "), lambda w: w != ""))
     step = step.withColumn("_n", F.size("_tokens"))
-    step = step.withColumn("_tokens", F.transform("_tokens", lambda w, i: F.when((i > 0) & (i == F.col("_n") - 1), _roman(number_word(w))).otherwise(number_word(w))))
+    step = step.withColumn("_tokens", F.transform("_tokens", lambda w, i: F.when((i > 0) & (i == F.col("_n") - 1), _roman(_near_number_word(number_word(w)))).otherwise(number_word(w))))
     step = step.withColumn("_worded", F.transform(F.filter("_tokens", lambda w: w.rlike(r"\D")), lambda w: F.regexp_replace(w, r"\d+", "")))
     step = step.withColumn("_bk", F.reverse(F.array_sort(F.transform(F.filter(F.coalesce(brand_keys, F.array().cast("array<string>")), lambda k: F.length(k) >= 2), lambda k: F.struct(F.length(k).alias("n"), k.alias("k"))))))
     step = step.withColumn("_bk", F.flatten(F.array_repeat("_bk", 3)))
@@ -85,7 +96,8 @@ def with_typed_trims(df: DataFrame) -> DataFrame:
     """Adds ``trims``: the trim words a typed name may end with.
 
     A name of several words has the trim its last word is or nearly is (one edit, or its letters
-    in another order), else ''. A name run together to one word may have none as well as any it nearly ends with.
+    in another order), else ''. A last word of four letters or more that only nearly is a trim may be a name's own: that is
+    marked by '~'. A name run together to one word may have none as well as any it nearly ends with.
     """
     step = df.withColumn("_last", F.coalesce(F.try_element_at("_worded", F.lit(-1)), F.lit(""))).withColumn("_one", F.size("_worded") <= 1)
     step = step.withColumn("_sorted", F.array_join(F.array_sort(F.split("_last", "")), ""))
@@ -100,4 +112,6 @@ def with_typed_trims(df: DataFrame) -> DataFrame:
         return F.when(F.when(F.col("_one"), ending).otherwise(whole), F.lit(trim))
 
     step = step.withColumn("_found", F.filter(F.array(*[hit(t) for t in TRIMS]), lambda t: t.isNotNull()))
-    return step.withColumn("trims", F.when(F.col("_one") | (F.size("_found") == 0), F.concat(F.array(F.lit("")), "_found")).otherwise(F.col("_found"))).drop("_last", "_one", "_sorted", "_found")
+    doubtful = (F.length("_last") >= 4) & ~F.col("_last").isin(*TRIMS)
+    several = F.when(doubtful, F.concat("_found", F.array(F.lit("~")))).otherwise(F.col("_found"))
+    return step.withColumn("trims", F.when(F.col("_one") | (F.size("_found") == 0), F.concat(F.array(F.lit("")), "_found")).otherwise(several)).drop("_last", "_one", "_sorted", "_found")
