@@ -85,30 +85,18 @@ def _fuzzy_candidates(values: DataFrame, aliases: DataFrame, threshold: int) ->
     slack = 100 - threshold
     start, length = _segment("n", "k", "i")
     low, high = f"cast(ceil(x * {threshold} / {200 - threshold}) as int)", f"cast(floor(x * {200 - threshold} / {threshold}) as int)"
-    return values.sparkSession.sql(
-        f"""
-        with p as (
-          select scope, entity_id, a, ord, n, m, i, substring(a, {start}, {length}) as piece
-          from (select *, explode(sequence(0, k)) as i
-                from (select *, {slack} * (m + n) div 100 as k
-                      from (select *, explode(sequence(greatest(1, {low.replace('x', 'n')}), greatest(1, {high.replace('x', 'n')}))) as m
-                            from (select *, length(a) as n from {{aliases}} where a <> ''))))),
-        q as (
-          select distinct scope, value, v, n, m, i, substring(v, p, l) as piece
-          from (select *, explode(case when first <= final then sequence(first, final) else array() end) as p
-                from (select *, greatest(1, s - k) as first, least(m - l + 1, s + k) as final
-                      from (select *, {start} as s, {length} as l
-                            from (select *, explode(sequence(0, k)) as i
-                                  from (select *, {slack} * (m + n) div 100 as k
-                                        from (select *, explode(sequence(greatest(1, {low.replace('x', 'm')}), greatest(1, {high.replace('x', 'm')}))) as n
-                                              from (select *, length(v) as m from {{values}} where v <> '')))))))
-        )
-        select distinct q.scope, q.value, q.v, p.a, p.entity_id, p.ord
-        from q join p on q.scope = p.scope and q.m = p.m and q.n = p.n and q.i = p.i and q.piece = p.piece
-        """,
-        values=values,
-        aliases=aliases,
-    )
+    # column expressions and no SQL text over views: values and aliases may come from two sessions, as in a stream
+    p = aliases.where("a <> ''").selectExpr("*", "length(a) as n")
+    p = p.selectExpr("*", f"explode(sequence(greatest(1, {low.replace('x', 'n')}), greatest(1, {high.replace('x', 'n')}))) as m")
+    p = p.selectExpr("*", f"{slack} * (m + n) div 100 as k").selectExpr("*", "explode(sequence(0, k)) as i")
+    p = p.selectExpr("scope", "entity_id", "a", "ord", "n", "m", "i", f"substring(a, {start}, {length}) as piece")
+    q = values.where("v <> ''").selectExpr("*", "length(v) as m")
+    q = q.selectExpr("*", f"explode(sequence(greatest(1, {low.replace('x', 'm')}), greatest(1, {high.replace('x', 'm')}))) as n")
+    q = q.selectExpr("*", f"{slack} * (m + n) div 100 as k").selectExpr("*", "explode(sequence(0, k)) as i").selectExpr("*", f"{start} as s", f"{length} as l")
+    q = q.selectExpr("*", "greatest(1, s - k) as first", "least(m - l + 1, s + k) as final")
+    q = q.selectExpr("*", "explode(case when first <= final then sequence(first, final) else array() end) as p")
+    q = q.selectExpr("scope", "value", "v", "n", "m", "i", "substring(v, p, l) as piece").distinct()
+    return q.join(p, ["scope", "m", "n", "i", "piece"]).select("scope", "value", "v", "a", "entity_id", "ord").distinct()
 
 
 def fuzzy_match(values: DataFrame, aliases: DataFrame, threshold: int = FUZZY_THRESHOLD) -> DataFrame:

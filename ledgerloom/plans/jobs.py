@@ -28,6 +28,9 @@ def run_job(spark: SparkSession, job_id: str, states: str, out: str, day: date,
         outcome = build()
         folder = f"{out}/{job_id}"
         stamp = day.strftime("%Y-%m-%d")
+        for name, dimension in outcome.dimensions.items():
+            dimension.write.mode("overwrite").parquet(f"{folder}/dimensions/{name}")
+        outcome.found.write.mode("overwrite").parquet(f"{folder}/found")
         outcome.resolved.write.mode("overwrite").parquet(f"{folder}/output-{stamp}")
         outcome.kept.write.mode("overwrite").parquet(f"{folder}/output_filtered_private-{stamp}")
         outcome.facts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("Reporting_Date").parquet(f"{folder}/facts")

@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import normalize_text
-from ledgerloom.operators import reports
+from ledgerloom.functions.text import clean_token, normalize_text
+from ledgerloom.operators import dimensions, provider, reports, resolution
+from ledgerloom.operators.sequences import numbered
+from ledgerloom.session import cut
+
+Provider = Callable[[DataFrame], DataFrame]
+
+#: Fields whose values are sought in one list: raw column, entity type, list, its key, its aliases.
+FIELDS = (
+    ("brand", "brand", "dim_brand", "brand_id", "dim_brand_alias"),
+    ("governorate", "governorate_city", "dim_governorate", "governorate_id", "dim_governorate_alias"),
+    ("license_type", "license_type", "dim_licensetype", "licensetype_id", None),
+)
+LEARNED = ("typo", "fuzzy", "answer")
 
 
 def _lookup(entities: DataFrame, key: str, name: str, *scope: str) -> DataFrame:
@@ -39,6 +52,11 @@ def resolve_report(
     step = _attach(step, "license_type", "_lid", _lookup(licenses, "licensetype_id", "canonical_name"), None)
     in_brand = _lookup(models, "model_id", "canonical_name", "brand_id").select(F.col("brand_id").alias("_bid"), "_k", F.col("_id").alias("_mid"))
     step = step.withColumn("_k", normalize_text(F.col("model"))).join(in_brand, ["_bid", "_k"], "left").drop("_k")
+    return _with_entities(step, brands, models, places, licenses)
+
+
+def _with_entities(step: DataFrame, brands: DataFrame, models: DataFrame, places: DataFrame, licenses: DataFrame) -> DataFrame:
+    """Rows with the names and attributes of the entities of ``_bid, _mid, _gid, _lid``."""
     b = brands.select(F.col("brand_id").alias("_bid"), F.col("brand_id"), F.col("canonical_name").alias("brand_canonical_name"), F.col("country").alias("brand_country"))
     m = models.select(F.col("model_id").alias("_mid"), F.col("model_id"), F.col("canonical_name").alias("model_canonical_name"), F.col("motor_type").alias("model_motor_type"))
     lic = licenses.select(F.col("licensetype_id").alias("_lid"), F.col("licensetype_id").alias("license_type_id"), F.col("canonical_name").alias("license_type_canonical_name"))
@@ -52,9 +70,131 @@ def resolve_report(
     )
 
 
+def _known(dim: DataFrame, key: str, aliases: DataFrame | None = None, scope: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Entities and aliases in the shape of the cascade; an entity's own name is the first of its aliases, entities go by their ids."""
+    entities = dim.where(F.col(key).isNotNull()).select((F.lit("") if scope is None else scope).alias("scope"), F.col(key).alias("entity_id"), F.col("canonical_name").alias("name"))
+    named = entities.select("scope", "entity_id", F.col("name").alias("alias"), F.lit(0).alias("_kind"), F.lit(0).cast("bigint").alias("_o"))
+    if aliases is not None:
+        order = F.col("alias_id").cast("bigint") if "alias_id" in aliases.columns else F.lit(0).cast("bigint")
+        named = named.unionByName(aliases.where(F.col(key).isNotNull()).select(F.lit("").alias("scope"), F.col(key).alias("entity_id"), "alias", F.lit(1).alias("_kind"), order.alias("_o")))
+    return entities, cut(numbered(named.where(clean_token(F.col("alias")) != ""), ["entity_id", "_kind", "_o", "alias"], "ord").drop("_kind", "_o"))
+
+
+def _next(dim: DataFrame, key: str) -> int:
+    return (dim.agg(F.max(F.regexp_extract(key, r"(\d+)$", 1).try_cast("bigint"))).first()[0] or 0) + 1
+
+
+def _answered(asked: DataFrame, kind: str, ask: Provider) -> DataFrame:
+    """``scope, brand_name, value, ord, name`` for the requests with a confident answer that gives a name."""
+    given = provider.answers(asked.select(F.lit(kind).alias("entity_type"), "scope", "brand_name", "value"), ask)
+    sure = given.where(resolution.confident(F.col("matched"), F.col("confidence")) & (normalize_text(F.col("canonical_name")) != ""))
+    named = sure.groupBy("scope", "value").agg(F.max(F.struct("confidence", F.trim("canonical_name").alias("name")))["name"].alias("name"))
+    return cut(asked.join(named, ["scope", "value"]))
+
+
+def _upsert(dim: DataFrame, key: str, made: DataFrame) -> DataFrame:
+    """The dimension with new entities ``key, canonical_name`` (and their brand); attributes not known yet are null."""
+    row = {c: F.col(c) if c in made.columns else normalize_text(F.col("canonical_name")) if c == "normalized_name" else F.lit(None).cast(t) for c, t in dim.dtypes}
+    return cut(dimensions.merge_upsert(dim, made.select(*[x.alias(c) for c, x in row.items()]), key))
+
+
+def _placed(answered: DataFrame, kind: str, dim: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """``scope, value, entity_id`` of answers, and the dimension with the entities they name that it did not have."""
+    by_name = _lookup(dim, key, "canonical_name").select(F.col("_k").alias("_n"), "_id")
+    met = cut(answered.withColumn("_n", normalize_text(F.col("name"))).join(by_name, "_n", "left"))
+    fresh = met.where("_id is null")
+    ids = cut(dimensions.surrogate_ids(fresh, "_n", "ord", kind, _next(dim, key)))
+    names = fresh.groupBy("_n").agg(F.min(F.struct("ord", "name"))["name"].alias("canonical_name"))
+    made = ids.join(names, "_n").select(F.col("entity_id").alias(key), "canonical_name")
+    hits = met.join(ids, "_n", "left").select("scope", "value", F.coalesce("_id", "entity_id").alias("entity_id"))
+    return cut(hits), _upsert(dim, key, made)
+
+
+def _placed_models(answered: DataFrame, models: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As ``_placed``, within brands and behind the guards against models that are known under another form of their name."""
+    known = models.select(F.col("brand_id").alias("scope"), F.col("model_id").alias("entity_id"), F.col("canonical_name").alias("name")).where("scope is not null and name is not null")
+    judged = cut(provider.guarded_creation(answered, known).join(answered.select("scope", "value", "ord", normalize_text(F.col("name")).alias("norm")), ["scope", "value"]))
+    fresh = judged.where("stage = 'created'").withColumn("_n", F.concat_ws("\x1f", "scope", "norm"))
+    ids = dimensions.surrogate_ids(fresh, "_n", "ord", "model", _next(models, "model_id")).join(fresh.select("scope", "norm", "_n").distinct(), "_n")
+    ids = cut(ids.select("scope", "norm", "entity_id"))
+    by_name = known.select("scope", normalize_text(F.col("name")).alias("norm"), "entity_id").groupBy("scope", "norm").agg(F.min("entity_id").alias("entity_id")).where("norm <> ''")
+    # a target is an id, or a name that is known, created in this run, or itself held to be another one
+    stands = known.select("scope", F.col("entity_id").alias("target"), "entity_id")
+    for named in (by_name, ids):
+        stands = stands.unionByName(named.select("scope", F.col("norm").alias("target"), "entity_id"))
+    stands = cut(stands.groupBy("scope", "target").agg(F.min("entity_id").alias("entity_id")))
+    onward = cut(judged.where("stage in ('prefix_variant', 'completion')").groupBy("scope", F.col("norm").alias("target")).agg(F.min("target").alias("_next")))
+    left, found = judged.select("scope", "value", "target"), []
+    while True:  # every step leads to an earlier name or to one with more letters, so this ends
+        met = cut(left.join(stands, ["scope", "target"], "left"))
+        found.append(met.where("entity_id is not null").select("scope", "value", "entity_id"))
+        left = cut(met.where("entity_id is null").join(onward, ["scope", "target"]).select("scope", "value", F.col("_next").alias("target")))
+        if left.isEmpty():
+            break
+    hits = found[0]
+    for more in found[1:]:
+        hits = hits.unionByName(more)
+    return hits, _upsert(models, "model_id", ids.select(F.col("entity_id").alias("model_id"), F.col("scope").alias("brand_id"), F.col("norm").alias("canonical_name")))
+
+
+def _found(values: DataFrame, entities: DataFrame, aliases: DataFrame, models: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``scope, value, entity_id, stage`` of the values the cascade resolves, and the requests it leaves."""
+    judged = cut(resolution.cascade(values.select("scope", "value"), entities, aliases, models))
+    return judged.where("entity_id is not null"), values.join(judged.where("entity_id is null").select("scope", "value"), ["scope", "value"], "left_semi")
+
+
+def resolve_all(rows: DataFrame, tables: dict[str, DataFrame], ask: Provider | None = None) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
+    """Report rows resolved by the whole cascade, what was found for each distinct value, and the master data after it.
+
+    Every value goes through exact name, alias, short typo and likeness; what is left is asked of ``ask``, if there is one,
+    in requests ``entity_type, scope, brand_name, value``. Answers that name no known entity create one, models only past
+    the guards. Models are sought within their brand once brands are settled, number words as digits. Values found by typo,
+    likeness or answer are learned as aliases (of models and licence types, which have no alias table, in the second result alone).
+    """
+    after, log = dict(tables), []
+    step = rows
+    for raw, kind, name, key, alias_name in FIELDS:
+        asked = cut(rows.where(clean_token(F.col(raw)) != "").groupBy(F.col(raw).alias("value")).agg(F.min("row_id").alias("ord")).select(F.lit("").alias("scope"), F.lit("").alias("brand_name"), "value", "ord"))
+        entities, aliases = _known(tables[name], key, tables[alias_name] if alias_name else None)
+        hits, left = _found(asked, entities, aliases)
+        if ask is not None:
+            placed, after[name] = _placed(_answered(left, kind, ask), kind, tables[name], key)
+            hits = hits.unionByName(placed.withColumn("stage", F.lit("answer")))
+        hits = cut(hits)
+        log.append(hits.select(F.lit(kind).alias("entity_type"), "scope", "value", "entity_id", "stage"))
+        step = step.join(hits.select(F.col("value").alias(raw), F.col("entity_id").alias({"brand": "_bid", "governorate": "_gid", "license_type": "_lid"}[raw])), raw, "left")
+        if alias_name:
+            target = tables[alias_name]
+            learned = dimensions.merge_aliases(target, hits.where(F.col("stage").isin(*LEARNED)).select(F.col("entity_id").alias(key), F.col("value").alias("alias")), key)
+            fresh = learned.join(target.select(key, "alias"), [key, "alias"], "left_anti")
+            after[alias_name] = target.unionByName(numbered(fresh, [key, "alias"], "alias_id", _next(target.withColumn("alias_id", F.col("alias_id").cast("string")), "alias_id")) if "alias_id" in target.columns else fresh, allowMissingColumns=True)
+    step = cut(step)
+
+    brand_names = after["dim_brand"].select(F.col("brand_id").alias("scope"), F.coalesce("canonical_name", F.lit("")).alias("brand_name"))
+    wanted = step.where(F.col("_bid").isNotNull() & (clean_token(F.col("model")) != "")).groupBy(F.col("_bid").alias("scope"), F.col("model").alias("raw")).agg(F.min("row_id").alias("ord")).join(brand_names, "scope")
+    models = tables["dim_model"].where(F.col("brand_id").isNotNull())
+    entities, aliases = _known(models, "model_id", scope=F.col("brand_id"))
+    # a name that is known as it is written stays as it is; of the others, number words become digits
+    plain = cut(resolution.exact_match(wanted.select("scope", F.col("raw").alias("value")), entities).select("scope", F.col("value").alias("raw"), "entity_id", F.lit("exact").alias("stage")))
+    rest = cut(wanted.join(plain, ["scope", "raw"], "left_anti").withColumn("value", resolution.number_word_to_digit(clean_token(F.col("raw")), F.col("brand_name"))))
+    asked = rest.groupBy("scope", "brand_name", "value").agg(F.min("ord").alias("ord"))
+    hits, left = _found(asked, entities, aliases, models=True)
+    if ask is not None:
+        placed, after["dim_model"] = _placed_models(_answered(left, "model", ask), tables["dim_model"])
+        hits = hits.unionByName(placed.withColumn("stage", F.lit("answer")))
+    hits = cut(plain.unionByName(rest.join(hits, ["scope", "value"]).select("scope", "raw", "entity_id", "stage")))
+    log.append(hits.select(F.lit("model").alias("entity_type"), "scope", F.col("raw").alias("value"), "entity_id", "stage"))
+    step = step.join(hits.select(F.col("scope").alias("_bid"), F.col("raw").alias("model"), F.col("entity_id").alias("_mid")), ["_bid", "model"], "left")
+    resolved = _with_entities(step, after["dim_brand"], after["dim_model"], after["dim_governorate"], after["dim_licensetype"])
+    found = log[0]
+    for more in log[1:]:
+        found = found.unionByName(more)
+    return cut(resolved), found, {n: after[n] for n in after if n.startswith("dim_")}
+
+
 @dataclass
 class Outcome:
-    """What a run gives; every part is lazy."""
+    """What a run gives; values are resolved when it is built, the rest is lazy."""
 
     resolved: DataFrame
     kept: DataFrame
@@ -62,13 +202,14 @@ class Outcome:
     attributes: DataFrame
     review: DataFrame
     missing_metadata: DataFrame
+    found: DataFrame
+    dimensions: dict[str, DataFrame]
 
 
-def run(tables: dict[str, DataFrame], filter_private: bool = True) -> Outcome:
+def run(tables: dict[str, DataFrame], filter_private: bool = True, ask: Provider | None = None) -> Outcome:
     """All steps over the tables of one data directory, dimensions before facts."""
-    names = ("report_rows", "dim_brand", "dim_brand_alias", "dim_model", "dim_governorate", "dim_governorate_alias", "dim_licensetype")
     rows = reports.valid_model(tables["report_rows"], "model")
-    resolved = resolve_report(rows, *[tables[n] for n in names[1:]])
+    resolved, found, after = resolve_all(rows, tables, ask)
     kept = reports.essential_ids(resolved)
     kept = reports.count_present(reports.private_only(kept) if filter_private else kept)
     return Outcome(
@@ -78,4 +219,6 @@ def run(tables: dict[str, DataFrame], filter_private: bool = True) -> Outcome:
         reports.attribute_rows(reports.metadata_complete(kept), "row_id", ["Count"]),
         reports.unmatched_review(resolved, ["Brand", "Model", "License Type", "Governorate"]),
         reports.missing_metadata(kept),
+        found,
+        after,
     )

@@ -11,7 +11,7 @@ from ledgerloom.functions.similarity import ratio_udf
 from ledgerloom.functions.text import clean_token, normalize_text, simple_normalize
 from ledgerloom.operators import dimensions, provider, reports, resolution
 from ledgerloom.operators.sequences import numbered
-from ledgerloom.plans.pipeline import resolve_report
+from ledgerloom.plans.pipeline import resolve_report, run
 from ledgerloom.sources import workbook
 from ledgerloom.tables import table
 
@@ -198,6 +198,13 @@ def fact_build(spark: SparkSession, d: str) -> DataFrame:
     return reports.fact_rows(kept_rows(spark, d), F.col("Year"), F.col("Month"), ["row_id"])
 
 
+@query(None)
+def run_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Fact rows of the whole run, whose values are also resolved by typo and likeness (``fact_build`` and its SQL resolve by name and alias)."""
+    names = ("report_rows", "dim_brand", "dim_brand_alias", "dim_model", "dim_governorate", "dim_governorate_alias", "dim_licensetype")
+    return run({n: table(spark, d, n) for n in names}).facts
+
+
 @query(f"""{_FACT} select row_id, 'Count' as "Attribute_Name", case when "Count" = floor("Count") then cast(cast("Count" as bigint) as varchar) else cast("Count" as varchar) end as "Attribute_Value" from f
 union all select row_id, 'Year', cast("Year" as varchar) from f where "Year" is not null union all select row_id, 'Governorate', "Governorate" from f where "Governorate" is not null""")
 def eav_unpivot(spark: SparkSession, d: str) -> DataFrame:

@@ -6,18 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ledgerloom.plans.pipeline import resolve_report
+from ledgerloom.plans.pipeline import resolve_all
 
 
 def resolve_stream(spark: SparkSession, folder: str, schema: StructType, dimensions: dict[str, DataFrame], out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Each micro-batch of new parquet files is resolved like a monthly file and written under its batch number.
+    """Each micro-batch of new parquet files is resolved like a monthly file, by the whole cascade, and written under its batch number.
 
     A batch that is run again overwrites its own output, so every file counts exactly once.
     """
-    names = ("dim_brand", "dim_brand_alias", "dim_model", "dim_governorate", "dim_governorate_alias", "dim_licensetype")
-
     def load(rows: DataFrame, batch: int) -> None:
-        resolve_report(rows, *[dimensions[n] for n in names]).write.mode("overwrite").parquet(f"{out}/batch={batch}")
+        resolve_all(rows, dimensions)[0].write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
     stream = spark.readStream.schema(schema).parquet(folder)
     return stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -92,3 +92,35 @@ def test_master_and_logs(spark, tmp_path):
     log.write_text("not json")
     assert master.read_log(spark, str(log), "brand string, model string").count() == 0
     assert master.read_log(spark, str(tmp_path / "missing.json"), "brand string").count() == 0
+
+
+def test_run_sends_values_through_every_stage(spark):
+    t = tables(spark)
+    make = spark.createDataFrame
+    t["report_rows"] = make(
+        [
+            (1, "f", "Cairo", "Private", "Toyota", "Corolla", 3.0, 2024, 5),
+            (2, "f", "Cairoo", "Private", "Toyotaa", "Corola", 4.0, 2024, 5),  # typo, likeness, likeness within the brand
+            (3, "f", "Cairo", "Privat", "Tyoota", "Toyota Corolla", 5.0, 2024, 5),
+            (4, "f", "Cairo", "Private", "Brand Z", "Z 1", 6.0, 2024, 5),
+            (5, "f", "Cairo", "Private", "Brand Z", "Z1", 7.0, 2024, 5),
+            (6, "f", "Cairo", "Private", "???", "Corolla", 8.0, 2024, 5),
+        ],
+        ROWS,
+    )
+    got = {r.row_id: r for r in pipeline.run(t).resolved.collect()}
+    assert [got[i].brand_id for i in range(1, 7)] == ["B1", "B1", "B1", None, None, None]
+    assert (got[2].governorate_id, got[2].model_id, got[3].license_type_id, got[3].model_id) == ("G1", "M1", "L1", None)
+    assert pipeline.run(t).facts.count() == 2
+
+    answers = make(
+        [("brand", "", "Brand Z", True, "Zeta", 0.9), ("brand", "", "???", True, "Toyota", 0.2), ("model", "B1", "Toyota Corolla", True, "Toyota Corolla", 1.0), ("model", "BR00002", "Z 1", True, "Z One", 1.0), ("model", "BR00002", "Z1", True, "z one", 1.0)],
+        "entity_type string, scope string, value string, matched boolean, canonical_name string, confidence double",
+    )
+    outcome = pipeline.run(t, ask=provider.static(answers, ["entity_type", "scope", "value"]))
+    got = {r.row_id: r for r in outcome.resolved.collect()}
+    assert [got[i].brand_id for i in range(1, 7)] == ["B1", "B1", "B1", "BR00002", "BR00002", None]
+    assert [got[i].model_id for i in range(1, 7)] == ["M1", "M1", "M1", "MD00003", "MD00003", None]
+    assert {(r.brand_id, r.alias) for r in outcome.dimensions["dim_brand_alias"].collect()} == {("B1", "toyta"), ("B1", "Toyotaa"), ("B1", "Tyoota"), ("BR00002", "Brand Z")}
+    assert {(r.model_id, r.brand_id, r.canonical_name) for r in outcome.dimensions["dim_model"].collect()} == {("M1", "B1", "Corolla"), ("M2", "B1", "Yaris"), ("MD00003", "BR00002", "z one")}
+    assert {(r.entity_type, r.value, r.stage) for r in outcome.found.collect()} >= {("governorate_city", "Cairoo", "typo"), ("model", "Corola", "fuzzy"), ("model", "Toyota Corolla", "answer")}
