@@ -38,6 +38,7 @@ COMMON = 24  # items that may share a triple before it counts as common
 NEAR = 24  # words within which two seeds of a passage lie
 BAND = 4
 STEP = 8
+REACH = 48  # words on either side of a seed; a passage has a part of fewer than 30 held words and 8 edits that is one itself
 GAP = 64  # zeros between documents, so that no window reaches from one into another
 BLOCK_WORDS = 2_000_000
 
@@ -314,7 +315,8 @@ def holds(pattern: Sequence[int], text: Sequence[int], found: Sequence[tuple[int
             if x + z <= i and y + z <= j and gap <= NEAR and best[b][0] + n - gap // 4 > top:
                 top, before = best[b][0] + n - gap // 4, b
         best.append((top, before))
-    for end in sorted(range(len(chain)), key=lambda a: -best[a][0])[:4]:
+    # every tile ends a line of its own; a body has at most a third as many tiles as words
+    for end in sorted(range(len(chain)), key=lambda a: -best[a][0]):
         line = []
         at = end
         while at >= 0:
@@ -373,19 +375,19 @@ def _scan(index: SeedIndex, batches: Iterable[pd.DataFrame]) -> Iterator[pd.Data
             ids = np.concatenate(pieces)
             begins = np.array(starts, dtype=np.int64)
             places, items = index.candidates(ids)
-            spans: dict[tuple[int, int], list[int]] = {}
+            spans: dict[tuple[int, int], set[int]] = {}
             for d, p, k in zip((np.searchsorted(begins, places + STEP, side="right") - 1).tolist(), places.tolist(), items.tolist(), strict=True):
-                s = spans.setdefault((d, k), [p, p])
-                s[0], s[1] = min(s[0], p), max(s[1], p)
+                spans.setdefault((d, k), set()).add(p)
             rows = []
             doc_ids = batch["doc_id"].tolist()
-            for (d, k), (first, last) in sorted(spans.items()):
+            for (d, k), at in sorted(spans.items()):
                 body = index.bodies[k]
-                begin = max(starts[d], first - index.longest)
-                end = min(starts[d + 1] - GAP if d + 1 < len(starts) else len(ids) - GAP, last + index.longest)
-                words = ids[begin:end]
+                low, high = starts[d], starts[d + 1] - GAP if d + 1 < len(starts) else len(ids) - GAP
+                words = ids[max(low, min(at) - index.longest) : min(high, max(at) + index.longest)]
                 found = tiles(body, words)
-                if holds(body.tolist(), words.tolist(), found):
+                # where the body occurs twice, longer tiles of one place may have taken words of another: then each place by itself
+                near = (ids[max(low, p - REACH) : min(high, p + STEP + REACH)] for p in sorted(at))
+                if holds(body.tolist(), words.tolist(), found) or any(holds(body.tolist(), w.tolist(), tiles(body, w)) for w in near):
                     rows.append((doc_ids[d], index.ids[k], sum(n for _, _, n in found) / len(body)))
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "coverage"])
 

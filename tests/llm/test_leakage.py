@@ -119,5 +119,21 @@ def test_blocks_of_items(spark):
     assert sorted((r.doc_id, r.item_id) for r in leakage.leaks(d, q, block_words=50).collect()) == [(i, i) for i in range(6)]
 
 
+def test_a_passage_beside_heavier_chains(spark):
+    body = [f"b{i}" for i in range(130)]
+    # every fourth word changed: tiles of three in one heavy chain that never passes
+    mangled = [w if i % 4 else f"x{i}" for i, w in enumerate(body)][30:]
+    verbatim, filler = body[:16], [f"f{i}" for i in range(40)]
+    docs = [(1, verbatim + filler + mangled), (2, mangled + filler + verbatim), (3, mangled + verbatim), (4, mangled), (5, mangled + filler + body[:14])]
+    assert found(spark, [(i, " ".join(t)) for i, t in docs], [(1, item(" ".join(body)))]) == [(1, 1), (2, 1), (3, 1)]
+
+
+def test_a_passage_whose_words_stand_elsewhere_in_longer_runs(spark):
+    body = [f"b{i}" for i in range(200)]
+    passage = [w for i, w in enumerate(body[:19]) if i not in (4, 9, 14)]
+    doc = passage + [f"f{i}" for i in range(60)] + body[:7] + ["y"] * 30 + body[7:13] + ["z"] * 30 + body[13:19]
+    assert found(spark, [(1, " ".join(doc))], [(1, item(" ".join(body)))]) == [(1, 1)]
+
+
 def test_words():
     assert word_list("'''A'''&nbsp;[[b c|D]] {{x|{{y}}}} <ref name=z/>e​f [[Category:No]]") == ["a", "d", "ef"]
