@@ -155,44 +155,66 @@ def _path(header: str) -> str:
     return '$["' + header.replace('"', "") + '"]'
 
 
-def _text(header: str) -> Column:
-    return F.try_variant_get(F.col("_v"), _path(header), "string")
-
-
 def _clean(text: Column) -> Column:
     trimmed = F.regexp_replace(text, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
     return F.when(~F.lower(trimmed).isin(*PLACEHOLDERS), trimmed)
 
 
+def _entries() -> Column:
+    """Headers and values of the parsed line ``_v``, in the order of the headers."""
+    return F.map_entries(F.col("_v").cast("map<string,variant>"))
+
+
+def _first(values: Column) -> Column:
+    return F.get(F.filter(values, lambda x: x.isNotNull()), F.lit(0))
+
+
 def casts(fields: Sequence[Field], codes: dict[int, str]) -> dict[str, Column]:
-    """Column expressions over the parsed line ``_v``, generated from the alias table; the first header with a value wins."""
+    """Column expressions over the parsed line ``_v``, generated from the alias table; the first header with a value wins.
+
+    Headers go in the order of the alias table; then come those that are the field's by ``field_of`` alone, case and punctuation aside.
+    """
     out = {}
     names = F.create_map(*[x for code, name in sorted(codes.items()) for x in (F.lit(str(code)), F.lit(name))]) if codes else None
+
+    def read(kind: str, value: Column, path: str) -> list[Column]:
+        plain = _clean(F.try_variant_get(value, path, "string"))
+        if kind != "coded":
+            return [plain]
+        # an object's own text form is never the value
+        plain = F.when(~plain.startswith("{"), plain)
+        return [_clean(F.try_variant_get(value, path + ".name", "string")), F.coalesce(F.try_element_at(names, F.regexp_replace(plain, r"\.0+$", "")), plain) if names is not None else plain]
+
+    def unlisted(f: Field) -> Column:
+        found = F.filter(_entries(), lambda e: (field_of(e["key"], fields) == f.name) & ~e["key"].isin(*f.headers))
+        return _first(F.transform(found, lambda e: F.coalesce(*read(f.kind, e["value"], "$"))))
+
     for f in fields:
-        options = []
-        for header in f.headers:
-            if f.kind == "coded":
-                options.append(_clean(F.try_variant_get(F.col("_v"), _path(header) + ".name", "string")))
-                plain = _clean(_text(header))
-                # an object's own text form is never the value
-                plain = F.when(~plain.startswith("{"), plain)
-                options.append(F.coalesce(F.try_element_at(names, F.regexp_replace(plain, r"\.0+$", "")), plain) if names is not None else plain)
-            else:
-                options.append(_clean(_text(header)))
+        options = [x for header in f.headers for x in read(f.kind, F.col("_v"), _path(header))]
+        options.append(unlisted(f))
         value = F.coalesce(*options)
         out[f.name] = value.try_cast("double") if f.kind == "number" else value
     return out
 
 
+def others(fields: Sequence[Field]) -> Column:
+    """The fields of the parsed line ``_v`` outside the alias table as a map from ``field_of`` without its mark to the value's text."""
+    name = lambda e: F.regexp_replace(field_of(e["key"], fields), "^other:", "")
+    entries = F.filter(_entries(), lambda e: field_of(e["key"], fields).startswith("other:"))
+    named = F.transform(entries, lambda e: F.struct(name(e).alias("k"), _clean(F.try_variant_get(e["value"], "$", "string")).alias("x")))
+    keys = F.array_distinct(F.transform(named, lambda n: n["k"]))
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: _first(F.transform(F.filter(named, lambda n: n["k"] == k), lambda n: n["x"]))))
+
+
 def consistent_table(lines: DataFrame, fields: Sequence[Field] = REPORT_FIELDS, codes: dict[int, str] | None = None) -> DataFrame:
     """All readable lines of all files in one set of columns, lines sent twice kept once.
 
-    Columns: ``file_id, feed_name, file_month, line_no``, one per field, and ``extras`` (a JSON object text
-    of the line, for headers outside the alias table; the raw line is kept whole). Placeholder words and
+    Columns: ``file_id, feed_name, file_month, line_no``, one per field, ``others`` (the fields outside the alias table,
+    a map from the field's plain name to its text) and ``extras`` (the raw line as it came). Placeholder words and
     blanks become null; numbers written as text are read; a number that cannot be read is null. ``codes``
     maps the numbers that stand for a coded field's entries to their names.
     """
     parsed = lines.select("file_id", "feed_name", "file_month", "line_no", "record_text", F.try_parse_json("record_text").alias("_v"))
     readable = parsed.where(F.schema_of_variant("_v").startswith("OBJECT"))
-    chosen = readable.select("file_id", "feed_name", "file_month", "line_no", *[c.alias(name) for name, c in casts(fields, codes or {}).items()], F.col("record_text").alias("extras"))
+    chosen = readable.select("file_id", "feed_name", "file_month", "line_no", *[c.alias(name) for name, c in casts(fields, codes or {}).items()], others(fields).alias("others"), F.col("record_text").alias("extras"))
     return chosen.dropDuplicates(["file_id", "line_no", "extras"])

@@ -39,6 +39,11 @@ def p1_lifespans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_unified(spark: SparkSession, d: str) -> DataFrame:
+    return drift.consistent_table(table(spark, d, "raw_report_lines"), codes=_codes(spark, d)).drop("others", "extras")
+
+
+def p1_table(spark: SparkSession, d: str) -> DataFrame:
+    """The consistent table with every field of the files; ``p1_unified`` and its SQL have the five known ones."""
     return drift.consistent_table(table(spark, d, "raw_report_lines"), codes=_codes(spark, d)).drop("extras")
 
 
@@ -250,6 +255,7 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_lifespans": p1_lifespans,
     "p1_unified": p1_unified,
+    "p1_table": p1_table,
     "p3_found": p3_found,
     "p3_profile": p3_profile,
     "p3_load_metrics": p3_load_metrics,

@@ -69,3 +69,11 @@ def test_consistent_table(spark):
     doubled = df.unionByName(df)
     got = sorted((r.line_no, r.count_value, r.license_type, r.brand) for r in drift.consistent_table(doubled, codes={1: "Private"}).collect())
     assert got == [(0, 7.0, "Private", "X"), (1, 8.0, "Taxi", None), (2, None, None, None)]
+
+
+def test_every_field_comes_out_under_any_spelling(spark):
+    df = lines(spark, {1: (1, [{"QTY": 3, "brand": "X", "LICENCE-TYPE": {"code": 2, "name": "Taxi"}, "Seats": 4, "Imported": True, "Remarks": "?"}, {"Qty": 1, "QTY": 2, "licence_type": 1, "fuel": None, "Fuel": "Gas", "--": "a"}, {"Count": 5}])})
+    got = {r.line_no: r for r in drift.consistent_table(df, codes={1: "Private"}).collect()}
+    assert (got[0].count_value, got[0].brand, got[0].license_type) == (3.0, "X", "Taxi")
+    assert (got[1].count_value, got[1].license_type) == (1.0, "Private")
+    assert [got[i].others for i in range(3)] == [{"seats": "4", "imported": "true", "remarks": None}, {"fuel": "Gas", "--": "a"}, {}]
