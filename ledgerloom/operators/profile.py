@@ -105,6 +105,34 @@ def merge_states(states: DataFrame, numeric: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def load_metrics(states: DataFrame, ranged: Sequence[str]) -> DataFrame:
+    """``partition_key, column_name, metric, value``: null, NaN and broken shares, distinct count and, for ``ranged`` columns, both ends of the range.
+
+    Ranged are columns of numbers and times; low and high of texts have no distance and give no metric. Times count in seconds; shares are rounded to six places.
+    """
+    share = lambda c: F.round(F.col(c) / F.col("n_rows"), 6)
+    ends = F.col("column_name").isin(*ranged) if ranged else F.lit(False)
+    number = lambda c: F.when(ends, F.coalesce(F.col(c).try_cast("double"), F.unix_seconds(F.col(c).try_cast("timestamp")).cast("double")))
+    values = {
+        "rows": F.col("n_rows").cast("double"), "null_share": share("n_null"), "nan_share": share("n_nan"), "broken_share": share("n_broken"),
+        "distinct": F.hll_sketch_estimate("hll").cast("double"), "low": number("low"), "high": number("high"),
+    }
+    entries = F.array(*[F.struct(F.lit(m).alias("metric"), v.alias("value")) for m, v in values.items()])
+    return states.select("partition_key", "column_name", F.inline(entries)).where("value is not null")
+
+
+def load_changes(metrics: DataFrame, series: Sequence[str] = ("column_name", "metric")) -> DataFrame:
+    """The metrics of loads that leave the control limits of the loads before them, in the order of whole numbers or else of texts.
+
+    Rows of no load (a null key) are left out; a difference within rounding is none.
+    """
+    key = F.col("partition_key")
+    placed = metrics.where(key.isNotNull()).withColumn("_at", F.when(key.rlike(r"^\d+$"), F.lpad(key, 20, "0")).otherwise(key))
+    judged = control_limits(placed, series, "_at", "value").where("is_anomaly").drop("_at", "is_anomaly")
+    slack = F.lit(1e-9) * F.greatest(F.abs("value"), F.lit(1.0))
+    return judged.where((F.col("value") < F.col("limit_low") - slack) | (F.col("value") > F.col("limit_high") + slack))
+
+
 def violations(df: DataFrame, checks: Sequence[Check], table_name: str, row_key: str) -> DataFrame:
     """One row per broken value: ``case_kind='value', table_name, column_name, row_key``."""
     if not checks:

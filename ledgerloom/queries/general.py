@@ -150,13 +150,16 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-_NUMERIC = {"fact_vehicles": ("fact_id", "vehicle_count", "load_id"), "dim_model": (), "report_rows": ("row_id", "count_value", "report_year", "report_month"), "raw_report_lines": ("file_id", "line_no")}
-_PARTITION = {"fact_vehicles": "load_id", "dim_model": "source_system", "report_rows": "file_name", "raw_report_lines": "feed_name"}
+_NUMERIC = {"fact_vehicles": ("fact_id", "vehicle_count", "load_id"), "dim_model": (), "report_rows": ("row_id", "count_value", "report_year", "report_month"), "raw_report_lines": ("file_id", "line_no"), "documents": ("doc_id", "n_chars", "page_id", "revision_id", "parent_revision_id")}
+_PARTITION = {"fact_vehicles": "load_id", "dim_model": "source_system", "report_rows": "file_name", "raw_report_lines": "feed_name", "documents": "source"}
+#: What a load is in each table: a load, a month's file, or the month in which rows came in.
+_LOADS = {"fact_vehicles": "load_id", "dim_model": "date_format(updated_at, 'yyyy-MM')", "report_rows": "file_name", "raw_report_lines": "date_format(received_at, 'yyyy-MM')", "documents": "date_format(revised_at, 'yyyy-MM')"}
 _CHECKS = {
     "fact_vehicles": FACT_CHECKS,
     "dim_model": MODEL_CHECKS,
     "report_rows": (profile.Check("count_value", "not isnan(count_value) and count_value between 1 and 20000 and count_value = floor(count_value)"),),
     "raw_report_lines": (profile.Check("record_text", "try_parse_json(record_text) is not null"),),
+    "documents": (profile.Check("n_chars", "n_chars = char_length(text)"), profile.Check("lang", "lang in ('en', 'fr', 'de', 'es')")),
 }
 
 
@@ -189,6 +192,24 @@ def p3_control_limits(spark: SparkSession, d: str) -> DataFrame:
     return judged.where("is_anomaly").select("load_id", "column_name", "bad_share")
 
 
+def p3_table_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Every metric of every column of every large table in every load."""
+    parts = []
+    for name, load in _LOADS.items():
+        df = table(spark, d, name)
+        states = profile.partition_states(df.withColumn("_load", F.expr(load)), "_load", df.columns, _CHECKS[name])
+        parts.append(profile.load_metrics(states, [c for c, t in df.dtypes if t != "string"]).withColumn("table_name", F.lit(name)))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select("table_name", "partition_key", "column_name", "metric", "value")
+
+
+def p3_table_limits(spark: SparkSession, d: str) -> DataFrame:
+    """Loads in which a metric of a column leaves three deviations of the twelve loads before; ``p3_control_limits`` and its SQL test the bad share of two columns."""
+    return profile.load_changes(p3_table_metrics(spark, d), ["table_name", "column_name", "metric"])
+
+
 _COUNT_OK = "not isnan(vehicle_count) and vehicle_count between 1 and 20000 and vehicle_count = floor(vehicle_count)"
 _DATE_OK = "reporting_date = date_trunc('month', reporting_date) and reporting_date >= timestamp '2019-01-01' and (loaded_at is null or reporting_date <= loaded_at)"
 _MOTOR_OK = MODEL_CHECKS[0].valid
@@ -260,6 +281,8 @@ QUERIES = {
     "p3_profile": p3_profile,
     "p3_load_metrics": p3_load_metrics,
     "p3_control_limits": p3_control_limits,
+    "p3_table_metrics": p3_table_metrics,
+    "p3_table_limits": p3_table_limits,
     "p4_found": p4_found,
     "p4_brand_summary": p4_brand_summary,
 }

@@ -58,3 +58,21 @@ def test_control_limits(spark):
     df = spark.createDataFrame([(i, 1.0 + (i % 3) * 0.1) for i in range(12)] + [(12, 9.0)], "t bigint, m double").withColumn("s", F.lit("a"))
     judged = {r.t: r.is_anomaly for r in profile.control_limits(df, ["s"], "t", "m").collect()}
     assert judged[12] is True and judged[0] is None and not any(judged[i] for i in range(6, 12))
+
+
+def test_changes_of_every_metric_and_column(spark):
+    data = [(str(load), float(i + (100 if load == 11 else 0)), "one" if load == 10 else f"s{i}", None if load == 9 and i < 5 else i) for load in range(12) for i in range(10)]
+    data.append((None, 1e9, "x", 1))
+    df = spark.createDataFrame(data, "load string, x double, s string, y int")
+    metrics = profile.load_metrics(profile.partition_states(df, "load", ["x", "s", "y"]), ["x", "y"])
+    got = {(r.partition_key, r.column_name, r.metric) for r in profile.load_changes(metrics).collect()}
+    assert got == {("11", "x", "low"), ("11", "x", "high"), ("10", "s", "distinct"), ("9", "y", "null_share"), ("9", "y", "distinct"), ("9", "y", "low")}
+
+
+def test_every_large_table_is_profiled(spark):
+    from ledgerloom.queries import general
+
+    d = "/root/testdata/sf0.001"
+    rows = general.p3_profile(spark, d).where("table_name = 'documents'").collect()
+    assert {r.column_name for r in rows} == set(spark.read.parquet(f"{d}/documents.parquet").columns)
+    assert {r.table_name for r in general.p3_table_metrics(spark, d).select("table_name").distinct().collect()} == set(general._PARTITION)
