@@ -158,17 +158,18 @@ def load_shifts(
     state is its sum. A partition is reported once per measure when its null share is more than
     ``null_margin`` from the table's, or its median is more than ``median_factor`` times the table's or
     less than the table's divided by it. Measures without any value in a partition have no median there.
-    A null partition value is not reported: those rows belong to no load.
+    A null partition value is not reported, as those rows belong to no load; they count in the whole table.
     """
     entries = [
         F.struct(F.lit(name).alias("column_name"), watched.isNull().alias("missing"), number.cast("double").alias("number"))
         for name, (watched, number) in measures.items()
     ]
-    long = df.select(F.col(f"`{partition}`").cast("string").alias("row_key"), F.explode(F.array(*entries)).alias("e")).where("row_key is not null")
+    long = df.select(F.col(f"`{partition}`").cast("string").alias("row_key"), F.explode(F.array(*entries)).alias("e"))
     states = cut(compress(long.select("row_key", "e.*"), ["row_key", "column_name", "missing"], "number"))
     nulls = F.sum(F.when(F.col("missing"), F.col("_n")).otherwise(0)) / F.sum("_n")
-    each = states.groupBy("row_key", "column_name").agg(nulls.alias("null_share"))
-    each_median = weighted_medians(states, ["row_key", "column_name"])
+    loads = states.where("row_key is not null")
+    each = loads.groupBy("row_key", "column_name").agg(nulls.alias("null_share"))
+    each_median = weighted_medians(loads, ["row_key", "column_name"])
     whole_states = states.groupBy("column_name", "missing", "_value").agg(F.sum("_n").alias("_n"))
     whole = whole_states.groupBy("column_name").agg(nulls.alias("all_null_share"))
     whole_median = weighted_medians(whole_states, ["column_name"]).withColumnRenamed("median", "all_median")

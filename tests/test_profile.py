@@ -76,3 +76,9 @@ def test_every_large_table_is_profiled(spark):
     rows = general.p3_profile(spark, d).where("table_name = 'documents'").collect()
     assert {r.column_name for r in rows} == set(spark.read.parquet(f"{d}/documents.parquet").columns)
     assert {r.table_name for r in general.p3_table_metrics(spark, d).select("table_name").distinct().collect()} == set(general._PARTITION)
+
+
+def test_rows_of_no_load_count_in_the_whole_table(spark):
+    df = spark.createDataFrame([("a", 1.0)] * 10 + [("b", 10.0)] * 2 + [(None, 10.0)] * 20, "load string, x double")
+    shifts = profile.load_shifts(df, "load", {"x": (F.col("x"), F.col("x"))}, "t")
+    assert [r.row_key for r in shifts.collect()] == ["a"]
