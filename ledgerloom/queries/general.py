@@ -26,7 +26,7 @@ HEAVY_SHARE = 0.04
 
 def _codes(spark: SparkSession, d: str) -> dict[int, str]:
     """The numbers that stand for licence types; dim_licensetype has six rows at every scale."""
-    rows = table(spark, d, "dim_licensetype").select(F.regexp_extract("licensetype_id", r"(\d+)$", 1).cast("int").alias("n"), "canonical_name").limit(1000).collect()
+    rows = table(spark, d, "dim_licensetype").select(F.regexp_extract("licensetype_id", r"(\d+)$", 1).cast("int").alias("n"), "canonical_name").collect()
     return {r.n: r.canonical_name for r in rows if r.n is not None}
 
 

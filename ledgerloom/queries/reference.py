@@ -113,7 +113,7 @@ _VALUES = f"select distinct governorate as value from report_rows where {c_sql('
 @query("select governorate_id, canonical_name, normalized_name, 'all' as block from dim_governorate")
 def scan_skip_header(spark: SparkSession, d: str) -> DataFrame:
     """A workbook with three title rows and a merged block column, written and scanned again (the governorate list has 24 rows at every scale)."""
-    rows = [tuple(r) for r in table(spark, d, "dim_governorate").select("governorate_id", "canonical_name", "normalized_name").limit(10_000).collect()]
+    rows = [tuple(r) for r in table(spark, d, "dim_governorate").select("governorate_id", "canonical_name", "normalized_name").collect()]
     sheet = [["Report"], [None], ["as of today"], ["block", "governorate_id", "canonical_name", "normalized_name"]]
     sheet += [["all" if i == 0 else None, *r] for i, r in enumerate(rows)]
     merges = [f"A5:A{len(sheet)}"] if len(rows) > 1 else []

@@ -77,3 +77,10 @@ def test_every_field_comes_out_under_any_spelling(spark):
     assert (got[0].count_value, got[0].brand, got[0].license_type) == (3.0, "X", "Taxi")
     assert (got[1].count_value, got[1].license_type) == (1.0, "Private")
     assert [got[i].others for i in range(3)] == [{"seats": "4", "imported": "true", "remarks": None}, {"fuel": "Gas", "--": "a"}, {}]
+
+
+def test_all_codes_are_read(spark, tmp_path):
+    from ledgerloom.queries import general
+
+    spark.range(1200).selectExpr("concat('LT', id) as licensetype_id", "concat('n', id) as canonical_name").write.parquet(str(tmp_path / "dim_licensetype.parquet"))
+    assert len(general._codes(spark, str(tmp_path))) == 1200
