@@ -23,11 +23,13 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None, memory:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names in ``spark.checkpoint.dir``; make one only where none is set."""
+    """Use the shared folder the cluster names in ``spark.checkpoint.dir``; make one only where none is set and the session is local."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="ledgerloom-checkpoint-"))
 
 
