@@ -4,7 +4,9 @@ A partition-based pigeonhole join, in SQL. A reference key of n letters may diff
 cut into k+1 segments; a text within k edits must hold at least one segment unchanged, near its place.
 So the typed keys are probed by the substrings at the few positions where a segment may lie, with an
 equality join on (scope, length, segment number, substring); the pairs that meet are verified with
-``levenshtein``. What meets nothing, or fits two entries equally well, is reported through an anti-join.
+``levenshtein``. Only lengths that the scope's entries have are probed. Keys are first sought within two edits, where
+segments are long and few; only what no entry is so near to is sought with the whole number of edits. What meets
+nothing, or fits two entries equally well, is found by an anti-join and reported.
 
 Values are resolved once for each distinct value, never for each row.
 """
@@ -21,13 +23,16 @@ from ledgerloom.session import cut
 #: Edits allowed for a reference key of at least so many letters; names of several words may hold several slips.
 EDITS = ((5, 2), (4, 1))
 MODEL_EDITS = ((11, 4), (9, 3), (5, 2), (4, 1))
+RECORD_EDITS = ((11, 3), (5, 2), (4, 1))
+#: Edits within which keys are sought first.
+NEAR = 2
 
 NONE = "none"
 
 
-def _allowed(n: str) -> str:
-    model, other = (" ".join(f"when {n} >= {least} then {k}" for least, k in edits) for edits in (MODEL_EDITS, EDITS))
-    return f"case when scope like 'model|%' then case {model} else 0 end else case {other} else 0 end end"
+def _allowed(n: str, most: int) -> str:
+    model, record, other = (" ".join(f"when {n} >= {least} then {min(k, most)}" for least, k in edits) for edits in (MODEL_EDITS, RECORD_EDITS, EDITS))
+    return f"case when scope like 'model|%' then case {model} else 0 end when scope like 'record|%' then case {record} else 0 end else case {other} else 0 end end"
 
 
 def _segment_start(n: str, k: str, i: str) -> str:
@@ -38,62 +43,52 @@ def _segment_length(n: str, k: str, i: str) -> str:
     return f"({n} div ({k} + 1) + case when {i} >= {k} + 1 - {n} % ({k} + 1) then 1 else 0 end)"
 
 
-_MOST = max(k for _, k in EDITS + MODEL_EDITS)
+_MOST = max(k for _, k in EDITS + MODEL_EDITS + RECORD_EDITS)
 
-_PIECES = f"""
-select scope, entity_id, key, trim, n, i, k, substring(key, {_segment_start('n', 'k', 'i')}, {_segment_length('n', 'k', 'i')}) as piece
-from (select *, explode(sequence(0, k)) as i
-      from (select *, {_allowed('n')} as k from (select distinct scope, entity_id, key, trim, length(key) as n from {{refs}} where key <> '')))
-where k > 0
-"""
 
-_PROBES = f"""
-select distinct scope, key, trims, n, i, substring(key, p, l) as piece
-from (
-  select *, explode(case when first <= final then sequence(first, final) else array() end) as p
+def _verified(typed: str, refs: str, most: int) -> str:
+    """Common table expressions; ``verified`` has the pairs of typed and reference keys within the allowed edits, of which there are ``most`` at most."""
+    return f"""
+cut_refs as (
+  select *, {_allowed('n', most)} as k from (select distinct scope, entity_id, key, trim, length(key) as n from {refs} where key <> '')),
+lengths as (select distinct scope, n, k from cut_refs where k > 0),
+pieces as (
+  select scope, entity_id, key, trim, n, i, k, substring(key, {_segment_start('n', 'k', 'i')}, {_segment_length('n', 'k', 'i')}) as piece
+  from (select *, explode(sequence(0, k)) as i from cut_refs where k > 0)),
+placed as (
+  select t.scope, t.key, t.trims, length(t.key) as m, l.n, l.k, explode(sequence(0, l.k)) as i
+  from {typed} t join lengths l on t.scope = l.scope and length(t.key) between l.n - l.k and l.n + l.k where t.key <> ''),
+probes as (
+  select scope, key, trims, n, i, substring(key, p, l) as piece
   from (
-    select *,
-      greatest(1, s - i, s + (m - n) - (k - i)) as first,
-      least(m - l + 1, s + i, s + (m - n) + (k - i)) as final
+    select *, explode(case when first <= final then sequence(first, final) else array() end) as p
     from (
-      select *, {_segment_start('n', 'k', 'i')} as s, {_segment_length('n', 'k', 'i')} as l
-      from (
-        select *, explode(sequence(0, k)) as i
-        from (
-          select *, {_allowed('n')} as k
-          from (select scope, key, trims, length(key) as m, explode(sequence(greatest(1, length(key) - {_MOST}), length(key) + {_MOST})) as n from {{typed}} where key <> ''))
-        where k > 0 and abs(m - n) <= k))))
+      select *, greatest(1, s - i, s + (m - n) - (k - i)) as first, least(m - l + 1, s + i, s + (m - n) + (k - i)) as final
+      from (select *, {_segment_start('n', 'k', 'i')} as s, {_segment_length('n', 'k', 'i')} as l from placed)))),
+verified as (
+  select b.scope, b.key, b.trims, p.entity_id, p.key as ref_key, levenshtein(b.key, p.key, p.k) as d
+  from probes b join pieces p on b.scope = p.scope and b.n = p.n and b.i = p.i and b.piece = p.piece
+  where levenshtein(b.key, p.key, p.k) between 0 and p.k
+    and (array_contains(b.trims, p.trim) or p.trim = '' and array_contains(b.trims, '~') and levenshtein(b.key, p.key, 2) between 0 and 2))
 """
 
-_VERIFIED = """
-select b.scope, b.key, b.trims, p.entity_id, p.key as ref_key, levenshtein(b.key, p.key, p.k) as d
-from probes b join pieces p on b.scope = p.scope and b.n = p.n and b.i = p.i and b.piece = p.piece
-where levenshtein(b.key, p.key, p.k) between 0 and p.k
-  and (array_contains(b.trims, p.trim) or p.trim = '' and array_contains(b.trims, '~') and levenshtein(b.key, p.key, 2) between 0 and 2)
+
+_EXACT = """
+select t.scope, t.key, t.trims, min(r.entity_id) as low, max(r.entity_id) as high
+from {typed} t join {refs} r on t.scope = r.scope and t.key = r.key and (array_contains(t.trims, r.trim) or r.trim = '' and array_contains(t.trims, '~'))
+group by t.scope, t.key, t.trims
 """
 
 _CLOSEST = """
-with exact as (
-  select t.scope, t.key, t.trims, min(r.entity_id) as low, max(r.entity_id) as high
-  from {typed} t join {refs} r on t.scope = r.scope and t.key = r.key and (array_contains(t.trims, r.trim) or r.trim = '' and array_contains(t.trims, '~'))
-  group by t.scope, t.key, t.trims),
-left_over as (
-  select t.* from {typed} t left anti join exact e on t.scope = e.scope and t.key = e.key and t.trims = e.trims),
-pieces as (@pieces),
-probes as (@probes),
-verified as (@verified),
+with @verified,
 ranked as (
   select scope, key, trims, d, min(entity_id) as low, max(entity_id) as high from verified group by scope, key, trims, d),
 nearest as (
   select scope, key, trims, min(struct(d, low, high)) as best from ranked group by scope, key, trims)
-select scope, key, trims, low as entity_id from exact where low = high
-union all
-select scope, key, trims, best.low from nearest where best.low = best.high
-""".replace("@pieces", _PIECES).replace("@probes", _PROBES.replace("{typed}", "left_over")).replace("@verified", _VERIFIED)
+select scope, key, trims, best.low as low, best.high as high from nearest
+"""
 
-_NEAR = "with pieces as (@pieces), probes as (@probes), verified as (@verified) select distinct scope, key, ref_key, d from verified where key < ref_key".replace(
-    "@pieces", _PIECES
-).replace("@probes", _PROBES).replace("@verified", _VERIFIED)
+_NEAR = f"with {_verified('{typed}', '{refs}', _MOST)} select distinct scope, key, ref_key, d from verified where key < ref_key"
 
 
 def closest(typed: DataFrame, refs: DataFrame) -> DataFrame:
@@ -105,7 +100,15 @@ def closest(typed: DataFrame, refs: DataFrame) -> DataFrame:
     An equal key comes before any other. Several entries at the least distance give no row. Keys of
     fewer than four letters only match exactly. Null scopes and keys match nothing.
     """
-    return typed.sparkSession.sql(_CLOSEST, typed=cut(typed), refs=cut(refs))
+    spark, refs = typed.sparkSession, cut(refs)
+    left, on, found = cut(typed), ["scope", "key", "trims"], []
+    for most in (0, NEAR, _MOST):
+        sql = _CLOSEST.replace("@verified", _verified("{typed}", "{refs}", most)) if most else _EXACT
+        met = cut(spark.sql(sql, typed=left, refs=refs))
+        found.append(met.where("low = high").select(*on, F.col("low").alias("entity_id")))
+        if most < _MOST:
+            left = cut(left.join(met, on, "left_anti"))
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 def near_keys(keys: DataFrame) -> DataFrame:
@@ -163,6 +166,13 @@ def model_refs(models: DataFrame, brand_names: DataFrame) -> DataFrame:
     return names.with_trim(names.with_model_parts(known, "name", "brand_keys")).select(_model_scope().alias("scope"), F.col("model_id").alias("entity_id"), "key", "trim").distinct()
 
 
+def _reported(keyed: DataFrame, found: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns..., entity_id`` of the keyed values: those that met an entry, and by anti-join those that stand for none."""
+    on, met = ["scope", "key", "trims"], cut(found)
+    matched = keyed.join(met, on).select(*columns, "entity_id")
+    return cut(matched.unionByName(keyed.join(met, on, "left_anti").select(*columns, F.lit(NONE).alias("entity_id"))))
+
+
 def resolve_rows(rows: DataFrame, brands: DataFrame, brand_aliases: DataFrame, models: DataFrame, places: DataFrame, place_aliases: DataFrame) -> DataFrame:
     """Typed values of ``brand``, ``governorate`` and ``model`` that are no canonical names: ``row_id, field_name, entity_id``.
 
@@ -182,18 +192,16 @@ def resolve_rows(rows: DataFrame, brands: DataFrame, brand_aliases: DataFrame, m
     keyed_values = cut(odd_values[0].unionByName(odd_values[1]))
     refs = brand_refs(brands, brand_aliases).unionByName(place_refs(places, place_aliases))
     found_values = closest(keyed_values.select("scope", "key", "trims").distinct(), refs)
-    resolved = cut(keyed_values.join(found_values, ["scope", "key", "trims"], "left").select("scope", "value", "entity_id"))
+    resolved = _reported(keyed_values, found_values, ["scope", "value"])
 
     odd_brands = resolved.where("scope = 'brand'").select("value", "entity_id", F.lit(True).alias("odd"))
     branded = rows.select("row_id", F.col("brand").alias("value"), "model").join(exact["brand"].unionByName(odd_brands), "value")
-    brand_cases = branded.where("odd").select("row_id", F.lit("brand").alias("field_name"), F.coalesce("entity_id", F.lit(NONE)).alias("entity_id"))
+    brand_cases = branded.where("odd").select("row_id", F.lit("brand").alias("field_name"), "entity_id")
     place_cases = (
-        rows.select("row_id", F.col("governorate").alias("value"))
-        .join(resolved.where("scope = 'governorate'"), "value")
-        .select("row_id", F.lit("governorate").alias("field_name"), F.coalesce("entity_id", F.lit(NONE)).alias("entity_id"))
+        rows.select("row_id", F.col("governorate").alias("value")).join(resolved.where("scope = 'governorate'"), "value").select("row_id", F.lit("governorate").alias("field_name"), "entity_id")
     )
 
-    with_model = branded.where(F.col("entity_id").isNotNull() & ~_blank(F.col("model"))).select("row_id", F.col("entity_id").alias("brand_id"), F.col("model").alias("value"))
+    with_model = branded.where((F.col("entity_id") != NONE) & ~_blank(F.col("model"))).select("row_id", F.col("entity_id").alias("brand_id"), F.col("model").alias("value"))
     pairs = with_model.select("brand_id", "value").distinct()
     canonical_models = models.where("canonical_name is not null").select("brand_id", F.col("canonical_name").alias("value")).distinct()
     odd_models = pairs.join(canonical_models, ["brand_id", "value"], "left_anti")
@@ -201,6 +209,6 @@ def resolve_rows(rows: DataFrame, brands: DataFrame, brand_aliases: DataFrame, m
     known = odd_models.join(brand_names, F.col("brand_id") == F.col("_names_of"), "left")
     keyed = cut(names.with_typed_trims(names.with_model_parts(known, "value", "brand_keys")).select("brand_id", "value", _model_scope().alias("scope"), "key", "trims", "numbers"))
     found = closest(keyed.where("key <> '' or numbers <> ''").select("scope", "key", "trims").distinct(), model_refs(models, brand_names))
-    model_map = keyed.join(found, ["scope", "key", "trims"], "left").select("brand_id", "value", "entity_id")
-    model_cases = with_model.join(model_map, ["brand_id", "value"]).select("row_id", F.lit("model").alias("field_name"), F.coalesce("entity_id", F.lit(NONE)).alias("entity_id"))
+    model_map = _reported(keyed, found, ["brand_id", "value"])
+    model_cases = with_model.join(model_map, ["brand_id", "value"]).select("row_id", F.lit("model").alias("field_name"), "entity_id")
     return brand_cases.unionByName(place_cases).unionByName(model_cases)

@@ -108,7 +108,8 @@ def with_typed_trims(df: DataFrame) -> DataFrame:
     def hit(trim: str) -> Column:
         n = len(trim)
         ending = near(F.right("key", F.lit(n)), trim) | near(F.right("key", F.lit(n + 1)), trim) | (near(F.right("key", F.lit(n - 1)), trim) if n > 2 else F.lit(False))
-        whole = ((F.length("_last") >= max(1, n - 1)) & near(F.col("_last"), trim)) | (F.col("_sorted") == "".join(sorted(trim)))
+        # most last words are too long or too short to be near at all
+        whole = F.length("_last").between(max(1, n - 1), n + 1) & (near(F.col("_last"), trim) | (F.col("_sorted") == "".join(sorted(trim))))
         return F.when(F.when(F.col("_one"), ending).otherwise(whole), F.lit(trim))
 
     step = step.withColumn("_found", F.filter(F.array(*[hit(t) for t in TRIMS]), lambda t: t.isNotNull()))

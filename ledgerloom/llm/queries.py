@@ -11,12 +11,21 @@ from ledgerloom.tables import table
 # -- p2: best representative of each duplicate group
 
 
+def _resolution(spark: SparkSession, d: str) -> survivor.Resolution:
+    return survivor.Resolution(*[table(spark, d, t) for t in ("dim_model", "dim_brand", "dim_brand_alias", "source_trust")])
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return survivor.duplicate_pairs(*[table(spark, d, t) for t in ("dim_model", "dim_brand", "dim_brand_alias")])
+    return _resolution(spark, d).pairs()
+
+
+def p2_members(spark: SparkSession, d: str) -> DataFrame:
+    """The group of each record, one row a record: the form that does not grow with the square of a group."""
+    return _resolution(spark, d).members()
 
 
 def p2_survivors(spark: SparkSession, d: str) -> DataFrame:
-    return survivor.survivors(*[table(spark, d, t) for t in ("dim_model", "dim_brand", "dim_brand_alias", "source_trust")])
+    return _resolution(spark, d).survivors()
 
 
 # -- p5: mapping free-entered values to a canonical list
@@ -66,7 +75,7 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(p6_containers(spark, d))
 
 
-QUERIES = {"p2_found": p2_found, "p2_survivors": p2_survivors, "p5_found": p5_found, "p7_found": p7_found, "p7_item_report": p7_item_report,
+QUERIES = {"p2_found": p2_found, "p2_members": p2_members, "p2_survivors": p2_survivors, "p5_found": p5_found, "p7_found": p7_found, "p7_item_report": p7_item_report,
     "p8_found": p8_found,
     "p8_composition": p8_composition,
     "p6_containers": p6_containers,
