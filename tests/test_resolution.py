@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 
 from ledgerloom.functions.similarity import lcs_length, ratio
 from ledgerloom.functions.text import clean_token, fold, normalize_text
-from ledgerloom.operators import components, dimensions, resolution, sequences
+from ledgerloom.operators import dimensions, resolution, sequences
 from pyspark.sql import functions as F
 
 
@@ -81,13 +81,10 @@ def test_align_answers(spark):
     assert sorted(tuple(r) for r in resolution.align_answers(requests, answers, "i", "o").collect()) == [(0, "a", "y"), (1, "b", None), (2, "c", None)]
 
 
-def test_numbers_components_upserts(spark):
+def test_numbers_upserts(spark):
     df = spark.createDataFrame([(i * 7 % 50,) for i in range(50)], "x int")
     assert [r.ordinal for r in sequences.numbered(df, ["x"]).orderBy("x").collect()] == list(range(1, 51))
     assert sequences.numbered(df.limit(0), ["x"]).count() == 0
-    edges = spark.createDataFrame([(str(i), str(i + 1)) for i in range(10, 40)] + [("a", "b"), ("b", "a"), ("c", "c"), (None, "d")], "l string, r string")
-    labels = {r.node: r.label for r in components.components(edges, "l", "r").collect()}
-    assert {labels[str(i)] for i in range(10, 41)} == {"10"} and labels["a"] == labels["b"] == "a" and "c" not in labels
     target = spark.createDataFrame([("1", "a"), ("2", "b")], "k string, v string")
     source = spark.createDataFrame([("2", None), ("3", "c")], "k string, v string")
     once = dimensions.merge_upsert(target, source, "k")
