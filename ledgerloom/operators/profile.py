@@ -6,6 +6,10 @@ gives one mergeable state row per partition (a load): counts, null counts, extre
 HyperLogLog sketches. States of old partitions are kept; a new load adds its own row, and the profile of
 the whole table is a merge of states, not a new scan. Anomaly tests compare the metrics of a partition
 with the whole table or with the history before it.
+
+Where medians or the broken rows themselves are wanted, the shared scan (``audit_states``) keeps value frequencies: per partition
+and checked column one row per value, and one per broken row. These states merge by adding them up, and null shares, medians,
+broken rows and shifts all come from them.
 """
 
 from __future__ import annotations
@@ -17,8 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.operators.skew import compress, weighted_medians
-from ledgerloom.session import cut
+from ledgerloom.operators.skew import weighted_medians
 
 
 @dataclass(frozen=True)
@@ -133,49 +136,71 @@ def load_changes(metrics: DataFrame, series: Sequence[str] = ("column_name", "me
     return judged.where((F.col("value") < F.col("limit_low") - slack) | (F.col("value") > F.col("limit_high") + slack))
 
 
-def violations(df: DataFrame, checks: Sequence[Check], table_name: str, row_key: str) -> DataFrame:
+def audit_states(df: DataFrame, partition: str | None, row_key: str, checks: Sequence[Check], numbers: dict[str, Column] | None = None) -> DataFrame:
+    """One aggregate scan; ``partition_key, column_name, missing, broken_key, is_broken, value, n``, mergeable by adding ``n`` up.
+
+    A row of the table gives one entry per checked column. Entries of the right form are counted by ``numbers[column]`` (the
+    number whose median is wanted, null if none); a broken entry also keeps its ``row_key``, so the cases need no second
+    scan, and spreads over the tasks by it, however many there are. Null partitions, keys and numbers are kept; NaN is the largest
+    number. Several checks of one column count as one. An empty table or no checks give no states.
+    """
+    by_column: dict[str, Column] = {}
+    for check in checks:
+        by_column[check.column] = by_column.get(check.column, F.lit(False)) | check.broken()
+    key, numbers = F.col(f"`{row_key}`").cast("string"), numbers or {}
+    entries = [
+        F.struct(
+            F.lit(name).alias("column_name"), F.col(f"`{name}`").isNull().alias("missing"), broken.alias("is_broken"),
+            F.when(broken, key).alias("broken_key"), numbers.get(name, F.lit(None)).cast("double").alias("value"),
+        )
+        for name, broken in by_column.items()
+    ]
+    part = F.col(f"`{partition}`").cast("string") if partition else F.lit(None).cast("string")
+    if not entries:
+        empty = "partition_key string, column_name string, missing boolean, is_broken boolean, broken_key string, value double, n bigint"
+        return df.sparkSession.createDataFrame([], empty)
+    long = df.select(part.alias("partition_key"), F.explode(F.array(*entries)).alias("e")).select("partition_key", "e.*")
+    return long.groupBy("partition_key", "column_name", "missing", "is_broken", "broken_key", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def merge_audits(*states: DataFrame) -> DataFrame:
+    """The states of several loads as one: rows of the same kind are added up, so a new load is merged without the old rows."""
+    every = states[0]
+    for more in states[1:]:
+        every = every.unionByName(more)
+    return every.groupBy("partition_key", "column_name", "missing", "is_broken", "broken_key", "value").agg(F.sum("n").alias("n"))
+
+
+def save_audit(states: DataFrame, path: str) -> None:
+    """Writes states in a folder per partition; a load that is written again replaces its own states only."""
+    states.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("partition_key").parquet(path)
+
+
+def broken_rows(states: DataFrame, table_name: str) -> DataFrame:
     """One row per broken value: ``case_kind='value', table_name, column_name, row_key``."""
-    if not checks:
-        return df.sparkSession.createDataFrame([], "case_kind string, table_name string, column_name string, row_key string")
-    hits = F.filter(F.array(*[F.when(c.broken(), F.lit(c.column)) for c in checks]), lambda x: x.isNotNull())
-    return df.select(F.col(f"`{row_key}`").cast("string").alias("row_key"), F.explode(F.array_distinct(hits)).alias("column_name")).select(
-        F.lit("value").alias("case_kind"), F.lit(table_name).alias("table_name"), "column_name", "row_key"
-    )
+    each = states.where("is_broken").withColumn("_i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))))
+    return each.select(F.lit("value").alias("case_kind"), F.lit(table_name).alias("table_name"), "column_name", F.col("broken_key").alias("row_key"))
 
 
-def load_shifts(
-    df: DataFrame,
-    partition: str,
-    measures: dict[str, tuple[Column, Column]],
-    table_name: str,
-    null_margin: float = 0.15,
-    median_factor: float = 2.0,
-) -> DataFrame:
-    """Partitions whose null share or median leaves the limits set by the whole table.
+def shifts(states: DataFrame, table_name: str, null_margin: float = 0.15, median_factor: float = 2.0) -> DataFrame:
+    """Partitions whose null share or median leaves the limits set by the whole table: ``case_kind='shift', table_name, column_name, row_key``.
 
-    ``measures`` maps a column name to the column whose nulls are watched and the number whose median is. The mergeable
-    state is a value-frequency row per (measure, partition, value), from one scan; the table-level
-    state is its sum. A partition is reported once per measure when its null share is more than
+    The whole table's state is the sum of ``audit_states``. A partition is reported once per column when its null share is more than
     ``null_margin`` from the table's, or its median is more than ``median_factor`` times the table's or
-    less than the table's divided by it. Measures without any value in a partition have no median there.
-    A null partition value is not reported, as those rows belong to no load; they count in the whole table.
+    less than the table's divided by it. Columns without any number in a partition have no median there.
+    A null partition is not reported, as its rows belong to no load; they count in the whole table.
     """
-    entries = [
-        F.struct(F.lit(name).alias("column_name"), watched.isNull().alias("missing"), number.cast("double").alias("number"))
-        for name, (watched, number) in measures.items()
-    ]
-    long = df.select(F.col(f"`{partition}`").cast("string").alias("row_key"), F.explode(F.array(*entries)).alias("e"))
-    states = cut(compress(long.select("row_key", "e.*"), ["row_key", "column_name", "missing"], "number"))
+    summed = states.groupBy(F.col("partition_key").alias("row_key"), "column_name", "missing", F.col("value").alias("_value")).agg(F.sum("n").alias("_n"))
     nulls = F.sum(F.when(F.col("missing"), F.col("_n")).otherwise(0)) / F.sum("_n")
-    loads = states.where("row_key is not null")
+    loads = summed.where("row_key is not null")
     each = loads.groupBy("row_key", "column_name").agg(nulls.alias("null_share"))
     each_median = weighted_medians(loads, ["row_key", "column_name"])
-    whole_states = states.groupBy("column_name", "missing", "_value").agg(F.sum("_n").alias("_n"))
+    whole_states = summed.groupBy("column_name", "missing", "_value").agg(F.sum("_n").alias("_n"))
     whole = whole_states.groupBy("column_name").agg(nulls.alias("all_null_share"))
     whole_median = weighted_medians(whole_states, ["column_name"]).withColumnRenamed("median", "all_median")
     return (
         each.join(each_median, ["row_key", "column_name"], "left")
-        .join(F.broadcast(whole.join(whole_median, "column_name", "left")), "column_name")  # one row per measure
+        .join(F.broadcast(whole.join(whole_median, "column_name", "left")), "column_name")  # one row per column
         .where(
             (F.abs(F.col("null_share") - F.col("all_null_share")) > F.lit(null_margin))
             | F.coalesce((F.col("median") > F.col("all_median") * F.lit(median_factor)) | (F.col("median") < F.col("all_median") / F.lit(median_factor)), F.lit(False))
@@ -184,6 +209,20 @@ def load_shifts(
     )
 
 
+def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """``column_name, n_distinct``: exact numbers of distinct non-null values, all columns from one scan.
+
+    Long texts travel as a digest of 128 bits. Each (column, value) is combined on the map side and hashed over all tasks, so
+    neither a column nor a value is one task's work. NaN is one value; a column of nulls has none.
+    """
+    names = [n for n in (columns or df.columns)]
+    values = [F.struct(F.lit(i).alias("c"), F.col(f"`{n}`").cast("string").alias("x")) for i, n in enumerate(names)]
+    long = df.select(F.explode(F.array(*values)).alias("e")).select("e.c", F.when(F.length("e.x") > 40, F.md5("e.x")).otherwise(F.col("e.x")).alias("x"))
+    counts = long.where("x is not null").distinct().groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    listed = df.sparkSession.createDataFrame(list(enumerate(names)), "c int, column_name string")
+    return listed.join(counts, "c", "left").select("column_name", F.coalesce("n", F.lit(0).cast("bigint")).alias("n_distinct"))
+
+
 def control_limits(metrics: DataFrame, series: Sequence[str], order: str, metric: str, history: int = 12, width: float = 3.0, least: int = 6) -> DataFrame:
     """Test each metric value against mean plus or minus ``width`` deviations of the ``history`` values before it.
 

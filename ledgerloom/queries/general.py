@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import drift, profile, skew
+from ledgerloom.session import cut
 from ledgerloom.tables import table
 
 MOTOR_TYPES = ("Petrol", "Diesel", "Electric", "Hybrid", "CNG", "REEV")
@@ -138,16 +139,11 @@ select file_id, feed_name, file_month, line_no, {', '.join(columns)} from parsed
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    fact, model = table(spark, d, "fact_vehicles"), table(spark, d, "dim_model")
+    """Broken values and shifted loads, both from the states of one scan of each table."""
     lag = F.timestamp_diff("SECOND", F.col("reporting_date"), F.col("loaded_at"))
-    shifts = profile.load_shifts(
-        fact, "load_id", {"vehicle_count": (F.col("vehicle_count"), F.col("vehicle_count")), "reporting_date": (F.col("reporting_date"), lag)}, "fact_vehicles"
-    )
-    return (
-        profile.violations(fact, FACT_CHECKS, "fact_vehicles", "fact_id")
-        .unionByName(profile.violations(model, MODEL_CHECKS, "dim_model", "model_id"))
-        .unionByName(shifts)
-    )
+    facts = cut(profile.audit_states(table(spark, d, "fact_vehicles"), "load_id", "fact_id", FACT_CHECKS, {"vehicle_count": F.col("vehicle_count"), "reporting_date": lag}))
+    models = profile.audit_states(table(spark, d, "dim_model"), None, "model_id", MODEL_CHECKS)
+    return profile.broken_rows(facts, "fact_vehicles").unionByName(profile.broken_rows(models, "dim_model")).unionByName(profile.shifts(facts, "fact_vehicles"))
 
 
 _NUMERIC = {"fact_vehicles": ("fact_id", "vehicle_count", "load_id"), "dim_model": (), "report_rows": ("row_id", "count_value", "report_year", "report_month"), "raw_report_lines": ("file_id", "line_no"), "documents": ("doc_id", "n_chars", "page_id", "revision_id", "parent_revision_id")}
@@ -164,18 +160,22 @@ _CHECKS = {
 
 
 def p3_profile(spark: SparkSession, d: str) -> DataFrame:
-    """Every column of the large tables: null rate, broken values, range and (approximate) distinct count, merged from per-load states."""
+    """Every column of the large tables: null rate, broken values, range and exact distinct count; counts and ranges are merged from per-load states."""
     parts = []
     for name, partition in _PARTITION.items():
-        states = profile.partition_states(table(spark, d, name), partition, checks=_CHECKS[name])
-        parts.append(profile.merge_states(states, _NUMERIC[name]).withColumn("table_name", F.lit(name)))
+        df = table(spark, d, name)
+        merged = profile.merge_states(profile.partition_states(df, partition, checks=_CHECKS[name]), _NUMERIC[name])
+        number = F.col("column_name").isin(*_NUMERIC[name])
+        ends = [F.when(number, F.col(e).cast("double")).alias(f"{e}_number") for e in ("low", "high")] + [F.when(~number, F.col(e)).alias(f"{e}_text") for e in ("low", "high")]
+        parts.append(
+            merged.join(profile.distinct_counts(df), "column_name").select(
+                F.lit(name).alias("table_name"), "column_name", "n_rows", "n_null", "n_nan", "n_broken", (F.col("n_null") / F.col("n_rows")).alias("null_rate"), "n_distinct", *ends
+            )
+        )
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out.select(
-        "table_name", "column_name", "n_rows", "n_null", "n_nan", "n_broken", (F.col("n_null") / F.col("n_rows")).alias("null_rate"), "low", "high",
-        F.hll_sketch_estimate("hll").alias("approx_distinct"),
-    )
+    return out
 
 
 def p3_load_metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -220,6 +220,35 @@ def _broken_sql(column: str) -> str:
     return {"vehicle_count": f"count_if(vehicle_count is not null and not ({_COUNT_OK}))", "reporting_date": f"count_if(reporting_date is not null and not ({_DATE_OK}))"}.get(column, "0")
 
 
+#: Columns of each table; those of numbers are in ``_NUMERIC``.
+_COLUMNS = {
+    "fact_vehicles": _FACT_COLUMNS,
+    "dim_model": ("model_id", "brand_id", "canonical_name", "normalized_name", "motor_type", "source_system", "updated_at"),
+    "report_rows": ("row_id", "file_name", "governorate", "license_type", "brand", "model", "count_value", "reporting_date", "report_year", "report_month"),
+    "raw_report_lines": ("file_id", "feed_name", "file_month", "file_name", "received_at", "line_no", "record_text"),
+    "documents": ("doc_id", "text", "lang", "source", "n_chars", "page_id", "title", "revision_id", "parent_revision_id", "revised_at", "editor_name", "edit_comment"),
+}
+_CHECKS_SQL = {
+    ("fact_vehicles", "vehicle_count"): _COUNT_OK, ("fact_vehicles", "reporting_date"): _DATE_OK, ("dim_model", "motor_type"): _MOTOR_OK,
+    ("report_rows", "count_value"): _COUNT_OK.replace("vehicle_count", "count_value"), ("raw_report_lines", "record_text"): "json_valid(record_text)",
+    ("documents", "n_chars"): "n_chars = length(text)", ("documents", "lang"): "lang in ('en', 'fr', 'de', 'es')",
+}
+
+
+def _profile_sql(t: str, c: str) -> str:
+    number, double = c in _NUMERIC[t], c in ("vehicle_count", "count_value")
+    ok = _CHECKS_SQL.get((t, c))
+    kept = f"case when not isnan({c}) then {c} end" if double else c
+    ends = ", ".join(f"{f}(cast({kept} as double)) as {n}_number" if number else f"cast(null as double) as {n}_number" for f, n in (("min", "low"), ("max", "high")))
+    texts = ", ".join(f"cast(null as varchar) as {n}_text" if number else f"{f}(cast({c} as varchar)) as {n}_text" for f, n in (("min", "low"), ("max", "high")))
+    return (
+        f"select '{t}' as table_name, '{c}' as column_name, count(*) as n_rows, count_if({c} is null) as n_null, {f'count_if(isnan({c}))' if double else '0'} as n_nan, "
+        f"{f'count_if({c} is not null and not coalesce({ok}, false))' if ok else '0'} as n_broken, count_if({c} is null) / count(*) as null_rate, count(distinct {c}) as n_distinct, {ends}, {texts} from {t}"
+    )
+
+
+_P3_PROFILE = " union all ".join(_profile_sql(t, c) for t, columns in _COLUMNS.items() for c in columns)
+
 _P3_LOAD_METRICS = " union all ".join(
     f"select cast(load_id as varchar) as partition_key, '{c}' as column_name, count(*) as n_rows, count_if({c} is null) as n_null, {'count_if(isnan(vehicle_count))' if c == 'vehicle_count' else '0'} as n_nan, {_broken_sql(c)} as n_broken from fact_vehicles group by load_id"
     for c in _FACT_COLUMNS
@@ -292,6 +321,7 @@ SQL = {
     "p1_lifespans": _P1_LIFESPANS,
     "p1_unified": _p1_unified_sql(),
     "p3_found": _P3_FOUND,
+    "p3_profile": _P3_PROFILE,
     "p3_load_metrics": _P3_LOAD_METRICS,
     "p3_control_limits": _P3_CONTROL,
     "p4_found": "select brand_id from fact_vehicles where brand_id is not null group by brand_id having count(*) > 0.04 * (select count(*) from fact_vehicles)",

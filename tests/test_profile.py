@@ -25,11 +25,16 @@ def test_states_merge_to_the_whole(spark):
     assert profile.partition_states(df.limit(0), "load", checks=[CHECK]).count() == 0
 
 
-def test_violations(spark):
+def test_broken_rows(spark):
     df = spark.createDataFrame([(1, 5.0), (2, None), (3, float("nan")), (4, 11.0), (4, 11.0), (None, 0.0)], "id bigint, x double")
-    got = sorted((r.column_name, r.row_key or "") for r in profile.violations(df, [CHECK], "t", "id").collect())
+    got = sorted((r.column_name, r.row_key or "") for r in profile.broken_rows(profile.audit_states(df, None, "id", [CHECK]), "t").collect())
     assert got == [("x", ""), ("x", "3"), ("x", "4"), ("x", "4")]
-    assert profile.violations(df, [], "t", "id").count() == 0
+    assert profile.broken_rows(profile.audit_states(df, None, "id", []), "t").count() == 0
+    assert profile.audit_states(df.limit(0), None, "id", [CHECK]).count() == 0
+
+
+def shifted(df):
+    return profile.shifts(profile.audit_states(df.withColumn("id", F.lit(1)), "load", "id", [CHECK], {"x": F.col("x")}), "t")
 
 
 def test_shifts_against_brute_force(spark):
@@ -40,13 +45,12 @@ def test_shifts_against_brute_force(spark):
         data += [(load, None if rng.random() < hole else float(rng.randint(1, 20) * scale)) for _ in range(80)]
     data += [(None, 1.0), (99, None)]
     df = spark.createDataFrame(data, "load bigint, x double")
-    got = {r.row_key for r in profile.load_shifts(df, "load", {"x": (F.col("x"), F.col("x"))}, "t").collect()}
-    known = [(k, v) for k, v in data if k is not None]
-    all_null = sum(v is None for _, v in known) / len(known)
-    all_median = median(v for _, v in known if v is not None)
+    got = {r.row_key for r in shifted(df).collect()}
+    all_null = sum(v is None for _, v in data) / len(data)
+    all_median = median(v for _, v in data if v is not None)
     want = set()
-    for load in {k for k, _ in known}:
-        vs = [v for k, v in known if k == load]
+    for load in {k for k, _ in data if k is not None}:
+        vs = [v for k, v in data if k == load]
         values = [v for v in vs if v is not None]
         off = abs(sum(v is None for v in vs) / len(vs) - all_null) > 0.15
         if off or values and (median(values) > 2 * all_median or median(values) < all_median / 2):
@@ -54,6 +58,27 @@ def test_shifts_against_brute_force(spark):
     assert got == want and "99" in got
 
 
+def test_states_are_stored_and_a_new_load_is_merged(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(i, f"load {i % 4}", rng.choice([None, float("nan"), float(rng.randint(-3, 14) * (9 if i % 4 == 3 else 1))])) for i in range(400)]
+    df = spark.createDataFrame(rows, "id bigint, load string, x double")
+    audit = lambda part: profile.audit_states(part, "load", "id", [CHECK], {"x": F.col("x")})
+    path = str(tmp_path / "states")
+    for load in ("load 0", "load 1", "load 2", "load 1"):  # one load comes twice
+        profile.save_audit(audit(df.where(F.col("load") == load)), path)
+    stored = spark.read.schema(audit(df).schema).parquet(path)
+    merged = profile.merge_audits(stored, audit(df.where("load = 'load 3'")))
+    key = lambda d: sorted(map(str, d.select("partition_key", "column_name", "missing", "is_broken", "broken_key", "value", "n").collect()))
+    assert key(merged) == key(audit(df)) == key(profile.merge_audits(merged))
+    for result in (lambda s: profile.broken_rows(s, "t"), lambda s: profile.shifts(s, "t")):
+        assert sorted(map(str, result(merged).collect())) == sorted(map(str, result(audit(df)).collect()))
+
+
+def test_distinct_counts(spark):
+    df = spark.createDataFrame([("a" * 50, 1.0, None), ("a" * 50, float("nan"), None), ("a" * 49 + "b", float("nan"), None), (None, None, None)], "s string, x double, y int")
+    assert {r.column_name: r.n_distinct for r in profile.distinct_counts(df).collect()} == {"s": 2, "x": 2, "y": 0}
+
+
 def test_control_limits(spark):
     df = spark.createDataFrame([(i, 1.0 + (i % 3) * 0.1) for i in range(12)] + [(12, 9.0)], "t bigint, m double").withColumn("s", F.lit("a"))
     judged = {r.t: r.is_anomaly for r in profile.control_limits(df, ["s"], "t", "m").collect()}
@@ -80,5 +105,4 @@ def test_every_large_table_is_profiled(spark):
 
 def test_rows_of_no_load_count_in_the_whole_table(spark):
     df = spark.createDataFrame([("a", 1.0)] * 10 + [("b", 10.0)] * 2 + [(None, 10.0)] * 20, "load string, x double")
-    shifts = profile.load_shifts(df, "load", {"x": (F.col("x"), F.col("x"))}, "t")
-    assert [r.row_key for r in shifts.collect()] == ["a"]
+    assert [r.row_key for r in shifted(df).collect()] == ["a"]
