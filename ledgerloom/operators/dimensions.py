@@ -26,6 +26,16 @@ def merge_upsert(target: DataFrame, source: DataFrame, key: str) -> DataFrame:
     )
 
 
+def update_fields(dim: DataFrame, updates: DataFrame, key: str) -> DataFrame:
+    """The dimension with the non-null fields of ``updates(key, field...)`` in place of its own; keys it does not have are left out.
+
+    Of several updates of one key the greatest value of each field counts.
+    """
+    fields = [c for c in updates.columns if c != key and c in dim.columns]
+    new = updates.groupBy(key).agg(*[F.max(c).alias(f"_new_{c}") for c in fields])
+    return dim.join(new, key, "left").select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in fields else c for c in dim.columns])
+
+
 def merge_aliases(target: DataFrame, source: DataFrame, parent: str, alias: str = "alias") -> DataFrame:
     """Adds trimmed, non-blank (parent, alias) pairs that are not there yet."""
     new = source.select(parent, F.trim(alias).alias(alias)).where(F.col(parent).isNotNull() & (F.col(alias) != "")).dropDuplicates()

@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import clean_token
+from ledgerloom.functions.text import clean_token, normalize_text
 from ledgerloom.operators.sequences import numbered
 
 PRIVATE_NAMES = ("private", "ملاكي")
@@ -80,8 +80,6 @@ def missing_metadata(df: DataFrame) -> DataFrame:
 
 def invalid_name(x: Column) -> Column:
     """Totals and repeated header lines."""
-    from ledgerloom.functions.text import normalize_text
-
     return normalize_text(x).isin(*INVALID_NAMES)
 
 
@@ -96,15 +94,21 @@ def fill_down(df: DataFrame, column: str, block: Sequence[str], order: str) -> D
     return df.withColumn(column, F.last(F.when(F.trim(column) != "", F.col(column)), ignorenulls=True).over(above))
 
 
-def fact_rows(df: DataFrame, year: Column, month: Column, order: Sequence[str], first_id: int = 1) -> DataFrame:
-    """Fact rows numbered in order; ids of absent columns are null, the date is the first of the month."""
+def numbered_facts(df: DataFrame, year: Column, month: Column) -> DataFrame:
+    """Fact rows of rows that have a ``Fact_ID``; ids of absent columns are null, the date is the first of the month.
+
+    Without a count column there are no facts.
+    """
     count = next((c for c in df.columns if c.lower() == "count"), None)
-    if count is None:
-        raise ValueError("no count column")
     ids = [(F.col(c) if c in df.columns else F.lit(None).cast("string")).alias(n) for c, n in FACT_NAMES.items()]
-    rows = df.select(*ids, F.col(count).alias("Vehicle_Count"), F.make_date(year, month, F.lit(1)).alias("Reporting_Date"), *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)])
-    keys = [f"_o{i}" for i in range(len(order))]
-    return numbered(rows, keys, "Fact_ID", first_id).drop(*keys)
+    amount = F.col(count) if count else F.lit(None).cast("double")
+    facts = df.select("Fact_ID", *ids, amount.alias("Vehicle_Count"), F.make_date(year, month, F.lit(1)).alias("Reporting_Date"))
+    return facts if count else facts.limit(0)
+
+
+def fact_rows(df: DataFrame, year: Column, month: Column, order: Sequence[str], first_id: int = 1) -> DataFrame:
+    """Fact rows numbered in order from ``first_id``."""
+    return numbered_facts(numbered(df, order, "Fact_ID", first_id), year, month)
 
 
 def attribute_rows(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:

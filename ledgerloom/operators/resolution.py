@@ -2,12 +2,12 @@
 
 ``values(scope, value)`` are distinct requests; a scope is '' or, for models, the brand they are sought in.
 ``entities(scope, entity_id, name)`` and ``aliases(scope, entity_id, alias, ord)`` are the master data; ``ord`` gives the order in which the
-aliases were known. Every stage is an equality join on a derived key, so none compares all with all.
+aliases were known (a number or a struct). Every stage is an equality join on a derived key, so none compares all with all.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.similarity import ratio_udf
@@ -79,62 +79,86 @@ def _segment(n: str, k: str, i: str) -> tuple[str, str]:
     return start, f"({n} div ({k} + 1) + case when {i} >= {k} + 1 - {n} % ({k} + 1) then 1 else 0 end)"
 
 
+def _marked_letters(x: Column) -> Column:
+    """The letters of a string with their occurrence numbers, so that shared ones are counted as often as both sides have them."""
+    letters = F.filter(F.split(x, ""), lambda ch: ch != "")
+    return F.transform(letters, lambda ch, i: F.concat(ch, F.size(F.filter(F.slice(letters, F.lit(1), i), lambda o: o == ch)).cast("string")))
+
+
 def _fuzzy_candidates(values: DataFrame, aliases: DataFrame, threshold: int) -> DataFrame:
     """Pairs that can reach the threshold: with m and n letters they are at most k = (1 - threshold) * (m + n) insertions and deletions
-    apart, so of k + 1 segments of the alias one stands unchanged in the value, at most k places from its own."""
+    apart (as many as m - n is odd or even), so of k + 1 segments of the alias one stands unchanged in the value: segment i is moved by
+    at most i edits before it and k - i after it. Only lengths that meet in a scope are cut and probed. Edit distance and
+    shared letters are no less than k allows."""
     slack = 100 - threshold
     start, length = _segment("n", "k", "i")
-    low, high = f"cast(ceil(x * {threshold} / {200 - threshold}) as int)", f"cast(floor(x * {200 - threshold} / {threshold}) as int)"
     # column expressions and no SQL text over views: values and aliases may come from two sessions, as in a stream
     p = aliases.where("a <> ''").selectExpr("*", "length(a) as n")
-    p = p.selectExpr("*", f"explode(sequence(greatest(1, {low.replace('x', 'n')}), greatest(1, {high.replace('x', 'n')}))) as m")
-    p = p.selectExpr("*", f"{slack} * (m + n) div 100 as k").selectExpr("*", "explode(sequence(0, k)) as i")
-    p = p.selectExpr("scope", "entity_id", "a", "ord", "n", "m", "i", f"substring(a, {start}, {length}) as piece")
     q = values.where("v <> ''").selectExpr("*", "length(v) as m")
-    q = q.selectExpr("*", f"explode(sequence(greatest(1, {low.replace('x', 'm')}), greatest(1, {high.replace('x', 'm')}))) as n")
-    q = q.selectExpr("*", f"{slack} * (m + n) div 100 as k").selectExpr("*", "explode(sequence(0, k)) as i").selectExpr("*", f"{start} as s", f"{length} as l")
-    q = q.selectExpr("*", "greatest(1, s - k) as first", "least(m - l + 1, s + k) as final")
-    q = q.selectExpr("*", "explode(case when first <= final then sequence(first, final) else array() end) as p")
-    q = q.selectExpr("scope", "value", "v", "n", "m", "i", "substring(v, p, l) as piece").distinct()
-    return q.join(p, ["scope", "m", "n", "i", "piece"]).select("scope", "value", "v", "a", "entity_id", "ord").distinct()
-
-
-def fuzzy_match(values: DataFrame, aliases: DataFrame, threshold: int = FUZZY_THRESHOLD) -> DataFrame:
-    """``scope, value, entity_id, score``: the alias with the highest ratio of at least ``threshold``; ties go to the alias known first."""
+    met = q.select("scope", "m").distinct().join(p.select("scope", "n").distinct(), "scope")
+    met = met.selectExpr("scope", "m", "n", f"{slack} * (m + n) div 100 as top").where("abs(m - n) <= top").selectExpr("scope", "m", "n", "top - (top - abs(m - n)) % 2 as k")
+    met = cut(met.selectExpr("*", "explode(sequence(0, k)) as i").selectExpr("*", f"{start} as s", f"{length} as l"))
+    pieces = p.join(met, ["scope", "n"]).selectExpr("scope", "entity_id", "a", "ord", "n", "m", "i", "k", "substring(a, s, l) as piece")
+    probes = q.join(met, ["scope", "m"]).selectExpr("*", "greatest(1, s - i, s + (m - n) - (k - i)) as first", "least(m - l + 1, s + i, s + (m - n) + (k - i)) as final")
+    probes = probes.selectExpr("*", "explode(case when first <= final then sequence(first, final) else array() end) as p")
+    probes = probes.selectExpr("scope", "value", "v", "n", "m", "i", "substring(v, p, l) as piece")
+    near = probes.join(pieces, ["scope", "m", "n", "i", "piece"]).where(F.expr("levenshtein(v, a, k) between 0 and k"))
+    pairs = near.select("scope", "value", "v", "a", "entity_id", "ord", "m", "n").distinct()
+    shared = F.size(F.array_intersect(_marked_letters(F.col("v")), _marked_letters(F.col("a"))))
+    return pairs.where(shared * 200 >= F.lit(threshold) * (F.col("m") + F.col("n"))).drop("m", "n")
+
+
+def fuzzy_match(values: DataFrame, aliases: DataFrame, threshold: int = FUZZY_THRESHOLD, first_threshold: int = 90) -> DataFrame:
+    """``scope, value, entity_id, score``: the alias with the highest ratio of at least ``threshold``; ties go to the alias known first.
+
+    Values are sought with ``first_threshold`` first, where segments are long and few pairs meet; only those without a hit
+    are sought with ``threshold``. As the highest ratio counts, this changes no result.
+    """
     v = cut(values.withColumn("v", normalize_text(F.col("value"))))
     a = cut(aliases.select("scope", "entity_id", normalize_text(F.col("alias")).alias("a"), "ord").groupBy("scope", "a").agg(F.min(F.struct("ord", "entity_id")).alias("f")).select("scope", "a", "f.ord", "f.entity_id"))
-    scored = _fuzzy_candidates(v, a, threshold).withColumn("score", ratio_udf("v", "a")).where(F.col("score") >= threshold)
-    best = scored.groupBy("scope", "value").agg(F.max(F.struct("score", (-F.col("ord")).alias("o"), "entity_id")).alias("b"))
-    return best.select("scope", "value", "b.entity_id", "b.score")
+    found = []
+    for least in sorted({max(threshold, first_threshold), threshold}, reverse=True):
+        scored = _fuzzy_candidates(v, a, least).withColumn("score", ratio_udf("v", "a")).where(F.col("score") >= least)
+        best = scored.groupBy("scope", "value").agg(F.min(F.struct((-F.col("score")).alias("s"), "ord", "entity_id")).alias("b"))
+        found.append(cut(best.select("scope", "value", "b.entity_id", (-F.col("b.s")).alias("score"))))
+        v = v.join(found[-1], ["scope", "value"], "left_anti")
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
 
 
-def cascade(values: DataFrame, entities: DataFrame, aliases: DataFrame, models: bool = False, use_aliases: bool = True) -> DataFrame:
-    """``scope, value, entity_id, stage`` for every value; stage ``unresolved`` where no stage found one.
+def scored_cascade(values: DataFrame, entities: DataFrame, aliases: DataFrame, models: bool = False, use_aliases: bool = True, threshold: int = FUZZY_THRESHOLD) -> DataFrame:
+    """``scope, value, entity_id, stage, score`` for every value; stage ``unresolved`` where no stage found one.
 
+    ``score`` is the edit distance of typo matches and the ratio of fuzzy ones, else null.
     Stages see the master data as it stood before the run, so their order over values does not matter.
     All-digit models are not matched by likeness; ``use_aliases=False`` leaves the exact alias stage out.
     """
     left = cut(values.select("scope", "value").distinct())
     found = []
 
-    def take(stage: str, hits: DataFrame) -> None:
+    def take(stage: str, hits: DataFrame, score: Column) -> None:
         nonlocal left
-        hits = cut(hits.select("scope", "value", "entity_id", F.lit(stage).alias("stage")))
+        hits = cut(hits.select("scope", "value", "entity_id", F.lit(stage).alias("stage"), score.cast("double").alias("score")))
         found.append(hits)
         left = left.join(hits, ["scope", "value"], "left_anti")
 
-    take("exact", exact_match(left, entities))
+    none = F.lit(None)
+    take("exact", exact_match(left, entities), none)
     if use_aliases:
-        take("alias", alias_match(left, aliases))
+        take("alias", alias_match(left, aliases), none)
     loose = lambda df: df.where(~is_numeric(F.col("value"))) if models else df
-    take("typo", typo_match(loose(left), aliases))
-    take("fuzzy", fuzzy_match(loose(left), aliases))
-    out = left.select("scope", "value", F.lit(None).cast("string").alias("entity_id"), F.lit("unresolved").alias("stage"))
+    take("typo", typo_match(loose(left), aliases), F.col("distance"))
+    take("fuzzy", fuzzy_match(loose(left), aliases, threshold), F.col("score"))
+    out = left.select("scope", "value", none.cast("string").alias("entity_id"), F.lit("unresolved").alias("stage"), none.cast("double").alias("score"))
     for hits in found:
         out = out.unionByName(hits)
     return out
 
 
+def cascade(values: DataFrame, entities: DataFrame, aliases: DataFrame, models: bool = False, use_aliases: bool = True) -> DataFrame:
+    """``scored_cascade`` without the scores."""
+    return scored_cascade(values, entities, aliases, models, use_aliases).drop("score")
+
+
 def numeric_completion(requests: DataFrame, names: DataFrame) -> DataFrame:
     """``scope, value, completion``: an all-digit model completed by one to three letters, if the scope knows exactly one such name."""
     asked = requests.where(is_numeric(F.col("value"))).withColumn("_n", normalize_text(F.col("value")))
@@ -157,8 +181,3 @@ def confident(flag: Column, confidence: Column, gate: float = 0.7) -> Column:
 def first_seen(df: DataFrame, value: str, order: str) -> DataFrame:
     """Distinct values with the place they were first seen at."""
     return df.groupBy(value).agg(F.min(order).alias("first_seen"))
-
-
-def rank_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")

@@ -2,94 +2,93 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.config import Config
 from ledgerloom.functions.text import clean_token, normalize_text
 from ledgerloom.operators import dimensions, provider, reports, resolution
 from ledgerloom.operators.sequences import numbered
 from ledgerloom.session import cut
 
+#: Answers requests ``phase, entity_type, scope, brand_name, value`` with ``matched, canonical_name, confidence``.
 Provider = Callable[[DataFrame], DataFrame]
 
-#: Fields whose values are sought in one list: raw column, entity type, list, its key, its aliases.
-FIELDS = (
-    ("brand", "brand", "dim_brand", "brand_id", "dim_brand_alias"),
-    ("governorate", "governorate_city", "dim_governorate", "governorate_id", "dim_governorate_alias"),
-    ("license_type", "license_type", "dim_licensetype", "licensetype_id", None),
-)
-LEARNED = ("typo", "fuzzy", "answer")
 
+@dataclass(frozen=True)
+class Kind:
+    """An entity type: the raw column it is named in, its list, the list's key, its aliases."""
 
-def _lookup(entities: DataFrame, key: str, name: str, *scope: str) -> DataFrame:
-    """The first id of each normalized name (within a scope)."""
-    keyed = entities.select(*scope, F.col(key).alias("_id"), normalize_text(F.col(name)).alias("_k")).where("_k <> ''")
-    return keyed.groupBy(*scope, "_k").agg(F.min("_id").alias("_id"))
+    name: str
+    raw: str
+    table: str
+    key: str
+    aliases: str
 
 
-def _attach(rows: DataFrame, value: str, out: str, exact: DataFrame, alias: DataFrame | None) -> DataFrame:
-    keyed = rows.withColumn("_k", normalize_text(F.col(value)))
-    joined = keyed.join(exact.withColumnRenamed("_id", "_exact"), "_k", "left")
-    if alias is not None:
-        joined = joined.join(alias.withColumnRenamed("_id", "_alias"), "_k", "left")
-    found = F.coalesce("_exact", "_alias") if alias is not None else F.col("_exact")
-    return joined.withColumn(out, found).drop("_k", "_exact", "_alias")
+KINDS = (
+    Kind("brand", "brand", "dim_brand", "brand_id", "dim_brand_alias"),
+    Kind("governorate_city", "governorate", "dim_governorate", "governorate_id", "dim_governorate_alias"),
+    Kind("license_type", "license_type", "dim_licensetype", "licensetype_id", "dim_licensetype_alias"),
+)
+MODEL = Kind("model", "model", "dim_model", "model_id", "dim_model_alias")
+LEARNED = ("typo", "fuzzy", "external_match", "created", "exists", "created_earlier", "prefix_variant", "completion")
+LOG = "entity_type string, scope string, value string, reason string, entity_id string, score double"
 
 
-def resolve_report(
-    rows: DataFrame, brands: DataFrame, brand_aliases: DataFrame, models: DataFrame, places: DataFrame, place_aliases: DataFrame, licenses: DataFrame
-) -> DataFrame:
-    """Report rows with the ids, names and attributes of the entities their values exactly name, by canonical name or else by alias.
+def with_alias_tables(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables with an empty alias table for every list that has none."""
+    out = dict(tables)
+    for kind in (*KINDS, MODEL):
+        if kind.aliases not in out:
+            out[kind.aliases] = out[kind.table].sparkSession.createDataFrame([], f"{kind.key} string, alias string")
+    return out
 
-    The lookups are one row per name; Spark sends them to the executors only while they are below its
-    broadcast threshold and joins by shuffle beyond it.
-    """
-    step = _attach(rows, "brand", "_bid", _lookup(brands, "brand_id", "canonical_name"), _lookup(brand_aliases, "brand_id", "alias"))
-    step = _attach(step, "governorate", "_gid", _lookup(places, "governorate_id", "canonical_name"), _lookup(place_aliases, "governorate_id", "alias"))
-    step = _attach(step, "license_type", "_lid", _lookup(licenses, "licensetype_id", "canonical_name"), None)
-    in_brand = _lookup(models, "model_id", "canonical_name", "brand_id").select(F.col("brand_id").alias("_bid"), "_k", F.col("_id").alias("_mid"))
-    step = step.withColumn("_k", normalize_text(F.col("model"))).join(in_brand, ["_bid", "_k"], "left").drop("_k")
-    return _with_entities(step, brands, models, places, licenses)
-
-
-def _with_entities(step: DataFrame, brands: DataFrame, models: DataFrame, places: DataFrame, licenses: DataFrame) -> DataFrame:
-    """Rows with the names and attributes of the entities of ``_bid, _mid, _gid, _lid``."""
-    b = brands.select(F.col("brand_id").alias("_bid"), F.col("brand_id"), F.col("canonical_name").alias("brand_canonical_name"), F.col("country").alias("brand_country"))
-    m = models.select(F.col("model_id").alias("_mid"), F.col("model_id"), F.col("canonical_name").alias("model_canonical_name"), F.col("motor_type").alias("model_motor_type"))
-    lic = licenses.select(F.col("licensetype_id").alias("_lid"), F.col("licensetype_id").alias("license_type_id"), F.col("canonical_name").alias("license_type_canonical_name"))
-    g = places.select(F.col("governorate_id").alias("_gid"), F.col("governorate_id"), F.col("canonical_name").alias("governorate_canonical_name"))
-    full = step.join(b, "_bid", "left").join(m, "_mid", "left").join(lic, "_lid", "left").join(g, "_gid", "left")
-    return full.select(
-        "row_id", F.col("governorate").alias("Governorate"), F.col("license_type").alias("License Type"), F.col("brand").alias("Brand"), F.col("model").alias("Model"),
-        F.col("count_value").alias("Count"), F.col("report_year").alias("Year"), F.col("report_month").alias("Month"),
-        "brand_id", "brand_canonical_name", "brand_country", "model_id", "model_canonical_name", "model_motor_type",
-        "license_type_id", "license_type_canonical_name", "governorate_id", "governorate_canonical_name",
-    )
 
+def _known(tables: dict[str, DataFrame], kinds: Sequence[Kind]) -> tuple[DataFrame, DataFrame]:
+    """Entities and aliases of the lists in the shape of the cascade, scoped by entity type (models by brand).
 
-def _known(dim: DataFrame, key: str, aliases: DataFrame | None = None, scope: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """Entities and aliases in the shape of the cascade; an entity's own name is the first of its aliases, entities go by their ids."""
-    entities = dim.where(F.col(key).isNotNull()).select((F.lit("") if scope is None else scope).alias("scope"), F.col(key).alias("entity_id"), F.col("canonical_name").alias("name"))
-    named = entities.select("scope", "entity_id", F.col("name").alias("alias"), F.lit(0).alias("_kind"), F.lit(0).cast("bigint").alias("_o"))
-    if aliases is not None:
-        order = F.col("alias_id").cast("bigint") if "alias_id" in aliases.columns else F.lit(0).cast("bigint")
-        named = named.unionByName(aliases.where(F.col(key).isNotNull()).select(F.lit("").alias("scope"), F.col(key).alias("entity_id"), "alias", F.lit(1).alias("_kind"), order.alias("_o")))
-    return entities, cut(numbered(named.where(clean_token(F.col("alias")) != ""), ["entity_id", "_kind", "_o", "alias"], "ord").drop("_kind", "_o"))
+    Entities go by their ids; an entity's own name is the first of its aliases.
+    """
+    entities, aliases = None, None
+    for kind in kinds:
+        dim, extra = tables[kind.table].where(F.col(kind.key).isNotNull()), tables[kind.aliases].where(F.col(kind.key).isNotNull())
+        scope = F.col("brand_id") if kind is MODEL else F.lit(kind.name)
+        own = dim.select(scope.alias("scope"), F.col(kind.key).alias("entity_id"), F.col("canonical_name").alias("name")).where("scope is not null")
+        order = F.col("alias_id").cast("bigint") if "alias_id" in extra.columns else F.lit(0).cast("bigint")
+        ord_ = lambda i, o: F.struct(F.col("entity_id").alias("e"), F.lit(i).alias("k"), o.alias("o"), F.col("alias").alias("a"))
+        named = own.select("scope", "entity_id", F.col("name").alias("alias")).withColumn("ord", ord_(0, F.lit(0).cast("bigint")))
+        more = extra.select(F.col(kind.key).alias("entity_id"), "alias", order.alias("_o")).join(own.select("scope", "entity_id").distinct(), "entity_id")
+        named = named.unionByName(more.withColumn("ord", ord_(1, F.col("_o"))).select("scope", "entity_id", "alias", "ord"))
+        entities = own if entities is None else entities.unionByName(own)
+        aliases = named if aliases is None else aliases.unionByName(named)
+    return cut(entities), cut(aliases.where(clean_token(F.col("alias")) != ""))
 
 
 def _next(dim: DataFrame, key: str) -> int:
     return (dim.agg(F.max(F.regexp_extract(key, r"(\d+)$", 1).try_cast("bigint"))).first()[0] or 0) + 1
 
 
-def _answered(asked: DataFrame, kind: str, ask: Provider) -> DataFrame:
-    """``scope, brand_name, value, ord, name`` for the requests with a confident answer that gives a name."""
-    given = provider.answers(asked.select(F.lit(kind).alias("entity_type"), "scope", "brand_name", "value"), ask)
-    sure = given.where(resolution.confident(F.col("matched"), F.col("confidence")) & (normalize_text(F.col("canonical_name")) != ""))
-    named = sure.groupBy("scope", "value").agg(F.max(F.struct("confidence", F.trim("canonical_name").alias("name")))["name"].alias("name"))
-    return cut(asked.join(named, ["scope", "value"]))
+def _lookup(entities: DataFrame, key: str, *scope: str) -> DataFrame:
+    """The first id of each normalized name (within a scope)."""
+    keyed = entities.select(*scope, F.col(key).alias("_id"), normalize_text(F.col("canonical_name")).alias("_n")).where("_n <> ''")
+    return keyed.groupBy(*scope, "_n").agg(F.min("_id").alias("_id"))
+
+
+def _answered(asked: DataFrame, kind: Kind, phase: str, ask: Provider, gate: float) -> tuple[DataFrame, DataFrame]:
+    """``scope, brand_name, value, ord, name`` of the requests with a confident answer that gives a name, and the others with the reason."""
+    shown, own = (F.col("scope"), F.col("scope")) if kind is MODEL else (F.lit(""), F.lit(kind.name))
+    requests = asked.select(F.lit(phase).alias("phase"), F.lit(kind.name).alias("entity_type"), shown.alias("scope"), "brand_name", "value")
+    sure = F.max_by(F.struct(F.trim(F.coalesce("canonical_name", F.lit(""))).alias("name"), resolution.confident(F.col("matched"), F.col("confidence"), gate).alias("sure")), F.struct(F.coalesce("confidence", F.lit(1.0)), F.coalesce("canonical_name", F.lit(""))))
+    judged = cut(asked.join(provider.answers(requests, ask).groupBy(own.alias("scope"), "value").agg(sure.alias("b")), ["scope", "value"], "left"))
+    confident = F.coalesce(F.col("b.sure"), F.lit(False))
+    named = judged.where(confident & (normalize_text(F.col("b.name")) != "")).select("scope", "brand_name", "value", "ord", F.col("b.name").alias("name"))
+    reason = F.when(confident, F.lit("identified without a name")).otherwise(F.lit("not identified or of low confidence"))
+    failed = judged.where(~confident | (normalize_text(F.col("b.name")) == "")).select("scope", "brand_name", "value", "ord", reason.alias("reason"))
+    return named, failed
 
 
 def _upsert(dim: DataFrame, key: str, made: DataFrame) -> DataFrame:
@@ -98,16 +97,16 @@ def _upsert(dim: DataFrame, key: str, made: DataFrame) -> DataFrame:
     return cut(dimensions.merge_upsert(dim, made.select(*[x.alias(c) for c, x in row.items()]), key))
 
 
-def _placed(answered: DataFrame, kind: str, dim: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """``scope, value, entity_id`` of answers, and the dimension with the entities they name that it did not have."""
-    by_name = _lookup(dim, key, "canonical_name").select(F.col("_k").alias("_n"), "_id")
-    met = cut(answered.withColumn("_n", normalize_text(F.col("name"))).join(by_name, "_n", "left"))
+def _placed(answered: DataFrame, kind: Kind, dim: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``scope, value, entity_id, stage`` of answers, and the dimension with the entities they name that it did not have."""
+    met = cut(answered.withColumn("_n", normalize_text(F.col("name"))).join(_lookup(dim, kind.key), "_n", "left"))
     fresh = met.where("_id is null")
-    ids = cut(dimensions.surrogate_ids(fresh, "_n", "ord", kind, _next(dim, key)))
+    ids = cut(dimensions.surrogate_ids(fresh, "_n", "ord", kind.name, _next(dim, kind.key)))
     names = fresh.groupBy("_n").agg(F.min(F.struct("ord", "name"))["name"].alias("canonical_name"))
-    made = ids.join(names, "_n").select(F.col("entity_id").alias(key), "canonical_name")
-    hits = met.join(ids, "_n", "left").select("scope", "value", F.coalesce("_id", "entity_id").alias("entity_id"))
-    return cut(hits), _upsert(dim, key, made)
+    made = ids.join(names, "_n").select(F.col("entity_id").alias(kind.key), "canonical_name")
+    stage = F.when(F.col("_id").isNotNull(), F.lit("exists")).otherwise(F.lit("created"))
+    hits = met.join(ids, "_n", "left").select("scope", "value", F.coalesce("_id", "entity_id").alias("entity_id"), stage.alias("stage"))
+    return cut(hits), _upsert(dim, kind.key, made)
 
 
 def _placed_models(answered: DataFrame, models: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -124,11 +123,11 @@ def _placed_models(answered: DataFrame, models: DataFrame) -> tuple[DataFrame, D
         stands = stands.unionByName(named.select("scope", F.col("norm").alias("target"), "entity_id"))
     stands = cut(stands.groupBy("scope", "target").agg(F.min("entity_id").alias("entity_id")))
     onward = cut(judged.where("stage in ('prefix_variant', 'completion')").groupBy("scope", F.col("norm").alias("target")).agg(F.min("target").alias("_next")))
-    left, found = judged.select("scope", "value", "target"), []
+    left, found = judged.select("scope", "value", "stage", "target"), []
     while True:  # every step leads to an earlier name or to one with more letters, so this ends
         met = cut(left.join(stands, ["scope", "target"], "left"))
-        found.append(met.where("entity_id is not null").select("scope", "value", "entity_id"))
-        left = cut(met.where("entity_id is null").join(onward, ["scope", "target"]).select("scope", "value", F.col("_next").alias("target")))
+        found.append(met.where("entity_id is not null").select("scope", "value", "entity_id", "stage"))
+        left = cut(met.where("entity_id is null").join(onward, ["scope", "target"]).select("scope", "value", "stage", F.col("_next").alias("target")))
         if left.isEmpty():
             break
     hits = found[0]
@@ -137,88 +136,167 @@ def _placed_models(answered: DataFrame, models: DataFrame) -> tuple[DataFrame, D
     return hits, _upsert(models, "model_id", ids.select(F.col("entity_id").alias("model_id"), F.col("scope").alias("brand_id"), F.col("norm").alias("canonical_name")))
 
 
-def _found(values: DataFrame, entities: DataFrame, aliases: DataFrame, models: bool = False) -> tuple[DataFrame, DataFrame]:
-    """``scope, value, entity_id, stage`` of the values the cascade resolves, and the requests it leaves."""
-    judged = cut(resolution.cascade(values.select("scope", "value"), entities, aliases, models))
-    return judged.where("entity_id is not null"), values.join(judged.where("entity_id is null").select("scope", "value"), ["scope", "value"], "left_semi")
+def _external(left: DataFrame, kind: Kind, dim: DataFrame, brand_names: DataFrame, ask: Provider, config: Config) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Hits of the two outside stages, the dimension after them, and the log of what failed.
+
+    First requests are matched against the known names (models where their brand has any); what an answer does not name is then to be
+    identified, and names that no entity has make one. Totals, repeated headers and, for models, names of brands are not asked about.
+    """
+    scope = ("brand_id",) if kind is MODEL else ()
+    asked = left.where(~reports.invalid_name(F.col("value")))
+    if kind is MODEL:
+        asked = asked.withColumn("_n", normalize_text(F.col("value"))).join(brand_names, "_n", "left_anti").drop("_n")
+    asked = cut(asked)
+    names = _lookup(dim, kind.key, *scope)
+    names = names.withColumnRenamed("brand_id", "scope") if kind is MODEL else names.withColumn("scope", F.lit(kind.name))
+    known = asked.join(names.select("scope").distinct(), "scope", "left_semi")
+    matched, _ = _answered(known, kind, "match", ask, config.min_confidence)
+    first = cut(matched.withColumn("_n", normalize_text(F.col("name"))).join(names, ["scope", "_n"]).select("scope", "value", F.col("_id").alias("entity_id"), F.lit("external_match").alias("stage")))
+    named, failed = _answered(asked.join(first, ["scope", "value"], "left_anti"), kind, "identify", ask, config.min_confidence)
+    hits, after = _placed_models(named, dim) if kind is MODEL else _placed(named, kind, dim)
+    log = failed.select(F.lit(kind.name).alias("entity_type"), "scope", "value", "reason", F.lit(None).cast("string").alias("entity_id"), F.lit(None).cast("double").alias("score"))
+    return cut(first.unionByName(hits)), after, log
+
+
+def _uncertain(hits: DataFrame, kind: Column, config: Config) -> DataFrame:
+    """Log rows of hits that should be looked over: typos, likeness below the trusted ratio, guards, bare numbers that became models."""
+    reason = (
+        F.when(F.col("stage") == "typo", F.lit("short value one edit away, likely a typo"))
+        .when((F.col("stage") == "fuzzy") & (F.col("score") < config.high_confidence), F.lit("likeness of medium confidence"))
+        .when(F.col("stage") == "prefix_variant", F.lit("a known model with or without its brand's name"))
+        .when(F.col("stage") == "completion", F.lit("a bare number that one known model completes"))
+        .when((F.col("stage") == "created") & (kind == "model") & resolution.is_numeric(F.col("value")), F.lit("a new model of a bare number"))
+    )
+    return hits.select(kind.alias("entity_type"), "scope", "value", reason.alias("reason"), "entity_id", "score").where("reason is not null")
 
 
-def resolve_all(rows: DataFrame, tables: dict[str, DataFrame], ask: Provider | None = None) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
-    """Report rows resolved by the whole cascade, what was found for each distinct value, and the master data after it.
+def _learn(aliases: DataFrame, hits: DataFrame, key: str) -> DataFrame:
+    """The alias table with the normalized values of learned hits; numbered on where its rows are numbered."""
+    learned = hits.where(F.col("stage").isin(*LEARNED)).select(F.col("entity_id").alias(key), normalize_text(F.col("value")).alias("alias"))
+    fresh = cut(learned.where("alias <> ''").distinct().join(aliases.select(key, "alias"), [key, "alias"], "left_anti"))
+    if "alias_id" not in aliases.columns:
+        return aliases.unionByName(fresh, allowMissingColumns=True)
+    top = aliases.agg(F.max("alias_id")).first()[0] or 0
+    return aliases.unionByName(numbered(fresh, [key, "alias"], "alias_id", top + 1).withColumn("alias_id", F.col("alias_id").cast(aliases.schema["alias_id"].dataType)), allowMissingColumns=True)
 
-    Every value goes through exact name, alias, short typo and likeness; what is left is asked of ``ask``, if there is one,
-    in requests ``entity_type, scope, brand_name, value``. Answers that name no known entity create one, models only past
-    the guards. Models are sought within their brand once brands are settled, number words as digits. Values found by typo,
-    likeness or answer are learned as aliases (of models and licence types, which have no alias table, in the second result alone).
+
+def enriched(dim: DataFrame, used: DataFrame, key: str, field: str, brand_names: DataFrame, ask: Provider, gate: float) -> DataFrame:
+    """The dimension with the missing (null or blank) ``field`` of used entities filled from confident answers; each entity is asked about once."""
+    lacking = dim.join(used.distinct(), key, "left_semi").where(F.col(field).isNull() | (F.trim(field) == "")).dropDuplicates([key])
+    brand = F.col("brand_id") if "brand_id" in dim.columns else F.lit(None).cast("string")
+    requests = lacking.select(F.col(key).alias("value"), brand.alias("scope"), F.col("canonical_name")).join(brand_names, "scope", "left")
+    requests = requests.select(F.lit("enrich").alias("phase"), F.lit(field).alias("entity_type"), "scope", F.coalesce("brand_name", F.lit("")).alias("brand_name"), "value", F.col("canonical_name").alias("entity_name"))
+    given = provider.answers(requests, ask).where(resolution.confident(F.col("matched"), F.col("confidence"), gate))
+    return cut(dimensions.update_fields(dim, given.select(F.col("value").alias(key), F.col("canonical_name").alias(field)), key))
+
+
+def _named(hits: DataFrame, dim: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
+    """Hits with columns of their entities: one row per distinct value, so that report rows are joined once per field."""
+    return hits.join(dim.dropDuplicates([key]).select(F.col(key).alias("entity_id"), *[F.col(c).alias(n) for c, n in columns.items()]), "entity_id", "left")
+
+
+def resolve_all(
+    rows: DataFrame, tables: dict[str, DataFrame], ask: Provider | None = None, enrich: Provider | None = None, config: Config = Config()
+) -> tuple[DataFrame, DataFrame, DataFrame, dict[str, DataFrame]]:
+    """Report rows resolved by the whole cascade, what was found for each distinct value, the log of uncertain hits, and the master data after it.
+
+    Every value goes through exact name, alias, short typo and likeness; what is left is asked of ``ask``, if there is one. Models are
+    sought within their brand once brands are settled, number words as digits. Values found by typo, likeness or answer are learned as
+    aliases. ``enrich`` fills countries and motor types that entities found here lack. Only distinct values are resolved; the report rows
+    are read for them and joined once with each field's answers.
     """
-    after, log = dict(tables), []
-    step = rows
-    for raw, kind, name, key, alias_name in FIELDS:
-        asked = cut(rows.where(clean_token(F.col(raw)) != "").groupBy(F.col(raw).alias("value")).agg(F.min("row_id").alias("ord")).select(F.lit("").alias("scope"), F.lit("").alias("brand_name"), "value", "ord"))
-        entities, aliases = _known(tables[name], key, tables[alias_name] if alias_name else None)
-        hits, left = _found(asked, entities, aliases)
-        if ask is not None:
-            placed, after[name] = _placed(_answered(left, kind, ask), kind, tables[name], key)
-            hits = hits.unionByName(placed.withColumn("stage", F.lit("answer")))
+    tables = with_alias_tables(tables)
+    after = {n: t for n, t in tables.items() if n.startswith("dim_")}
+    entry = F.explode(F.array(*[F.struct(F.lit(k.name).alias("scope"), F.col(k.raw).alias("value")) for k in KINDS]))
+    asked = rows.select("row_id", entry.alias("e")).select("row_id", "e.*").where(clean_token(F.col("value")) != "")
+    asked = cut(asked.groupBy("scope", "value").agg(F.min("row_id").alias("ord"))).withColumn("brand_name", F.lit(""))
+    judged = cut(resolution.scored_cascade(asked.select("scope", "value"), *_known(tables, KINDS), threshold=config.fuzzy_threshold))
+    hits = judged.where("entity_id is not null")
+    failures = rows.sparkSession.createDataFrame([], LOG)
+    if ask is not None:
+        left = cut(asked.join(judged.where("entity_id is null"), ["scope", "value"], "left_semi"))
+        for kind in KINDS:
+            more, after[kind.table], log = _external(left.where(F.col("scope") == kind.name), kind, after[kind.table], None, ask, config)
+            hits, failures = hits.unionByName(more.withColumn("score", F.lit(None).cast("double"))), failures.unionByName(log)
         hits = cut(hits)
-        log.append(hits.select(F.lit(kind).alias("entity_type"), "scope", "value", "entity_id", "stage"))
-        step = step.join(hits.select(F.col("value").alias(raw), F.col("entity_id").alias({"brand": "_bid", "governorate": "_gid", "license_type": "_lid"}[raw])), raw, "left")
-        if alias_name:
-            target = tables[alias_name]
-            learned = dimensions.merge_aliases(target, hits.where(F.col("stage").isin(*LEARNED)).select(F.col("entity_id").alias(key), F.col("value").alias("alias")), key)
-            fresh = learned.join(target.select(key, "alias"), [key, "alias"], "left_anti")
-            after[alias_name] = target.unionByName(numbered(fresh, [key, "alias"], "alias_id", _next(target.withColumn("alias_id", F.col("alias_id").cast("string")), "alias_id")) if "alias_id" in target.columns else fresh, allowMissingColumns=True)
-    step = cut(step)
-
-    brand_names = after["dim_brand"].select(F.col("brand_id").alias("scope"), F.coalesce("canonical_name", F.lit("")).alias("brand_name"))
-    wanted = step.where(F.col("_bid").isNotNull() & (clean_token(F.col("model")) != "")).groupBy(F.col("_bid").alias("scope"), F.col("model").alias("raw")).agg(F.min("row_id").alias("ord")).join(brand_names, "scope")
-    models = tables["dim_model"].where(F.col("brand_id").isNotNull())
-    entities, aliases = _known(models, "model_id", scope=F.col("brand_id"))
-    # a name that is known as it is written stays as it is; of the others, number words become digits
-    plain = cut(resolution.exact_match(wanted.select("scope", F.col("raw").alias("value")), entities).select("scope", F.col("value").alias("raw"), "entity_id", F.lit("exact").alias("stage")))
-    rest = cut(wanted.join(plain, ["scope", "raw"], "left_anti").withColumn("value", resolution.number_word_to_digit(clean_token(F.col("raw")), F.col("brand_name"))))
-    asked = rest.groupBy("scope", "brand_name", "value").agg(F.min("ord").alias("ord"))
-    hits, left = _found(asked, entities, aliases, models=True)
+    for kind in KINDS:
+        after[kind.aliases] = _learn(after[kind.aliases], hits.where(F.col("scope") == kind.name), kind.key)
+
+    brand_hits = hits.where("scope = 'brand'").select(F.col("value").alias("brand"), F.col("entity_id").alias("scope"))
+    brand_names = cut(after["dim_brand"].dropDuplicates(["brand_id"]).select(F.col("brand_id").alias("scope"), F.coalesce("canonical_name", F.lit("")).alias("brand_name")))
+    pairs = cut(rows.where(clean_token(F.col("model")) != "").groupBy("brand", "model").agg(F.min("row_id").alias("ord")).join(brand_hits, "brand").join(brand_names, "scope"))
+    pairs = pairs.withColumn("value", resolution.number_word_to_digit(clean_token(F.col("model")), F.col("brand_name")))
+    wanted = cut(pairs.groupBy("scope", "value").agg(F.min("ord").alias("ord"), F.first("brand_name").alias("brand_name")))
+    found = cut(resolution.scored_cascade(wanted.select("scope", "value"), *_known(tables, (MODEL,)), models=True, threshold=config.fuzzy_threshold))
+    model_hits = found.where("entity_id is not null")
     if ask is not None:
-        placed, after["dim_model"] = _placed_models(_answered(left, "model", ask), tables["dim_model"])
-        hits = hits.unionByName(placed.withColumn("stage", F.lit("answer")))
-    hits = cut(plain.unionByName(rest.join(hits, ["scope", "value"]).select("scope", "raw", "entity_id", "stage")))
-    log.append(hits.select(F.lit("model").alias("entity_type"), "scope", F.col("raw").alias("value"), "entity_id", "stage"))
-    step = step.join(hits.select(F.col("scope").alias("_bid"), F.col("raw").alias("model"), F.col("entity_id").alias("_mid")), ["_bid", "model"], "left")
-    resolved = _with_entities(step, after["dim_brand"], after["dim_model"], after["dim_governorate"], after["dim_licensetype"])
-    found = log[0]
-    for more in log[1:]:
-        found = found.unionByName(more)
-    return cut(resolved), found, {n: after[n] for n in after if n.startswith("dim_")}
+        left = cut(wanted.join(found.where("entity_id is null"), ["scope", "value"], "left_semi"))
+        spelled = after["dim_brand"].select(normalize_text(F.col("canonical_name")).alias("_n")).unionByName(after["dim_brand_alias"].select(normalize_text(F.col("alias")).alias("_n"))).distinct()
+        more, after["dim_model"], log = _external(left, MODEL, after["dim_model"], spelled, ask, config)
+        model_hits, failures = cut(model_hits.unionByName(more.withColumn("score", F.lit(None).cast("double")))), failures.unionByName(log)
+    after["dim_model_alias"] = _learn(after["dim_model_alias"], model_hits, "model_id")
+
+    if enrich is not None:
+        used = lambda h, key: h.select(F.col("entity_id").alias(key))
+        after["dim_brand"] = enriched(after["dim_brand"], used(hits.where("scope = 'brand'"), "brand_id"), "brand_id", "country", brand_names, enrich, config.min_confidence)
+        after["dim_model"] = enriched(after["dim_model"], used(model_hits, "model_id"), "model_id", "motor_type", brand_names, enrich, config.min_confidence)
+
+    def answers(scope: str, raw: str, kind: Kind, columns: dict[str, str]) -> DataFrame:
+        return cut(_named(hits.where(F.col("scope") == scope), after[kind.table], kind.key, columns).drop("scope", "stage", "score").withColumnsRenamed({"value": raw}))
+
+    brand_map = answers("brand", "brand", KINDS[0], {"canonical_name": "brand_canonical_name", "country": "brand_country"}).withColumnRenamed("entity_id", "brand_id")
+    place_map = answers("governorate_city", "governorate", KINDS[1], {"canonical_name": "governorate_canonical_name"}).withColumnRenamed("entity_id", "governorate_id")
+    type_map = answers("license_type", "license_type", KINDS[2], {"canonical_name": "license_type_canonical_name"}).withColumnRenamed("entity_id", "license_type_id")
+    model_map = _named(pairs.select("brand", "model", "scope", "value").join(model_hits, ["scope", "value"]), after["dim_model"], "model_id", {"canonical_name": "model_canonical_name", "motor_type": "model_motor_type"})
+    model_map = cut(model_map.select("brand", "model", F.col("entity_id").alias("model_id"), "model_canonical_name", "model_motor_type"))
+    full = rows.join(brand_map, "brand", "left").join(place_map, "governorate", "left").join(type_map, "license_type", "left").join(model_map, ["brand", "model"], "left")
+    resolved = full.select(
+        "row_id", F.col("governorate").alias("Governorate"), F.col("license_type").alias("License Type"), F.col("brand").alias("Brand"), F.col("model").alias("Model"),
+        F.col("count_value").alias("Count"), F.col("report_year").alias("Year"), F.col("report_month").alias("Month"),
+        "brand_id", "brand_canonical_name", "brand_country", "model_id", "model_canonical_name", "model_motor_type",
+        "license_type_id", "license_type_canonical_name", "governorate_id", "governorate_canonical_name",
+    )
+    every = hits.select(F.col("scope").alias("entity_type"), F.lit("").alias("scope"), "value", "entity_id", "stage", "score").unionByName(
+        model_hits.select(F.lit("model").alias("entity_type"), "scope", "value", "entity_id", "stage", "score")
+    )
+    log = _uncertain(every, F.col("entity_type"), config).unionByName(failures)
+    return resolved, every, log, after
 
 
 @dataclass
 class Outcome:
-    """What a run gives; values are resolved when it is built, the rest is lazy."""
+    """What a run gives; resolved rows are written once when it is built, the rest is lazy over them."""
 
     resolved: DataFrame
     kept: DataFrame
-    facts: DataFrame
-    attributes: DataFrame
     review: DataFrame
     missing_metadata: DataFrame
     found: DataFrame
+    low_confidence: DataFrame
     dimensions: dict[str, DataFrame]
 
+    def facts(self, first_id: int = 1) -> tuple[DataFrame, DataFrame]:
+        """Fact rows numbered from ``first_id``, and the extra attributes of each fact by its id.
+
+        Without a count column or without rows there are none.
+        """
+        kept = cut(numbered(self.kept, ["row_id"], "Fact_ID", first_id))
+        return reports.numbered_facts(kept, F.col("Year"), F.col("Month")), reports.attribute_rows(kept, "Fact_ID", [c for c in kept.columns if c.lower() == "count"])
+
 
-def run(tables: dict[str, DataFrame], filter_private: bool = True, ask: Provider | None = None) -> Outcome:
-    """All steps over the tables of one data directory, dimensions before facts."""
+def run(tables: dict[str, DataFrame], ask: Provider | None = None, enrich: Provider | None = None, config: Config = Config()) -> Outcome:
+    """All steps over the tables of one data directory; the dimensions are complete before facts are made."""
     rows = reports.valid_model(tables["report_rows"], "model")
-    resolved, found, after = resolve_all(rows, tables, ask)
+    resolved, found, log, after = resolve_all(rows, tables, ask, enrich, config)
+    resolved = cut(resolved)
     kept = reports.essential_ids(resolved)
-    kept = reports.count_present(reports.private_only(kept) if filter_private else kept)
+    kept = reports.count_present(reports.private_only(kept) if config.filter_private else kept)
     return Outcome(
         resolved,
         reports.metadata_complete(kept),
-        reports.fact_rows(reports.metadata_complete(kept), F.col("Year"), F.col("Month"), ["row_id"]),
-        reports.attribute_rows(reports.metadata_complete(kept), "row_id", ["Count"]),
         reports.unmatched_review(resolved, ["Brand", "Model", "License Type", "Governorate"]),
         reports.missing_metadata(kept),
         found,
+        log,
         after,
     )

@@ -11,7 +11,7 @@ from ledgerloom.functions.similarity import ratio_udf
 from ledgerloom.functions.text import clean_token, normalize_text, simple_normalize
 from ledgerloom.operators import dimensions, provider, reports, resolution
 from ledgerloom.operators.sequences import numbered
-from ledgerloom.plans.pipeline import resolve_report, run
+from ledgerloom.plans import pipeline
 from ledgerloom.sources import workbook
 from ledgerloom.tables import table
 
@@ -67,34 +67,76 @@ def edits_sql(a: str, b: str) -> str:
     )
 
 
-RESOLVED = f"""
-with bx as (select {n_sql('canonical_name')} as k, min(brand_id) as id from dim_brand group by 1),
-ba as (select {n_sql('alias')} as k, min(brand_id) as id from dim_brand_alias group by 1),
-gx as (select {n_sql('canonical_name')} as k, min(governorate_id) as id from dim_governorate group by 1),
-ga as (select {n_sql('alias')} as k, min(governorate_id) as id from dim_governorate_alias group by 1),
-lx as (select {n_sql('canonical_name')} as k, min(licensetype_id) as id from dim_licensetype group by 1),
-mx as (select brand_id, {n_sql('canonical_name')} as k, min(model_id) as id from dim_model group by 1, 2),
-r0 as (
-  select r.*, coalesce(bx.id, ba.id) as bid, coalesce(gx.id, ga.id) as gid, lx.id as lid
-  from report_rows r
-  left join bx on bx.k <> '' and bx.k = {n_sql('r.brand')} left join ba on ba.k <> '' and ba.k = {n_sql('r.brand')}
-  left join gx on gx.k <> '' and gx.k = {n_sql('r.governorate')} left join ga on ga.k <> '' and ga.k = {n_sql('r.governorate')}
-  left join lx on lx.k <> '' and lx.k = {n_sql('r.license_type')}),
+def cascade_sql(p: str, values: str, entities: str, aliases: str, numeric: bool = True) -> str:
+    """Common table expressions of the cascade over ``values(scope, value)``; the last, ``<p>hit``, has what it finds."""
+    pairs = f"{p}l v join {aliases} a on a.scope = v.scope and a.k <> ''"
+    near = "3 * least(length(v.k), length(a.k)) >= 2 * greatest(length(v.k), length(a.k)) and (strlen(v.k) > length(v.k) or strlen(a.k) > length(a.k) or 5 * levenshtein(v.k, a.k) <= length(v.k) + length(a.k))"
+    return f"""
+{p}v as materialized (select scope, value, {n_sql('value')} as k from {values}),
+{p}e as materialized (select v.scope, v.value, min(e.id) as id from {p}v v join {entities} e on e.scope = v.scope and e.k = v.k where v.k <> '' group by all),
+{p}a as materialized (select v.scope, v.value, min(a.id) as id from {p}v v anti join {p}e e on e.scope = v.scope and e.value = v.value join {aliases} a on a.scope = v.scope and a.k = v.k where v.k <> '' group by all),
+{p}l as materialized (select * from {p}v v anti join {p}e e on e.scope = v.scope and e.value = v.value anti join {p}a a on a.scope = v.scope and a.value = v.value
+  where k <> ''{'' if numeric else " and not regexp_matches(k, '^" + chr(92) + "p{Nd}+$')"}),
+{p}t as materialized (select scope, value, min(id) as id, min(d) as d from (
+  select *, min(d) over (partition by scope, value) as best from (
+    select v.scope, v.value, a.id, {edits_sql('v.k', 'a.k')} as d from {pairs} and length(v.k) <= 6 and length(a.k) <= 6 and abs(length(v.k) - length(a.k)) <= 1) where d <= 1)
+  where d = best group by scope, value having count(distinct id) = 1),
+{p}f as materialized (select scope, value, min(id) as id, min(score) as score from (
+  select *, max(score) over (partition by scope, value) as best from (
+    select v.scope, v.value, a.id, {ratio_sql('v.k', 'a.k')} as score from {pairs} and {near} anti join {p}t t on t.scope = v.scope and t.value = v.value) where score >= 80)
+  where score = best group by scope, value),
+{p}hit as materialized (select scope, value, id, 'exact' as stage, cast(null as double) as score from {p}e union all select scope, value, id, 'alias', null from {p}a
+  union all select scope, value, id, 'typo', d from {p}t union all select scope, value, id, 'fuzzy', score from {p}f)"""
+
+
+_WORDS = "case {x} " + " ".join(f"when '{w}' then '{i}'" for i, w in enumerate(("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten"))) + " end"
+
+
+def _strip_sql(n: str, b: str) -> str:
+    return f"case when {s_sql(b)} <> '' and starts_with({s_sql(n)}, {s_sql(b)}) then trim(substring({s_sql(n)}, length({s_sql(b)}) + 1)) else {s_sql(n)} end"
+
+
+_KIND_SQL = (("brand", "brand", "dim_brand", "brand_id"), ("governorate_city", "governorate", "dim_governorate", "governorate_id"), ("license_type", "license_type", "dim_licensetype", "licensetype_id"))
+
+CASCADES = f"""
+with kw as materialized ({' union all '.join(f"select '{k}' as scope, {raw} as value, min(row_id) as first_row from report_rows where {c_sql(raw)} <> '' group by all" for k, raw, _, _ in _KIND_SQL)}),
+ken as materialized ({' union all '.join(f"select '{k}' as scope, {key} as id, {n_sql('canonical_name')} as k from {t} where {key} is not null" for k, _, t, key in _KIND_SQL)}),
+kal as materialized (select scope, id, k from ken {' '.join(f"union all select '{k}', a.{key}, {n_sql('a.alias')} from {t}_alias a semi join {t} d on d.{key} = a.{key}" for k, _, t, key in _KIND_SQL[:2])}),
+{cascade_sql('k', 'kw', 'ken', 'kal')},
+mp as materialized (
+  select scope, brand, model, name, coalesce({_WORDS.format(x='(' + _strip_sql('asked', 'name') + ')')}, asked) as value from (
+    select b.id as scope, r.brand, r.model, d.name, {c_sql('r.model')} as asked from (select distinct brand, model from report_rows) r join khit b on b.scope = 'brand' and b.value = r.brand
+    join (select brand_id, coalesce(any_value(canonical_name), '') as name from dim_brand group by brand_id) d on d.brand_id = b.id) where asked <> ''),
+mw as materialized (select distinct scope, value from mp),
+men as materialized (select brand_id as scope, model_id as id, {n_sql('canonical_name')} as k from dim_model where brand_id is not null and model_id is not null),
+{cascade_sql('m', 'mw', 'men', 'men', numeric=False)}"""
+
+RESOLVED = f"""{CASCADES},
 r as (
-  select r0.row_id, r0.governorate as "Governorate", r0.license_type as "License Type", r0.brand as "Brand", r0.model as "Model", r0.count_value as "Count",
-    r0.report_year as "Year", r0.report_month as "Month",
+  select r.row_id, r.governorate as "Governorate", r.license_type as "License Type", r.brand as "Brand", r.model as "Model", r.count_value as "Count",
+    r.report_year as "Year", r.report_month as "Month",
     b.brand_id, b.canonical_name as brand_canonical_name, b.country as brand_country,
     m.model_id, m.canonical_name as model_canonical_name, m.motor_type as model_motor_type,
     l.licensetype_id as license_type_id, l.canonical_name as license_type_canonical_name,
     g.governorate_id, g.canonical_name as governorate_canonical_name
-  from r0 left join mx on mx.k <> '' and mx.brand_id = r0.bid and mx.k = {n_sql('r0.model')}
-  left join dim_brand b on b.brand_id = r0.bid left join dim_model m on m.model_id = mx.id
-  left join dim_licensetype l on l.licensetype_id = r0.lid left join dim_governorate g on g.governorate_id = r0.gid)
+  from report_rows r
+  left join khit hb on hb.scope = 'brand' and hb.value = r.brand left join dim_brand b on b.brand_id = hb.id
+  left join khit hg on hg.scope = 'governorate_city' and hg.value = r.governorate left join dim_governorate g on g.governorate_id = hg.id
+  left join khit hl on hl.scope = 'license_type' and hl.value = r.license_type left join dim_licensetype l on l.licensetype_id = hl.id
+  left join mp on mp.brand = r.brand and mp.model = r.model left join mhit hm on hm.scope = mp.scope and hm.value = mp.value left join dim_model m on m.model_id = hm.id)
 """
 
+_TABLES = ("report_rows", "dim_brand", "dim_brand_alias", "dim_model", "dim_governorate", "dim_governorate_alias", "dim_licensetype")
+
+
+def run_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    return {n: table(spark, d, n) for n in _TABLES}
+
 
 def resolved(spark: SparkSession, d: str) -> DataFrame:
-    return resolve_report(*[table(spark, d, t) for t in ("report_rows", "dim_brand", "dim_brand_alias", "dim_model", "dim_governorate", "dim_governorate_alias", "dim_licensetype")])
+    """Report rows after the whole cascade."""
+    tables = run_tables(spark, d)
+    return pipeline.resolve_all(tables["report_rows"], tables)[0]
 
 
 def places(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -189,26 +231,94 @@ k as (select * from r where brand_id is not null and model_id is not null and li
 f as (select row_number() over (order by row_id) as "Fact_ID", * from k)"""
 
 
-def kept_rows(spark: SparkSession, d: str) -> DataFrame:
-    return reports.metadata_complete(reports.count_present(reports.private_only(reports.essential_ids(resolved(spark, d)))))
-
-
 @query(f"""{_FACT} select "Fact_ID", brand_id as "Brand_ID", model_id as "Model_ID", license_type_id as "LicenseType_ID", governorate_id as "Governorate_ID", "Count" as "Vehicle_Count", make_date("Year", "Month", 1) as "Reporting_Date" from f""")
 def fact_build(spark: SparkSession, d: str) -> DataFrame:
-    return reports.fact_rows(kept_rows(spark, d), F.col("Year"), F.col("Month"), ["row_id"])
-
-
-@query(None)
-def run_facts(spark: SparkSession, d: str) -> DataFrame:
-    """Fact rows of the whole run, whose values are also resolved by typo and likeness (``fact_build`` and its SQL resolve by name and alias)."""
-    names = ("report_rows", "dim_brand", "dim_brand_alias", "dim_model", "dim_governorate", "dim_governorate_alias", "dim_licensetype")
-    return run({n: table(spark, d, n) for n in names}).facts
+    """Fact rows of the whole run."""
+    return pipeline.run(run_tables(spark, d)).facts()[0]
 
 
 @query(f"""{_FACT} select row_id, 'Count' as "Attribute_Name", case when "Count" = floor("Count") then cast(cast("Count" as bigint) as varchar) else cast("Count" as varchar) end as "Attribute_Value" from f
 union all select row_id, 'Year', cast("Year" as varchar) from f where "Year" is not null union all select row_id, 'Governorate', "Governorate" from f where "Governorate" is not null""")
 def eav_unpivot(spark: SparkSession, d: str) -> DataFrame:
-    return reports.attribute_rows(kept_rows(spark, d), "row_id", ["Count", "Year", "Governorate"])
+    return reports.attribute_rows(pipeline.run(run_tables(spark, d)).kept, "row_id", ["Count", "Year", "Governorate"])
+
+
+@query(f"""{_FACT} select "Fact_ID", 'Count' as "Attribute_Name", case when "Count" = floor("Count") then cast(cast("Count" as bigint) as varchar) else cast("Count" as varchar) end as "Attribute_Value" from f""")
+def fact_attributes(spark: SparkSession, d: str) -> DataFrame:
+    return pipeline.run(run_tables(spark, d)).facts()[1]
+
+
+@query(f"""{CASCADES} select scope as entity_type, '' as scope, value, id as entity_id, stage, score from khit union all select 'model', scope, value, id, stage, score from mhit""")
+def cascade_all_types(spark: SparkSession, d: str) -> DataFrame:
+    """What the cascade finds for every distinct brand, governorate, licence type and model (within its brand)."""
+    tables = run_tables(spark, d)
+    return pipeline.resolve_all(tables["report_rows"], tables)[1]
+
+
+@query(f"""{CASCADES}, h as (select scope as entity_type, '' as scope, value, id, stage, score from khit union all select 'model', scope, value, id, stage, score from mhit)
+select entity_type, scope, value, case stage when 'typo' then 'short value one edit away, likely a typo' else 'likeness of medium confidence' end as reason, id as entity_id, score from h where stage = 'typo' or stage = 'fuzzy' and score < 95""")
+def low_confidence_log(spark: SparkSession, d: str) -> DataFrame:
+    tables = run_tables(spark, d)
+    return pipeline.resolve_all(tables["report_rows"], tables)[2]
+
+
+_ALIAS_KINDS = (("brand", "dim_brand_alias", "brand_id"), ("governorate_city", "dim_governorate_alias", "governorate_id"))
+
+
+@query(f"""{CASCADES}, new as ({' union '.join(f"select '{k}' as entity_type, id as entity_id, {n_sql('value')} as alias from khit anti join {t} a on a.{key} = id and a.alias = {n_sql('value')} where scope = '{k}' and stage in ('typo', 'fuzzy')" for k, t, key in _ALIAS_KINDS)}
+  union select 'license_type', id, {n_sql('value')} from khit where scope = 'license_type' and stage in ('typo', 'fuzzy') union select 'model', id, {n_sql('value')} from mhit where stage in ('typo', 'fuzzy'))
+{' union all '.join(f"select '{k}' as entity_type, alias_id as alias_id, {key} as entity_id, alias from {t}" for k, t, key in _ALIAS_KINDS)}
+{' '.join(f"union all select '{k}', (select max(alias_id) from {t}) + row_number() over (order by entity_id, alias), entity_id, alias from new where entity_type = '{k}'" for k, t, _ in _ALIAS_KINDS)}
+union all select entity_type, null, entity_id, alias from new where entity_type in ('license_type', 'model')""")
+def alias_learning(spark: SparkSession, d: str) -> DataFrame:
+    """The alias tables of all four types after a run."""
+    tables = run_tables(spark, d)
+    after = pipeline.resolve_all(tables["report_rows"], tables)[3]
+    out = None
+    for kind in (*pipeline.KINDS, pipeline.MODEL):
+        aliases = after[kind.aliases]
+        number = F.col("alias_id").cast("bigint") if "alias_id" in aliases.columns else F.lit(None).cast("bigint")
+        rows = aliases.select(F.lit(kind.name).alias("entity_type"), number.alias("alias_id"), F.col(kind.key).alias("entity_id"), "alias")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _first_letters(requests: DataFrame) -> DataFrame:
+    """A provider for the query below: names a value by its first four letters."""
+    return requests.withColumns({"matched": F.lit(True), "canonical_name": F.substring("value", 1, 4), "confidence": F.lit(1.0)})
+
+
+@query(f"""{CASCADES},
+q as materialized (select w.value, w.first_row, trim(substring(w.value, 1, 4), ' ') as name, {n_sql('substring(w.value, 1, 4)')} as n from kw w anti join khit h on h.scope = w.scope and h.value = w.value
+  where w.scope = 'governorate_city' and {n_sql('w.value')} not in ({', '.join(repr(x) for x in reports.INVALID_NAMES)})),
+known as (select k, min(id) as id from ken where scope = 'governorate_city' and k <> '' group by k),
+m as materialized (select q.value, known.id from q join known on known.k = q.n),
+fresh as materialized (select * from q anti join m on m.value = q.value where n <> ''),
+made as (select n, printf('LOC%05d', (select coalesce(max(cast(regexp_extract(governorate_id, '([0-9]+)$', 1) as bigint)), 0) from dim_governorate) + row_number() over (order by min(first_row), n)) as id, arg_min(name, first_row) as name from fresh group by n)
+select value, id as entity_id, 'external_match' as stage, g.canonical_name as name from m join dim_governorate g on g.governorate_id = m.id
+union all select f.value, made.id, 'created', made.name from fresh f join made on made.n = f.n""")
+def external_find_or_create(spark: SparkSession, d: str) -> DataFrame:
+    """Governorates the cascade leaves, matched or created by the answers of a provider, with ids that go on from the list's."""
+    tables = run_tables(spark, d)
+    tables["report_rows"] = tables["report_rows"].withColumns({c: F.lit(None).cast("string") for c in ("brand", "model", "license_type")})
+    _, found, _, after = pipeline.resolve_all(tables["report_rows"], tables, ask=_first_letters)
+    listed = after["dim_governorate"].select(F.col("governorate_id").alias("entity_id"), F.col("canonical_name").alias("name"))
+    return found.where("stage in ('external_match', 'created')").join(listed, "entity_id").select("value", "entity_id", "stage", "name")
+
+
+def _nation_names(spark: SparkSession, d: str):
+    """A provider for the query below: a brand's number, modulo 25, picks a nation."""
+    nations = table(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("_k"), F.trim("n_name").alias("canonical_name"))
+    return lambda requests: requests.withColumn("_k", F.regexp_extract("value", r"(\d+)$", 1).cast("bigint") % 25).join(nations, "_k").drop("_k").withColumns({"matched": F.col("canonical_name") != "CHINA", "confidence": F.lit(0.9)})
+
+
+@query("""select b.brand_id, case when b.country is null or trim(b.country, ' ') = '' then coalesce(n.n_name, b.country) else b.country end as country
+from dim_brand b left join (select n_nationkey, trim(n_name, ' ') as n_name from nation where trim(n_name, ' ') <> 'CHINA') n on n.n_nationkey = cast(regexp_extract(b.brand_id, '([0-9]+)$', 1) as bigint) % 25""")
+def enrich_apply(spark: SparkSession, d: str) -> DataFrame:
+    """Countries that brands lack, filled from the confident answers of a provider."""
+    brands = table(spark, d, "dim_brand")
+    no_names = spark.createDataFrame([], "scope string, brand_name string")
+    return pipeline.enriched(brands, brands.select("brand_id"), "brand_id", "country", no_names, _nation_names(spark, d), 0.7).select("brand_id", "country")
 
 
 # -- projections
@@ -490,10 +600,6 @@ def candidate_union_priority(spark: SparkSession, d: str) -> DataFrame:
     return created.unionByName(existing).where("k <> ''").groupBy("k").agg(F.when(F.min("p") == 0, F.lit("created")).otherwise(F.lit("existing")).alias("source"))
 
 
-def _strip_sql(n: str, b: str) -> str:
-    return f"case when {s_sql(b)} <> '' and starts_with({s_sql(n)}, {s_sql(b)}) then trim(substring({s_sql(n)}, length({s_sql(b)}) + 1)) else {s_sql(n)} end"
-
-
 _ASKED = f"""select b.brand_id as scope, any_value(b.canonical_name) as brand_name, r.model as value, min(r.row_id) as ord
   from report_rows r join (select canonical_name, min(brand_id) as brand_id from dim_brand group by 1) b on b.canonical_name = r.brand where {c_sql('r.model')} <> '' group by b.brand_id, r.model"""
 _MODEL_PAIRS = "(select scope, value, {n} as k from v where not regexp_matches({n}, '^\\p{{Nd}}+$')) v join (select brand_id as scope, model_id as entity_id, cast(substring(model_id, 3) as int) as ord, {a} as k from dim_model) a on v.scope = a.scope"
@@ -569,9 +675,6 @@ def strip_prefix(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "report_rows").select("row_id", resolution.strip_prefix(F.col("model"), F.col("brand")).alias("stripped"))
 
 
-_WORDS = "case {x} " + " ".join(f"when '{w}' then '{i}'" for i, w in enumerate(("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten"))) + " end"
-
-
 @query(f"select row_id, coalesce({_WORDS.format(x='(' + _strip_sql('model', 'brand') + ')')}, model) as model, coalesce({_WORDS.format(x='(' + s_sql('''string_split(model, ' ')[-1]''') + ')')}, string_split(model, ' ')[-1]) as last_word from report_rows")
 def number_word_to_digit(spark: SparkSession, d: str) -> DataFrame:
     last = F.element_at(F.split("model", " "), -1)

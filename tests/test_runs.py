@@ -2,8 +2,10 @@ import json
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 
-from ledgerloom.operators import provider
+from ledgerloom.config import Config, load_config
+from ledgerloom.operators import dimensions, provider
 from ledgerloom.plans import jobs, pipeline
 from ledgerloom.sources import master
 from ledgerloom.streaming import filedrop
@@ -28,14 +30,36 @@ def test_job(spark, tmp_path):
     t = tables(spark)
     states, out = str(tmp_path / "states"), str(tmp_path / "out")
     assert jobs.run_job(spark, "j1", states, out, date(2024, 5, 20), lambda: pipeline.run(t))
-    facts = spark.read.parquet(f"{out}/j1/facts").collect()
+    facts = spark.read.parquet(f"{out}/facts").collect()
     assert [(f.Brand_ID, f.Model_ID, f.Vehicle_Count, str(f.Reporting_Date), f.Fact_ID) for f in facts] == [("B1", "M1", 3.0, "2024-05-01", 1)]
-    assert spark.read.json(f"{out}/j1/missing_metadata").collect()[0].missing == "model_motor_type"
+    assert [(r.Fact_ID, r.Attribute_Name, r.Attribute_Value) for r in spark.read.parquet(f"{out}/attributes").collect()] == [(1, "Count", "3")]
+    assert spark.read.json(f"{out}/missing_metadata").collect()[0].missing == "model_motor_type"
+    assert "brand_id" not in spark.read.parquet(f"{out}/j1/output_filtered_private-2024-05-20").columns
     assert not jobs.run_job(spark, "j2", states, out, date(2024, 5, 20), lambda: 1 / 0)
     got = {r.job_id: r for r in jobs.job_list(spark, states).collect()}
     assert (got["j1"].status, got["j1"].n_rows, got["j1"].n_kept) == ("done", 3, 1) and got["j2"].status == "failed" and "ZeroDivision" in got["j2"].message
 
 
+def test_jobs_share_facts_and_logs(spark, tmp_path):
+    t = tables(spark)
+    states, out = str(tmp_path / "states"), str(tmp_path / "out")
+    answers = spark.createDataFrame(
+        [("brand", "", "Zett", "Zeta"), ("model", "BR00002", "Z 1", "Z One")], "entity_type string, scope string, value string, canonical_name string"
+    ).withColumns({"matched": F.lit(True), "confidence": F.lit(0.9)})
+    attributes = spark.createDataFrame([("country", "BR00002", "Chad"), ("motor_type", "MD00003", "Hybrid")], "entity_type string, value string, canonical_name string").withColumns({"matched": F.lit(True), "confidence": F.lit(0.9)})
+    second = dict(t, report_rows=spark.createDataFrame([(9, "g", "Cairo", "Private", "Zett", "Z 1", 6.0, 2024, 5), (10, "g", "Cairo", "Private", "Toyota", "Corolla", 7.0, 2024, 6)], ROWS))
+    build = lambda: pipeline.run(second, provider.static(answers.drop("scope"), ["entity_type", "value"]), provider.static(attributes, ["entity_type", "value"]))
+    for job, make in (("j1", lambda: pipeline.run(t)), ("j2", build), ("j2", build)):
+        assert jobs.run_job(spark, job, states, out, date(2024, 5, 20), make)
+    facts = {(f.Fact_ID, f.Brand_ID, f.Model_ID, f.Vehicle_Count, str(f.Reporting_Date)) for f in spark.read.parquet(f"{out}/facts").collect()}
+    # a model created by an answer and its attributes, filled from outside, reach the facts; the month of both jobs has the rows of both
+    assert facts == {(1, "B1", "M1", 3.0, "2024-05-01"), (2, "BR00002", "MD00003", 6.0, "2024-05-01"), (3, "B1", "M1", 7.0, "2024-06-01")}
+    assert spark.read.parquet(f"{out}/attributes").count() == 3
+    assert jobs.next_fact_id(spark, f"{out}/facts", "j3") == 4 and jobs.next_fact_id(spark, f"{out}/facts", "j2") == 2
+    assert spark.read.json(f"{out}/missing_metadata").count() == 1
+    assert {r.country for r in spark.read.parquet(f"{out}/j2/dimensions/dim_brand").where("brand_id = 'BR00002'").collect()} == {"Chad"}
+
+
 def test_stream(spark, tmp_path):
     t = tables(spark)
     folder, out = str(tmp_path / "in"), str(tmp_path / "out")
@@ -111,7 +135,7 @@ def test_run_sends_values_through_every_stage(spark):
     got = {r.row_id: r for r in pipeline.run(t).resolved.collect()}
     assert [got[i].brand_id for i in range(1, 7)] == ["B1", "B1", "B1", None, None, None]
     assert (got[2].governorate_id, got[2].model_id, got[3].license_type_id, got[3].model_id) == ("G1", "M1", "L1", None)
-    assert pipeline.run(t).facts.count() == 2
+    assert pipeline.run(t).facts()[0].count() == 2
 
     answers = make(
         [("brand", "", "Brand Z", True, "Zeta", 0.9), ("brand", "", "???", True, "Toyota", 0.2), ("model", "B1", "Toyota Corolla", True, "Toyota Corolla", 1.0), ("model", "BR00002", "Z 1", True, "Z One", 1.0), ("model", "BR00002", "Z1", True, "z one", 1.0)],
@@ -121,6 +145,43 @@ def test_run_sends_values_through_every_stage(spark):
     got = {r.row_id: r for r in outcome.resolved.collect()}
     assert [got[i].brand_id for i in range(1, 7)] == ["B1", "B1", "B1", "BR00002", "BR00002", None]
     assert [got[i].model_id for i in range(1, 7)] == ["M1", "M1", "M1", "MD00003", "MD00003", None]
-    assert {(r.brand_id, r.alias) for r in outcome.dimensions["dim_brand_alias"].collect()} == {("B1", "toyta"), ("B1", "Toyotaa"), ("B1", "Tyoota"), ("BR00002", "Brand Z")}
+    assert {(r.brand_id, r.alias) for r in outcome.dimensions["dim_brand_alias"].collect()} == {("B1", "toyta"), ("B1", "toyotaa"), ("B1", "tyoota"), ("BR00002", "brand z")}
     assert {(r.model_id, r.brand_id, r.canonical_name) for r in outcome.dimensions["dim_model"].collect()} == {("M1", "B1", "Corolla"), ("M2", "B1", "Yaris"), ("MD00003", "BR00002", "z one")}
-    assert {(r.entity_type, r.value, r.stage) for r in outcome.found.collect()} >= {("governorate_city", "Cairoo", "typo"), ("model", "Corola", "fuzzy"), ("model", "Toyota Corolla", "answer")}
+    assert {(r.entity_type, r.value, r.stage) for r in outcome.found.collect()} >= {("governorate_city", "Cairoo", "typo"), ("model", "Corola", "fuzzy"), ("model", "Toyota Corolla", "prefix_variant")}
+    logged = {(r.entity_type, r.value, r.reason.split(" ")[0]) for r in outcome.low_confidence.collect()}
+    assert {("governorate_city", "Cairoo", "short"), ("model", "Corola", "likeness"), ("model", "Toyota Corolla", "a"), ("brand", "???", "not")} <= logged
+    assert {(r.model_id, r.alias) for r in outcome.dimensions["dim_model_alias"].collect()} >= {("M1", "corola"), ("M1", "toyota corolla"), ("MD00003", "z 1")}
+
+
+def test_totals_headers_and_brands_are_not_asked_about(spark):
+    t = tables(spark)
+    t["report_rows"] = spark.createDataFrame([(1, "f", "Grand Total", "x", "Brand", "TOYTA", 1.0, 2024, 5), (2, "f", "Cairo", "Private", "Toyota", "TOYTA", 1.0, 2024, 5), (3, "f", "Cairo", "Private", "Toyota", "77", 1.0, 2024, 5)], ROWS)
+    asked = []
+
+    def ask(requests):
+        asked.extend((r.phase, r.entity_type, r.value) for r in requests.collect())
+        return requests.withColumns({"matched": F.lit(True), "canonical_name": F.col("value"), "confidence": F.lit(1.0)})
+
+    outcome = pipeline.run(t, ask)
+    assert {a for a in asked if a[1] != "license_type"} == {("match", "model", "77"), ("identify", "model", "77")}
+    assert [r.reason for r in outcome.low_confidence.where("value = '77'").collect()] == ["a new model of a bare number"]
+
+
+def test_master_is_saved_and_read_again(spark, tmp_path):
+    t = pipeline.with_alias_tables(tables(spark))
+    path = str(tmp_path / "master")
+    entities = master.master_entities(t, (*pipeline.KINDS, pipeline.MODEL))
+    for _ in range(2):
+        master.save_master(entities, path)
+    key = lambda df: sorted(map(str, df.select(*entities.columns).collect()))
+    assert key(master.load_master(spark, path, lines=True)) == key(entities) and entities.count() == 6
+    assert '"next_brand_id":2' in "".join(r.value for r in spark.read.text(path).collect())
+    updated = dimensions.update_fields(t["dim_brand"], spark.createDataFrame([("B1", "Chad"), ("B9", "X")], "brand_id string, country string"), "brand_id")
+    assert [tuple(r) for r in updated.collect()] == [("B1", "Toyota", "Chad")]
+
+
+def test_config():
+    assert load_config({}) == Config() and load_config({"LEDGERLOOM_BATCH_SIZE": "50", "LEDGERLOOM_FILTER_PRIVATE": "no", "LEDGERLOOM_MIN_CONFIDENCE": " "}) == Config(batch_size=50, filter_private=False)
+    for bad in ({"LEDGERLOOM_BATCH_SIZE": "0"}, {"LEDGERLOOM_FILTER_PRIVATE": "maybe"}, {"LEDGERLOOM_FUZZY_THRESHOLD": "101"}):
+        with pytest.raises(ValueError):
+            load_config(bad)
