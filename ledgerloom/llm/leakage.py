@@ -4,19 +4,22 @@ Greedy string tiling after a seed join. The bodies of the evaluation items becom
 triples. Each document is scanned once, in Arrow batches without any shuffle: its triples meet the index
 (the seed join); seeds that lie together on nearby diagonals make a document and an item a candidate;
 for each candidate the longest common runs are marked, longest first and never overlapping, found
-by Karp-Rabin fingerprints of falling length. The tiles give the covered share of the item, in any order,
-and an exact check of order and of the share of changed words follows.
+by Karp-Rabin fingerprints of falling length. The tiles give the covered share of the item, in any order
+(``reordered`` puts a threshold to it); ``leaks`` goes on with an exact check of order and of the share of changed words.
 
-What counts: a stretch of the body that begins and ends with equal words, holds at least 15 of them and at most one
-edit to four, and has 15 body words in a row with at most 3 edits (edits may not all crowd one spot). Words that were
-changed are not held, so a template sentence that shares 12 of 15 words with a body is no leak.
+What counts as a leak: a stretch of the body of which at least 15 words are held in their order, at most one
+edit (a word changed, added or left out) to four held words. Words that were changed are not held, so a template sentence that shares 12
+of 15 words with a body is no leak.
 
-Why no passage is lost: of 15 body words with at most 3 edits, the 13 triples keep at least 13 - 3 * 3 = 4.
-Triples that very many items share are left out of the index only as long as no 15-word window of any
-item loses more than two of them, so that two seeds are always left, and edits shift a diagonal by at most 3.
+Why no passage is lost: one with 30 held words or more can be cut in two of which one counts by itself, so there is always
+one with fewer than 30 held words and so at most 7 edits. With e edits it has b body words in a row that stand within e
+edits of the text, for one (b, e) of ``WINDOWS``. Its triples keep more than three seeds: an edit spoils three of them at
+most, and triples that very many items share are left out of the index only as long as no 15-word window of any
+item loses more than two of them. Of so many seeds two are on nearby diagonals, as 7 edits part two neighbours at most once by more
+than ``BAND``.
 
 The index is sent to the executors. It holds the evaluation items only, whose number does not grow with the
-corpus; ``BLOCK_WORDS`` bounds one index, and a larger evaluation set is matched block by block.
+corpus; ``BLOCK_WORDS`` bounds one index, and a larger evaluation set is matched block by block, one index in memory at a time.
 """
 
 from __future__ import annotations
@@ -29,7 +32,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.wikitext import plain, word_list
+from ledgerloom.llm.wikitext import word_list
+from ledgerloom.session import cut
 
 LEAST_WORDS = 15
 EDIT_SHARE = 5  # one word in so many
@@ -38,9 +42,14 @@ COMMON = 24  # items that may share a triple before it counts as common
 NEAR = 24  # words within which two seeds of a passage lie
 BAND = 4
 STEP = 8
+#: Body words in a row and the edits within which they stand in the text; one pair holds for the least passage of every number of edits.
+WINDOWS = ((15, 3), (16, 4), (20, 5), (24, 6), (28, 7))
 REACH = 48  # words on either side of a seed; a passage has a part of fewer than 30 held words and 8 edits that is one itself
+MARGIN = 64  # words that are none before and after each body
 GAP = 64  # zeros between documents, so that no window reaches from one into another
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 500_000
+REORDERED_TILE = 6  # words of the least tile of a reordered passage
+REORDERED_COVERAGE = 0.5  # share of the body that such tiles must cover
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 22
@@ -81,13 +90,26 @@ class SeedIndex:
         self.table = np.zeros(1 << _BITS, dtype=bool)
         if len(kept):
             self.table[self._slot(self.codes)] = True
-        self.longest = max((len(b) for b in self.bodies), default=0)
-        self.padded = np.full((len(self.bodies), 2 * self.longest + 16 + LEAST_WORDS), -2, dtype=np.int32)
-        for k, body in enumerate(self.bodies):
-            self.padded[k, self.longest + 8 : self.longest + 8 + len(body)] = body
-        self.has = np.zeros((len(self.bodies), self.size), dtype=bool)
-        for k, body in enumerate(self.bodies):
-            self.has[k, body] = True
+        # all bodies behind one another, with margins of words that are none
+        lengths = np.array([len(b) for b in self.bodies], dtype=np.int64)
+        self.lengths = lengths
+        self.begins = MARGIN + np.concatenate([[0], np.cumsum(lengths + 2 * MARGIN)])[:-1].astype(np.int64) if len(lengths) else lengths
+        self.flat = np.full(int((lengths + 2 * MARGIN).sum()), -2, dtype=np.int32)
+        for at, body in zip(self.begins.tolist(), self.bodies, strict=True):
+            self.flat[at : at + len(body)] = body
+        self.longest = int(lengths.max()) if len(lengths) else 0
+        # which words an item has: a table of hashes, which says yes to all it has and to few others
+        held = np.concatenate([k * np.int64(self.size) + np.unique(b) for k, b in enumerate(self.bodies)]) if len(lengths) else np.empty(0, dtype=np.int64)
+        self.held_bits = max(10, int(held.size * 16).bit_length())
+        self.held = np.zeros(1 << self.held_bits, dtype=bool)
+        self.held[self._held_slot(held)] = True
+
+    def _held_slot(self, codes: np.ndarray) -> np.ndarray:
+        return (codes.astype(np.uint64) * _MIX) >> np.uint64(64 - self.held_bits)
+
+    def size_in_bytes(self) -> int:
+        """Of the arrays; the vocabulary comes to some 100 bytes a word beside."""
+        return sum(x.nbytes for x in (self.codes, self.starts, self.items, self.places, self.table, self.flat, self.held, self.begins)) + sum(b.nbytes for b in self.bodies)
 
     def _codes(self, ids: np.ndarray) -> np.ndarray:
         if len(ids) < SEED:
@@ -125,23 +147,22 @@ class SeedIndex:
                         lost[k][p] -= 1
         return out
 
-    def _within_edits(self, ids: np.ndarray, place: np.ndarray, item: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
-        """Which candidates have 15 body words near the seed that stand within 3 edits of the text: edit distances in a band, start by start."""
-        edits = LEAST_WORDS // EDIT_SHARE
+    def _within_edits(self, ids: np.ndarray, place: np.ndarray, item: np.ndarray, diagonal: np.ndarray, span: int, edits: int) -> np.ndarray:
+        """Which candidates have ``span`` body words near the seed that stand within ``edits`` of the text: edit distances in a band, start by start."""
         shifts = np.arange(-2 * edits, 2 * edits + 1, dtype=np.int32)
         band = np.where(np.abs(shifts) <= edits, 0, 99).astype(np.int16)
         good = np.zeros(len(place), dtype=bool)
-        row = (item * self.padded.shape[1] + self.longest + 8).astype(np.int64)
-        flat = self.padded.ravel()
-        for back in range(-STEP, LEAST_WORDS):
+        begin, length = self.begins[item], self.lengths[item]
+        for back in range(-STEP, span):
             first = place - diagonal - back
-            todo = np.flatnonzero(~good & (first >= 0) & (first < self.longest))
-            body, text = row[todo] + first[todo], (diagonal + first)[todo]
+            todo = np.flatnonzero(~good & (first >= 0) & (first + span <= length))
+            body, text = begin[todo] + first[todo], (diagonal + first)[todo]
             cost = band[None, :].repeat(len(todo), 0)
-            for step in range(LEAST_WORDS):
+            for step in range(span):
                 if not len(todo):
                     break
-                same = ids[(text + step)[:, None] + shifts[None, :]] == flat[body + step][:, None]
+                at = (text + step)[:, None] + shifts[None, :]
+                same = ids[np.clip(at, 0, len(ids) - 1)] == self.flat[body + step][:, None]
                 following = cost + ~same
                 # a body word left out: the text stays where it is
                 np.minimum(following[:, :-1], cost[:, 1:] + 1, out=following[:, :-1])
@@ -149,7 +170,7 @@ class SeedIndex:
                 for s in range(1, len(shifts)):
                     np.minimum(following[:, s], following[:, s - 1] + 1, out=following[:, s])
                 cost = following
-                if step in (3, 6, 9, 12):
+                if step % 3 == 0:
                     alive = np.flatnonzero(cost.min(axis=1) <= edits)
                     if len(alive) < len(todo):
                         todo, body, text, cost = todo[alive], body[alive], text[alive], cost[alive]
@@ -157,11 +178,11 @@ class SeedIndex:
                 good[todo[cost.min(axis=1) <= edits]] = True
         return good
 
-    def candidates(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and items of passages that may be leaks; ``ids`` holds the batch's documents set off by ``GAP`` zeros."""
-        nothing = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    def seeds(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place, item and place in its body of every triple that the index knows."""
+        nothing = np.empty(0, dtype=np.int64)
         if len(ids) < SEED or not len(self.codes):
-            return nothing
+            return nothing, nothing, nothing
         usable = ids > 0
         at = np.flatnonzero(usable[:-2] & usable[1:-1] & usable[2:])
         codes = (ids[at].astype(np.int64) * self.size + ids[at + 1]) * self.size + ids[at + 2]
@@ -171,51 +192,52 @@ class SeedIndex:
         found[found == len(self.codes)] = 0
         real = self.codes[found] == codes
         at, found = at[real], found[real]
-        if not len(at):
-            return nothing
         counts = self.starts[found + 1] - self.starts[found]
-        place = np.repeat(at, counts)
-        entry = np.repeat(self.starts[found] - (np.cumsum(counts) - counts), counts) + np.arange(len(place))
-        item = self.items[entry]
-        diagonal = place - self.places[entry]
+        entry = np.repeat(self.starts[found] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+        return np.repeat(at, counts), self.items[entry], self.places[entry]
+
+    def candidates(self, ids: np.ndarray, place: np.ndarray, item: np.ndarray, body_place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places, items and places in the bodies of passages that may be leaks; ``ids`` holds the batch's documents set off by ``GAP`` zeros."""
+        if not len(place):
+            return place, item, body_place
+        diagonal = place - body_place
         close = []
         for shift in (0, BAND):
             # by item and band, places rising: the sort is stable and places come in order
-            key = item * np.int64(len(ids) + 4 * BAND) + (diagonal + self.longest + shift) // (2 * BAND)
+            key = item * np.int64(len(ids) + 4 * BAND + self.longest) + (diagonal + self.longest + shift) // (2 * BAND)
             order = np.argsort(key, kind="stable")
             p, k = place[order], key[order]
             close.append(order[:-1][(k[1:] == k[:-1]) & (p[1:] - p[:-1] <= NEAR) & (p[1:] > p[:-1])])
         chosen = np.concatenate(close)
         # one of several seeds on one diagonal within STEP words stands for them all
-        key = (item[chosen] * np.int64(len(ids) + 1) + diagonal[chosen] + self.longest) * np.int64(1 + len(ids) // STEP) + place[chosen] // STEP
+        key = (item[chosen] * np.int64(len(ids) + self.longest + 1) + diagonal[chosen] + self.longest) * np.int64(1 + len(ids) // STEP) + place[chosen] // STEP
         _, once = np.unique(key, return_index=True)
         chosen = chosen[once]
         place, item, diagonal = place[chosen] // STEP * STEP, item[chosen], diagonal[chosen]
-        span, width, least = LEAST_WORDS + STEP, LEAST_WORDS + LEAST_WORDS // EDIT_SHARE, LEAST_WORDS - LEAST_WORDS // EDIT_SHARE
-        around = np.arange(-span, span + STEP)
         good = np.zeros(len(place), dtype=bool)
-        shifted = self.longest + 8
-        row_length = self.padded.shape[1]
-        flat = self.padded.ravel()
-        for lo in range(0, len(place), 50_000):
-            p, k, g = place[lo : lo + 50_000], item[lo : lo + 50_000], diagonal[lo : lo + 50_000]
-            # of the words around, enough must be the item's at all
-            words = ids[p[:, None] + around[None, :]]
-            sums = np.cumsum(self.has.ravel()[(k * self.size)[:, None] + words], axis=1, dtype=np.int16)
-            some = np.flatnonzero((sums[:, width:] - sums[:, :-width]).max(axis=1) >= least)
-            # and must stand where the item has them, give or take three places
-            words = words[some]
-            column = p[some, None] + around[None, :] - g[some, None] + shifted
-            np.clip(column, 3, row_length - 4, out=column)
-            column += (k[some] * row_length)[:, None]
-            equal = flat[column] == words
-            for shift in (-3, -2, -1, 1, 2, 3):
-                equal |= flat[column + shift] == words
-            sums = np.cumsum(equal, axis=1, dtype=np.int16)
-            good[lo + some] = (sums[:, width:] - sums[:, :-width]).max(axis=1) >= least
-        place, item, diagonal = place[good], item[good], diagonal[good]
-        good = self._within_edits(ids, place, item, diagonal)
-        return place[good], item[good]
+        for span, edits in WINDOWS:
+            todo = np.flatnonzero(~good)
+            width, least = span + edits, span - edits
+            around = np.arange(-width, width + STEP)
+            for lo in range(0, len(todo), 50_000):
+                some = todo[lo : lo + 50_000]
+                # of the words around, enough must be the item's at all
+                words = ids[np.clip(place[some, None] + around[None, :], 0, len(ids) - 1)]
+                sums = np.cumsum(self.held[self._held_slot((item[some] * self.size)[:, None] + words)], axis=1, dtype=np.int16)
+                enough = (sums[:, width:] - sums[:, :-width]).max(axis=1) >= least
+                some, words = some[enough], words[enough]
+                # and must stand where the item has them, give or take the edits
+                column = place[some, None] + around[None, :] - diagonal[some, None]
+                np.clip(column, -MARGIN + edits, self.lengths[item[some], None] + MARGIN - 1 - edits, out=column)
+                column += self.begins[item[some], None]
+                equal = self.flat[column] == words
+                for shift in range(1, edits + 1):
+                    equal |= self.flat[column + shift] == words
+                    equal |= self.flat[column - shift] == words
+                sums = np.cumsum(equal, axis=1, dtype=np.int16)
+                some = some[(sums[:, width:] - sums[:, :-width]).max(axis=1) >= least]
+                good[some] = self._within_edits(ids, place[some], item[some], diagonal[some], span, edits)
+        return place[good], item[good], (place - diagonal)[good]
 
 
 _BASE = 0x100000001B3
@@ -279,7 +301,7 @@ def tiles(pattern: np.ndarray, text: np.ndarray) -> list[tuple[int, int, int]]:
 def _edit_steps(pattern: Sequence[int], text: Sequence[int]) -> list[tuple[int, int]]:
     """Alignment of two short runs as steps (1 if equal else 0, body words taken); an added word takes none."""
     n, m = len(pattern), len(text)
-    if n == 0 or m == 0 or n * m > 4000:
+    if n == 0 or m == 0:
         return [(0, 1)] * n + [(0, 0)] * max(0, m - n)
     cost = [list(range(m + 1))]
     for i in range(1, n + 1):
@@ -302,8 +324,41 @@ def _edit_steps(pattern: Sequence[int], text: Sequence[int]) -> list[tuple[int,
     return steps[::-1]
 
 
-def holds(pattern: Sequence[int], text: Sequence[int], found: Sequence[tuple[int, int, int]]) -> bool:
-    """Whether at least 15 body words stand in the text in their order, with at most one word in five of the stretch changed, added or left out."""
+def stands(body: np.ndarray, text: np.ndarray) -> bool:
+    """Whether at least ``LEAST_WORDS`` body words stand in the text in their order with at most one edit for every four of them; exact.
+
+    Per pair of places and number of held words (up to ``LEAST_WORDS``) the best score of an alignment that ends there is kept: one up for a held
+    word, four down for an edit. One row of the table is one step over the whole text.
+    """
+    lost, cost, top = np.int16(-10_000), np.int16(EDIT_SHARE - 1), LEAST_WORDS
+    m = len(text)
+    if m < top or len(body) < top:
+        return False
+    slope = (cost * np.arange(m + 1, dtype=np.int32))[:, None]
+    row = np.full((m + 1, top + 1), lost, dtype=np.int32)
+    for word in body:
+        equal = np.flatnonzero(text == word)
+        following = np.maximum(row, np.concatenate([row[:1], row[:-1]])) - cost  # the body word left out, or changed
+        following[0] = lost
+        if len(equal):
+            before = row[equal]
+            held = np.full((len(equal), top + 1), lost, dtype=np.int32)
+            held[:, 1:] = before[:, :-1] + 1
+            held[:, top] = np.maximum(held[:, top], before[:, top] + 1)
+            held[:, 1] = np.maximum(held[:, 1], 1)
+            if held[:, top].max() >= 0:
+                return True
+            following[equal + 1] = np.maximum(following[equal + 1], held)
+        # words added to the text
+        row = np.maximum.accumulate(following + slope, axis=0) - slope
+        np.maximum(row, lost, out=row)
+    return False
+
+
+def chained(pattern: Sequence[int], text: Sequence[int], found: Sequence[tuple[int, int, int]]) -> bool:
+    """Whether tiles that follow one another in both, and the words between them, already make a leak; says no to some that are."""
+    if any(n >= LEAST_WORDS for _, _, n in found):
+        return True
     chain = sorted(found, key=lambda t: t[1])
     # the heaviest chain of tiles whose places rise in both
     best: list[tuple[int, int]] = []
@@ -315,32 +370,32 @@ def holds(pattern: Sequence[int], text: Sequence[int], found: Sequence[tuple[int
             if x + z <= i and y + z <= j and gap <= NEAR and best[b][0] + n - gap // 4 > top:
                 top, before = best[b][0] + n - gap // 4, b
         best.append((top, before))
-    # every tile ends a line of its own; a body has at most a third as many tiles as words
-    for end in sorted(range(len(chain)), key=lambda a: -best[a][0]):
-        line = []
-        at = end
-        while at >= 0:
-            line.append(chain[at])
-            at = best[at][1]
-        line.reverse()
-        steps: list[tuple[int, int]] = []
-        for x, (i, j, n) in enumerate(line):
-            if x:
-                pi, pj, pn = line[x - 1]
-                steps += _edit_steps(pattern[pi + pn : i], text[pj + pn : j])
-            steps += [(1, 1)] * n
-        # loose words next to the ends of the chain may belong to the passage
-        fi, fj, _ = line[0]
-        li, lj, ln = line[-1]
-        if sum(n for _, _, n in line) + 24 < LEAST_WORDS:
-            continue
-        for near in ((6,), (4, 10, 14)):
-            shifts = (0,) if len(near) == 1 else (-3, -2, -1, 0, 1, 2, 3)
-            leads = {tuple(_edit_steps(pattern[max(0, fi - n) : fi], text[max(0, fj - n - x) : fj])) for n in near for x in shifts}
-            tails = {tuple(_edit_steps(pattern[li + ln : li + ln + n], text[lj + ln : lj + ln + n + x])) for n in near for x in shifts}
-            if any(_passes([*lead, *steps, *tail]) for lead in leads for tail in tails):
-                return True
-    return False
+    if not chain:
+        return False
+    at, line = max(range(len(chain)), key=lambda a: best[a][0]), []
+    while at >= 0:
+        line.append(chain[at])
+        at = best[at][1]
+    line.reverse()
+    steps: list[tuple[int, int]] = []
+    for x, (i, j, n) in enumerate(line):
+        if x:
+            pi, pj, pn = line[x - 1]
+            steps += _edit_steps(pattern[pi + pn : i], text[pj + pn : j])
+        steps += [(1, 1)] * n
+    return _passes(steps)
+
+
+def _windows(places: Iterable[tuple[int, int]], length: int, low: int, high: int) -> Iterator[tuple[int, int, int, int]]:
+    """Stretches of body and text around seeds ``(place in text, place in body)``, those of overlapping surroundings in one: body from, to, text from, to."""
+    merged: list[list[int]] = []
+    for p, b in sorted(places):
+        part = [max(0, b - REACH), min(length, b + STEP + REACH), max(low, p - REACH), min(high, p + STEP + REACH)]
+        if merged and part[2] <= merged[-1][3]:
+            merged[-1] = [min(merged[-1][0], part[0]), max(merged[-1][1], part[1]), merged[-1][2], max(merged[-1][3], part[3])]
+        else:
+            merged.append(part)
+    return (tuple(m) for m in merged)
 
 
 def _passes(steps: Iterable[tuple[int, int]]) -> bool:
@@ -360,7 +415,8 @@ def _passes(steps: Iterable[tuple[int, int]]) -> bool:
     return False
 
 
-def _scan(index: SeedIndex, batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _batches(index: SeedIndex, batches: Iterable[pd.DataFrame]) -> Iterator[tuple[list, list[int], np.ndarray]]:
+    """Document ids, where each begins, and the words of all as numbers of the index's vocabulary, set off by ``GAP`` zeros."""
     get = index.vocabulary.get
     for whole in batches:
         for lo in range(0, len(whole), 1000):
@@ -372,50 +428,100 @@ def _scan(index: SeedIndex, batches: Iterable[pd.DataFrame]) -> Iterator[pd.Data
                 pieces.append(np.array([get(w, 0) for w in words], dtype=np.int32))
                 pieces.append(np.zeros(GAP, dtype=np.int32))
                 at += len(words) + GAP
-            ids = np.concatenate(pieces)
-            begins = np.array(starts, dtype=np.int64)
-            places, items = index.candidates(ids)
-            spans: dict[tuple[int, int], set[int]] = {}
-            for d, p, k in zip((np.searchsorted(begins, places + STEP, side="right") - 1).tolist(), places.tolist(), items.tolist(), strict=True):
-                spans.setdefault((d, k), set()).add(p)
-            rows = []
-            doc_ids = batch["doc_id"].tolist()
-            for (d, k), at in sorted(spans.items()):
-                body = index.bodies[k]
-                low, high = starts[d], starts[d + 1] - GAP if d + 1 < len(starts) else len(ids) - GAP
-                words = ids[max(low, min(at) - index.longest) : min(high, max(at) + index.longest)]
-                found = tiles(body, words)
-                # where the body occurs twice, longer tiles of one place may have taken words of another: then each place by itself
-                near = (ids[max(low, p - REACH) : min(high, p + STEP + REACH)] for p in sorted(at))
-                if holds(body.tolist(), words.tolist(), found) or any(holds(body.tolist(), w.tolist(), tiles(body, w)) for w in near):
-                    rows.append((doc_ids[d], index.ids[k], sum(n for _, _, n in found) / len(body)))
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "coverage"])
+            yield batch["doc_id"].tolist(), [*starts, at], np.concatenate(pieces)
 
 
-def leaks(documents: DataFrame, items: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``doc_id, item_id, coverage`` for each document and each item whose body it holds, whole or in part.
-
-    ``documents(doc_id, text)`` and ``items(item_id, item_text)``; other columns are ignored. Null or empty
-    texts, items without a body and bodies of under 15 words give nothing; items that share a body are
-    all reported; repeated document rows give repeated results. ``coverage`` is the share of the body's words
-    that tiles cover, in any order. Whole texts of any length are read.
-    """
-    blocks: list[list[tuple[int, str]]] = [[]]
-    words = 0
+def _scan(index: SeedIndex, batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for doc_ids, starts, ids in _batches(index, batches):
+        places, items, body_places = index.candidates(ids, *index.seeds(ids))
+        spans: dict[tuple[int, int], set[tuple[int, int]]] = {}
+        owner = np.searchsorted(np.array(starts, dtype=np.int64), places + STEP, side="right") - 1
+        for d, p, k, b in zip(owner.tolist(), places.tolist(), items.tolist(), body_places.tolist(), strict=True):
+            spans.setdefault((d, k), set()).add((p, b))
+        rows = []
+        for (d, k), at in sorted(spans.items()):
+            body, low, high = index.bodies[k], starts[d], starts[d + 1] - GAP
+            windows = list(_windows(at, len(body), low, high))
+            parts = [tiles(body, ids[c:e]) for _, _, c, e in windows]
+            if any(chained(body.tolist(), ids[c:e].tolist(), t) for t, (_, _, c, e) in zip(parts, windows, strict=True)) or any(stands(body[a:b], ids[c:e]) for a, b, c, e in windows):
+                covered = {x for t in parts for i, _, n in t for x in range(i, i + n)}
+                rows.append((doc_ids[d], index.ids[k], len(covered) / len(body)))
+        yield pd.DataFrame(rows, columns=["doc_id", "item_id", "coverage"])
+
+
+def _scan_any_order(index: SeedIndex, batches: Iterable[pd.DataFrame], tile: int, least_coverage: float) -> Iterator[pd.DataFrame]:
+    for doc_ids, starts, ids in _batches(index, batches):
+        place, item, body_place = index.seeds(ids)
+        owner = np.searchsorted(np.array(starts, dtype=np.int64), place, side="right") - 1
+        key = owner * np.int64(len(index.bodies)) + item
+        # distinct triples of a body that a document has; tiles that cover enough keep at least half as many
+        once = np.unique(key * np.int64(index.longest + 1) + body_place) // np.int64(index.longest + 1)
+        pairs, counts = np.unique(once, return_counts=True)
+        need = np.maximum(LEAST_WORDS, np.ceil(index.lengths[pairs % len(index.bodies)] * least_coverage)) / 2 if len(pairs) else counts
+        rows = []
+        order = np.argsort(key, kind="stable")
+        for pair in pairs[counts >= need].tolist():
+            d, k = divmod(pair, len(index.bodies))
+            mine = order[np.searchsorted(key[order], pair) : np.searchsorted(key[order], pair, side="right")]
+            body, low, high = index.bodies[k], starts[d], starts[d + 1] - GAP
+            parts: list[np.ndarray] = []
+            for _, _, c, e in _windows(zip(place[mine].tolist(), body_place[mine].tolist(), strict=True), len(body), low, high):
+                parts += [ids[c:e], np.zeros(1, dtype=np.int32)]
+            covered = sum(n for _, _, n in tiles(body, np.concatenate(parts)) if n >= tile)
+            if covered >= LEAST_WORDS and covered >= least_coverage * len(body):
+                rows.append((doc_ids[d], index.ids[k], covered / len(body)))
+        yield pd.DataFrame(rows, columns=["doc_id", "item_id", "coverage"])
+
+
+def _blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[int, str]]]:
+    block, words = [], 0
     for row in items.select("item_id", "item_text").where("item_id is not null").toLocalIterator():
         body = item_body(row.item_text)
-        n = len(plain(body).split())
-        if words + n > block_words and blocks[-1]:
-            blocks.append([])
-            words = 0
+        n = len(word_list(body))
+        if words + n > block_words and block:
+            yield block
+            block, words = [], 0
         if n:
-            blocks[-1].append((row.item_id, body))
+            block.append((row.item_id, body))
             words += n
+    if block:
+        yield block
+
+
+def _matched(documents: DataFrame, items: DataFrame, block_words: int, scan) -> DataFrame:
+    """The results of ``scan`` over all documents for each block of items; of several blocks, each one's results are written before the next is built."""
     corpus = documents.select("doc_id", "text").where(F.length("text") > 0)
     schema = "doc_id bigint, item_id bigint, coverage double"
-    out = None
-    for block in blocks:
-        handle = documents.sparkSession.sparkContext.broadcast(SeedIndex(block))
-        part = corpus.mapInPandas(lambda batches, h=handle: _scan(h.value, batches), schema)
-        out = part if out is None else out.unionByName(part)
+    spark, done, waiting = documents.sparkSession, [], None
+    for block in _blocks(items, block_words):
+        if waiting is not None:
+            part, handle = waiting
+            done.append(cut(part))
+            handle.destroy()
+        handle = spark.sparkContext.broadcast(SeedIndex(block))
+        waiting = corpus.mapInPandas(lambda batches, h=handle: scan(h.value, batches), schema), handle
+    if waiting is None:
+        return spark.createDataFrame([], schema)
+    out = waiting[0]
+    for part in done:
+        out = out.unionByName(part)
     return out
+
+
+def leaks(documents: DataFrame, items: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``doc_id, item_id, coverage`` for each document and each item whose body it holds, whole or in part, in its order.
+
+    ``documents(doc_id, text)`` and ``items(item_id, item_text)``; other columns are ignored. Null or empty
+    texts, items without a body and bodies of under 15 words give nothing; items that share a body are
+    all reported; repeated document rows give repeated results. ``coverage`` is the share of the body's words
+    that tiles cover there, in any order. Whole texts of any length are read.
+    """
+    return _matched(documents, items, block_words, _scan)
+
+
+def reordered(documents: DataFrame, items: DataFrame, tile: int = REORDERED_TILE, least_coverage: float = REORDERED_COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``doc_id, item_id, coverage`` for each document whose tiles of at least ``tile`` words cover enough of an item's body, in whatever order they stand.
+
+    Enough are 15 words and ``least_coverage`` of the body. Other cases as in ``leaks``.
+    """
+    return _matched(documents, items, block_words, lambda index, batches: _scan_any_order(index, batches, tile, least_coverage))

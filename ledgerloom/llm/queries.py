@@ -48,6 +48,11 @@ def p7_item_report(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count_distinct("doc_id").alias("n_documents"), F.max("coverage").alias("most_coverage"))
 
 
+def p7_reordered(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold half of an item's body or more in runs of at least six words, in any order."""
+    return leakage.reordered(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 # -- p8: subject area of each document
 
 
@@ -75,7 +80,7 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(p6_containers(spark, d))
 
 
-QUERIES = {"p2_found": p2_found, "p2_members": p2_members, "p2_survivors": p2_survivors, "p5_found": p5_found, "p7_found": p7_found, "p7_item_report": p7_item_report,
+QUERIES = {"p2_found": p2_found, "p2_members": p2_members, "p2_survivors": p2_survivors, "p5_found": p5_found, "p7_found": p7_found, "p7_item_report": p7_item_report, "p7_reordered": p7_reordered,
     "p8_found": p8_found,
     "p8_composition": p8_composition,
     "p6_containers": p6_containers,

@@ -137,3 +137,65 @@ def test_a_passage_whose_words_stand_elsewhere_in_longer_runs(spark):
 
 def test_words():
     assert word_list("'''A'''&nbsp;[[b c|D]] {{x|{{y}}}} <ref name=z/>e​f [[Category:No]]") == ["a", "d", "ef"]
+
+
+def test_edits_that_crowd_one_spot(spark):
+    body = [f"b{i}" for i in range(20)]
+    docs = []
+    for at in range(17):  # four neighbours changed, left out, or four added, at every place
+        docs += [(3 * at, body[:at] + [f"x{i}" for i in range(4)] + body[at + 4 :]), (3 * at + 1, body[:at] + body[at + 4 :]), (3 * at + 2, body[:at] + [f"x{i}" for i in range(4)] + body[at:])]
+    docs += [(100, body[:7] + ["x"] * 5 + body[12:]), (101, body[:7] + ["x"] * 6 + body[7:])]
+    got = found(spark, [(i, " ".join(["f"] * 30 + t + ["g"] * 30)) for i, t in docs], [(1, item(" ".join(body)))])
+    assert got == [(i, 1) for i in range(51)]
+
+
+def test_stands_against_every_alignment():
+    rng = random.Random(12)
+
+    def brute(body, text):
+        # best score for each start and number of held words, by plain recursion over cells
+        best = {}
+        for i in range(len(body)):
+            for j in range(len(text)):
+                cell = {}
+                def put(h, v, cell=cell):
+                    cell[h] = max(cell.get(h, -99), v)
+                if body[i] == text[j]:
+                    put(1, 1)
+                    for h, v in best.get((i - 1, j - 1), {}).items():
+                        put(min(h + 1, 15), v + 1)
+                for other in ((i - 1, j - 1), (i - 1, j), (i, j - 1)):
+                    for h, v in best.get(other, {}).items():
+                        if v > -40:
+                            put(h, v - 4)
+                if cell.get(15, -99) >= 0:
+                    return True
+                best[i, j] = cell
+        return False
+
+    seen = set()
+    for _ in range(150):
+        body = [rng.randrange(1, 200) for _ in range(rng.randint(15, 32))]
+        text = list(body)
+        for _ in range(rng.randint(0, 7)):
+            p = rng.randrange(len(text))
+            kind = rng.random()
+            text[p : p + (kind < 0.7)] = [0] * (kind < 0.35 or kind >= 0.7)
+        want = brute(body, text)
+        seen.add(want)
+        assert leakage.stands(np.array(body), np.array(text)) == want
+    assert seen == {True, False}
+
+
+def test_reordered_passages(spark):
+    body = [f"b{i}" for i in range(28)]
+    docs = [(1, body[14:] + ["z"] + body[:14]), (2, body[:14]), (3, body[::-1]), (4, body[20:] + body[10:20] + body[:10]), (5, ["q"] * 50 + body[3:9] + ["q"] * 300 + body[12:24]), (6, body[:15]), (7, [])]
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in docs], "doc_id bigint, text string")
+    q = spark.createDataFrame([(9, item(" ".join(body)))], "item_id bigint, item_text string")
+    assert sorted(r.doc_id for r in leakage.reordered(d, q).collect()) == [1, 4, 5, 6]
+    assert sorted(r.doc_id for r in leakage.leaks(d, q).collect()) == [6]
+
+
+def test_one_very_long_item_does_not_widen_the_index():
+    index = leakage.SeedIndex([(i, " ".join(f"w{i} w{j}" for j in range(20))) for i in range(300)] + [(999, " ".join(f"v{j}" for j in range(20_000)))])
+    assert index.size_in_bytes() < 12_000_000
