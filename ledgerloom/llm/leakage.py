@@ -150,19 +150,26 @@ class SeedIndex:
     def _within_edits(self, ids: np.ndarray, place: np.ndarray, item: np.ndarray, diagonal: np.ndarray, span: int, edits: int) -> np.ndarray:
         """Which candidates have ``span`` body words near the seed that stand within ``edits`` of the text: edit distances in a band, start by start."""
         shifts = np.arange(-2 * edits, 2 * edits + 1, dtype=np.int32)
-        band = np.where(np.abs(shifts) <= edits, 0, 99).astype(np.int16)
+        band = np.where(np.abs(shifts) <= edits, 0, 99).astype(np.int8)
         good = np.zeros(len(place), dtype=bool)
         begin, length = self.begins[item], self.lengths[item]
-        for back in range(-STEP, span):
-            first = place - diagonal - back
-            todo = np.flatnonzero(~good & (first >= 0) & (first + span <= length))
-            body, text = begin[todo] + first[todo], (diagonal + first)[todo]
-            cost = band[None, :].repeat(len(todo), 0)
+        for lo in range(0, len(place), 4000):
+            # all starts at once
+            mine = np.repeat(np.arange(lo, min(lo + 4000, len(place))), span + STEP)
+            first = (place - diagonal)[mine] - np.tile(np.arange(-STEP, span), len(mine) // (span + STEP))
+            inside = (first >= 0) & (first + span <= length[mine])
+            mine, first = mine[inside], first[inside]
+            body, text = begin[mine] + first, diagonal[mine] + first
+            # a passage begins with a held word
+            near = np.arange(-edits, edits + 1)
+            begun = (ids[np.clip(text[:, None] + near, 0, len(ids) - 1)] == self.flat[body][:, None]).any(axis=1)
+            mine, body, text = mine[begun], body[begun], text[begun]
+            cost = band[None, :].repeat(len(mine), 0)
             for step in range(span):
-                if not len(todo):
+                if not len(mine):
                     break
                 at = (text + step)[:, None] + shifts[None, :]
-                same = ids[np.clip(at, 0, len(ids) - 1)] == self.flat[body + step][:, None]
+                same = ids[np.clip(at, 0, len(ids) - 1, out=at)] == self.flat[body + step][:, None]
                 following = cost + ~same
                 # a body word left out: the text stays where it is
                 np.minimum(following[:, :-1], cost[:, 1:] + 1, out=following[:, :-1])
@@ -170,12 +177,10 @@ class SeedIndex:
                 for s in range(1, len(shifts)):
                     np.minimum(following[:, s], following[:, s - 1] + 1, out=following[:, s])
                 cost = following
-                if step % 3 == 0:
-                    alive = np.flatnonzero(cost.min(axis=1) <= edits)
-                    if len(alive) < len(todo):
-                        todo, body, text, cost = todo[alive], body[alive], text[alive], cost[alive]
-            if len(todo):
-                good[todo[cost.min(axis=1) <= edits]] = True
+                if step % 2 or step + 1 == span:
+                    alive = cost.min(axis=1) <= edits
+                    mine, body, text, cost = mine[alive], body[alive], text[alive], cost[alive]
+            good[mine] = True
         return good
 
     def seeds(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -214,29 +219,33 @@ class SeedIndex:
         _, once = np.unique(key, return_index=True)
         chosen = chosen[once]
         place, item, diagonal = place[chosen] // STEP * STEP, item[chosen], diagonal[chosen]
-        good = np.zeros(len(place), dtype=bool)
-        for span, edits in WINDOWS:
-            todo = np.flatnonzero(~good)
-            width, least = span + edits, span - edits
+        good, fits = np.zeros(len(place), dtype=bool), np.zeros((len(WINDOWS), len(place)), dtype=bool)
+        widest = sum(WINDOWS[-1])
+        around = np.arange(-widest, widest + STEP)
+        for lo in range(0, len(place), 50_000):
+            # of the words around, enough must be the item's at all
+            words = ids[np.clip(place[lo : lo + 50_000, None] + around, 0, len(ids) - 1)]
+            sums = np.cumsum(self.held[self._held_slot((item[lo : lo + 50_000] * self.size)[:, None] + words)], axis=1, dtype=np.int16)
+            for r, (span, edits) in enumerate(WINDOWS):
+                cut_off, width = widest - span - edits, span + edits
+                part = sums[:, cut_off : sums.shape[1] - cut_off]
+                fits[r, lo : lo + 50_000] = (part[:, width:] - part[:, :-width]).max(axis=1) >= span - edits
+        for r, (span, edits) in enumerate(WINDOWS):
+            some = np.flatnonzero(~good & fits[r])
+            width = span + edits
             around = np.arange(-width, width + STEP)
-            for lo in range(0, len(todo), 50_000):
-                some = todo[lo : lo + 50_000]
-                # of the words around, enough must be the item's at all
-                words = ids[np.clip(place[some, None] + around[None, :], 0, len(ids) - 1)]
-                sums = np.cumsum(self.held[self._held_slot((item[some] * self.size)[:, None] + words)], axis=1, dtype=np.int16)
-                enough = (sums[:, width:] - sums[:, :-width]).max(axis=1) >= least
-                some, words = some[enough], words[enough]
-                # and must stand where the item has them, give or take the edits
-                column = place[some, None] + around[None, :] - diagonal[some, None]
-                np.clip(column, -MARGIN + edits, self.lengths[item[some], None] + MARGIN - 1 - edits, out=column)
-                column += self.begins[item[some], None]
-                equal = self.flat[column] == words
-                for shift in range(1, edits + 1):
-                    equal |= self.flat[column + shift] == words
-                    equal |= self.flat[column - shift] == words
-                sums = np.cumsum(equal, axis=1, dtype=np.int16)
-                some = some[(sums[:, width:] - sums[:, :-width]).max(axis=1) >= least]
-                good[some] = self._within_edits(ids, place[some], item[some], diagonal[some], span, edits)
+            # and must stand where the item has them, give or take the edits
+            words = ids[np.clip(place[some, None] + around, 0, len(ids) - 1)]
+            column = place[some, None] + around - diagonal[some, None]
+            np.clip(column, -MARGIN + edits, self.lengths[item[some], None] + MARGIN - 1 - edits, out=column)
+            column += self.begins[item[some], None]
+            equal = self.flat[column] == words
+            for shift in range(1, edits + 1):
+                equal |= self.flat[column + shift] == words
+                equal |= self.flat[column - shift] == words
+            sums = np.cumsum(equal, axis=1, dtype=np.int16)
+            some = some[(sums[:, width:] - sums[:, :-width]).max(axis=1) >= span - edits]
+            good[some] = self._within_edits(ids, place[some], item[some], diagonal[some], span, edits)
         return place[good], item[good], (place - diagonal)[good]
 
 
