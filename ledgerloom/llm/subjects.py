@@ -1,7 +1,7 @@
 """Subject areas of documents.
 
-Curated subject terms (a file given as a parameter) are matched by one Aho-Corasick automaton over the
-page's own sentences and table rows. Each sentence goes to the subjects whose terms weigh most in it, a
+Curated subject terms (a file given as a parameter), and terms learned from a bounded sample of labelled documents, are matched by one Aho-Corasick
+automaton over the page's own sentences and table rows. Each sentence goes to the subjects whose terms weigh most in it, a
 term weighing the more the rarer it is in the corpus; a document's score for a subject is the share of
 its sentences, so that long and short pages compare. Every subject over the threshold is assigned.
 
@@ -32,7 +32,11 @@ TERMS = str(Path(__file__).with_name("subject_terms.tsv"))
 #: The share of a page's own sentences a subject needs; a third, less what cross-topic words take off on labelled pages.
 THRESHOLD = 0.28
 HALF = 0.5  # weight of a term at home in several subjects
-_SHIFT = 1 << 12  # terms per lexicon
+_SHIFT = 1 << 16  # terms per lexicon
+SAMPLE = 20_000  # labelled documents that terms are learned from
+LEAST_DOCUMENTS = 4  # labelled documents a learned term occurs in
+LEAST_SHARE = 0.5  # of their labels that must be of its subject
+MOST_LEARNED = 20_000  # learned terms, the most telling first
 
 _COMMENT = re.compile(r"<!--.*?-->", re.S)
 _REDIRECT = re.compile(r"^\s*#\s*\w*(?:redir|weiterleitung)\w*", re.I)
@@ -170,7 +174,7 @@ def _match(lexicon: Lexicon, batches: Iterable[pd.DataFrame]) -> Iterator[pd.Dat
 def matches(documents: DataFrame, lexicon: Lexicon) -> DataFrame:
     """``doc_id, n_sentences, hits`` of every document with text; a hit is sentence number and term in one integer."""
     corpus = documents.select("doc_id", "text").where(F.length("text") > 0)
-    return corpus.mapInPandas(lambda batches: _match(lexicon, batches), "doc_id bigint, n_sentences int, hits array<int>")
+    return corpus.mapInPandas(lambda batches: _match(lexicon, batches), "doc_id bigint, n_sentences int, hits array<bigint>")
 
 
 def _score(weights: np.ndarray, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,6 +204,44 @@ def _score(weights: np.ndarray, batches: Iterable[pa.RecordBatch]) -> Iterator[p
         )
 
 
+_WORD = re.compile(r"[^\W\d_]{3,}")
+
+
+def _label_words(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows: list[tuple[str, str, float]] = []
+        for text, subjects in zip(batch["text"], batch["subjects"], strict=True):
+            words = {w for sentence in own_sentences(text) for w in _WORD.findall(sentence.lower())}
+            rows += [(w, s, 1.0 / len(subjects)) for w in words for s in subjects]
+        yield pd.DataFrame(rows, columns=["term", "subject", "part"])
+
+
+def learn_terms(
+    documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, least_documents: int = LEAST_DOCUMENTS, least_share: float = LEAST_SHARE, most: int = MOST_LEARNED
+) -> list[tuple[str, str, float]]:
+    """(term, subject, weight) rows learned from labelled documents, ``documents(doc_id, text)`` and ``labels(doc_id, subject)``.
+
+    A word stands for a subject where at least ``least_share`` of the labels of the documents that hold it, of which there are
+    ``least_documents`` or more, are of that subject; its weight is that share. Labels of one document share its weight, repeated labels count
+    once, null ids and subjects not at all. The model is fitted on ``sample`` labelled documents at most, chosen by a hash of the id, and holds
+    ``most`` terms at most.
+    """
+    known = labels.where("doc_id is not null and subject is not null").groupBy("doc_id").agg(F.collect_set("subject").alias("subjects"))
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    # at most ``sample`` rows of ids and subjects
+    labelled = documents.select("doc_id", "text").where(F.length("text") > 0).join(F.broadcast(chosen), "doc_id").select("text", "subjects")
+    counted = labelled.mapInPandas(_label_words, "term string, subject string, part double").groupBy("term", "subject").agg(F.sum("part").alias("part"))
+    top = counted.groupBy("term").agg(F.max(F.struct("part", "subject")).alias("b"), F.sum("part").alias("n"))
+    kept = top.where((F.col("n") >= least_documents) & (F.col("b.part") >= F.col("n") * least_share)).select("term", F.col("b.subject").alias("subject"), (F.col("b.part") / F.col("n")).alias("weight"), "n")
+    return [(r.term, r.subject, r.weight) for r in kept.orderBy((F.col("weight") * F.log1p("n")).desc(), "term").limit(most).collect()]
+
+
+def with_learned(curated: list[tuple[str, str, float]], learned: list[tuple[str, str, float]]) -> list[tuple[str, str, float]]:
+    """Curated terms, and the learned ones they do not have."""
+    have = {t for t, _, _ in curated}
+    return curated + [row for row in learned if row[0] not in have]
+
+
 def subject_scores(documents: DataFrame, terms: Iterable[tuple[str, str, float]] | None = None) -> DataFrame:
     """``doc_id, subject, score``: the share of each document's own sentences that each subject has.
 
@@ -210,7 +252,7 @@ def subject_scores(documents: DataFrame, terms: Iterable[tuple[str, str, float]]
     lexicon = Lexicon(list(terms) if terms is not None else load_terms())
     found = cut(matches(documents, lexicon))
     # one row per term: at most as many as the lexicon has
-    per_term = found.select(F.explode(F.array_distinct(F.transform("hits", lambda h: h % _SHIFT))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    per_term = found.select(F.explode(F.array_distinct(F.transform("hits", lambda h: (h % _SHIFT).cast("int")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     frequency = {r.term: r.n for r in per_term.collect()}
     total = found.count()
     rarity = np.array([np.log1p(total / max(1, frequency.get(i, 0))) for i in range(len(lexicon.terms))])

@@ -15,6 +15,7 @@ _CATEGORY = re.compile(r"\[\[\s*:?(?:category|catégorie|kategorie|categoría|fi
 _LINK = re.compile(r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]")
 _TAG = re.compile(r"</?[a-zA-Z][^<>\n]*>")
 _TABLE_START = re.compile(r"^\s*\{\|.*$", re.M)
+_BRACES = re.compile(r"\{\{|\}\}")
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -25,12 +26,33 @@ def strip_templates(text: str) -> str:
         if opened != text:
             # the rest of the call goes, its closing braces become a space
             text = re.sub(r"\x02((?:[^{}\x02]|\{\{[^{}]*\}\})*?)\}\}", lambda m: " " + _QUOTE_END.sub(" ", m.group(1) + "}}").replace("}}", " "), opened).replace("\x02", " ")
-    for _ in range(40):
+    # innermost ones first; deep nests, which would take a pass each, go in one
+    for _ in range(8):
         bare = _TEMPLATE.sub(" ", _PARAMETER.sub(" ", text) if "{{{" in text else text)
         if bare == text:
-            break
+            return text
         text = bare
-    return text
+    return _strip_nests(text)
+
+
+def _strip_nests(text: str) -> str:
+    """Without what stands between matching pairs of double braces; braces without a partner stay."""
+    opened: list[int] = []
+    kept: list[str] = []
+    at = 0
+    for mark in _BRACES.finditer(text):
+        kept.append(text[at : mark.start()])
+        at = mark.end()
+        if mark.group() == "{{":
+            opened.append(len(kept))
+            kept.append("{{")
+        elif opened:
+            del kept[opened.pop() :]
+            kept.append(" ")
+        else:
+            kept.append("}}")
+    kept.append(text[at:])
+    return "".join(kept)
 
 
 def plain(text: str) -> str:

@@ -137,6 +137,8 @@ def test_a_passage_whose_words_stand_elsewhere_in_longer_runs(spark):
 
 def test_words():
     assert word_list("'''A'''&nbsp;[[b c|D]] {{x|{{y}}}} <ref name=z/>e​f [[Category:No]]") == ["a", "d", "ef"]
+    deep = "start " + "{{x|" * 3000 + "gone" + "}}" * 3000 + " end {{ open }} {{ stays"
+    assert word_list(deep) == ["start", "end", "stays"] == word_list(deep + " }}" * 0)
 
 
 def test_edits_that_crowd_one_spot(spark):

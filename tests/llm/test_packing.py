@@ -58,3 +58,12 @@ def test_numbers_within_a_common_length(spark, monkeypatch):
     rows = [(i, "same text", "c", "n", "s") for i in range(100)]
     got = packing.pack(spark.createDataFrame(rows, SCHEMA), capacity=6).collect()
     assert len(got) == 100 and max(Counter(r.container_id for r in got).values()) == 6 // got[0].n_tokens
+
+
+def test_audit_sees_every_kind_of_fault(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, None), (5, "e"), (6, "f")], "doc_id bigint, text string")
+    good = [(1, 0, 6, 0), (2, 0, 4, 0), (3, 0, 10, 1), (3, 1, 2, 2), (5, 0, 0, 2), (6, 0, 1, 2)]
+    faulty = [(1, 0, 6, 0), (1, 0, 6, 1), (2, 1, 4, 0), (3, 0, 5, 2), (3, 1, 2, 3), (5, 0, 11, 4), (9, 0, 1, 5)]
+    audit = lambda rows: tuple(packing.audit(docs, spark.createDataFrame(rows, "doc_id bigint, piece_no int, n_tokens int, container_id bigint"), 10).first())
+    assert audit(good) == (5, 0, 0, 0, 0, 0, 0)
+    assert audit(faulty) == (5, 1, 1, 1, 1, 1, 1)

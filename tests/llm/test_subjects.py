@@ -38,3 +38,20 @@ def test_curated_terms():
     lexicon = subjects.Lexicon(rows)
     shared = (lexicon.weights > 0).sum(axis=1)
     assert all(lexicon.weights[i].max() <= 1 for i in range(len(lexicon.terms))) and shared.min() == 1
+
+
+def test_terms_are_learned_from_a_bounded_sample(spark):
+    docs = [(i, f"The {'trombone' if i % 2 else 'glacier'} is here today. Number {i} also.") for i in range(60)] + [(90, None), (91, "")]
+    d = spark.createDataFrame([(i, t, "a") for i, t in docs], "doc_id bigint, text string, subject string")
+    labels = spark.createDataFrame([(i, "music" if i % 2 else "geography", "r") for i in range(40)] * 2 + [(90, "law", "r"), (None, "law", "r"), (5, None, "r"), (777, "law", "r")], "doc_id bigint, subject string, rater string")
+    assert {(t, s) for t, s, _ in subjects.learn_terms(d, labels, least_share=0.6)} == {("trombone", "music"), ("glacier", "geography")}
+    assert subjects.learn_terms(d, labels, sample=3) == [] == subjects.learn_terms(d, labels.limit(0)) and len(subjects.learn_terms(d, labels, most=1, least_share=0.6)) == 1
+    both = subjects.with_learned([("glacier", "science", 1.0)], [("glacier", "geography", 0.9), ("trombone", "music", 0.9)])
+    assert both == [("glacier", "science", 1.0), ("trombone", "music", 0.9)]
+
+
+def test_more_sentences_than_fit_a_small_number(spark):
+    text = "A b c. " * 40_000 + "The river is long."
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    got = subjects.subject_scores(df, TERMS).collect()
+    assert [r.subject for r in got] == ["geography"] and abs(got[0].score - 1 / 40_001) < 1e-9
