@@ -1,10 +1,10 @@
 """Files whose fields drift: one consistent table and a report of every change.
 
 The footers (headers and value types) of all files are exploded into a catalogue. An alias table maps
-headers to fields. Within a producer (feed), the files form a sequence; for each header, lag and lead
-over that sequence give its islands of presence, whose starts and endings are the changes: a start and
-an ending of the same field at the same file are a renaming. The alias table also generates the casts
-that bring every spelling and type of a field into one column.
+headers to fields. Within a producer (feed), the files form a sequence; for each field, header and type, lag
+over that sequence gives the islands of presence, its lifespans. Their starts and endings are the changes: a start and
+an ending of one header at the same file are a change of its type, of two headers of one field a renaming. The alias table also generates
+the casts that bring every spelling and type of a field into one column.
 """
 
 from __future__ import annotations
@@ -97,8 +97,7 @@ def _ordered(catalogue: DataFrame) -> DataFrame:
     return placed.withColumn("last", F.max("ord").over(Window.partitionBy("feed_name")))
 
 
-def lifespans(catalogue: DataFrame) -> DataFrame:
-    """Islands of presence: ``feed_name, field, header, kind, first_ord, last_ord, first_file, last_file``, one for each unbroken run of one header with one type."""
+def _islands(catalogue: DataFrame) -> DataFrame:
     placed = _ordered(catalogue).where(F.col("header").isNotNull())
     run = Window.partitionBy("feed_name", "field", "header").orderBy("ord")
     new = (F.lag("ord").over(run).isNull() | (F.lag("ord").over(run) < F.col("ord") - 1) | ~F.lag("kind").over(run).eqNullSafe(F.col("kind"))).cast("int")
@@ -109,45 +108,50 @@ def lifespans(catalogue: DataFrame) -> DataFrame:
         F.max("ord").alias("last_ord"),
         F.min_by("file_id", "ord").alias("first_file"),
         F.max_by("file_id", "ord").alias("last_file"),
+        F.max("last").alias("last"),
     )
 
 
+def lifespans(catalogue: DataFrame) -> DataFrame:
+    """Islands of presence: ``feed_name, field, header, kind, first_ord, last_ord, first_file, last_file``, one for each unbroken run of one header with one type."""
+    return _islands(catalogue).drop("last")
+
+
 def changes(catalogue: DataFrame) -> DataFrame:
     """Every change of a file against the file before it in its feed: ``file_id, change_kind, header``.
 
-    Starts and endings of a header's islands fall together by field: in a file where one header of a
-    field ends and another starts, the field is renamed; several at once are paired in the order of their
-    names and the rest are added or removed. A type change is reported for a header that goes on, or for
-    the new name of a renamed field, where both types are known. A feed's first file has no changes. Null
+    Starts and endings of lifespans fall together by field. Where a lifespan of one header ends and another of it starts, its type has changed (if
+    both types are known). Of the other headers, one that ends and one that starts are a renaming, and a change of type as well if both
+    types are known and differ; several at once are paired in the order of their
+    names and the rest are added or removed. A feed's first file has no changes. Null
     feed names form one feed; null months come first.
     """
-    placed = _ordered(catalogue)
-    files = placed.select("feed_name", "ord", "file_id").distinct()
-    present = placed.where(F.col("header").isNotNull())
-    run = Window.partitionBy("feed_name", "field", "header").orderBy("ord")
-    before, after = F.lag("ord").over(run), F.lead("ord").over(run)
-    marked = present.select(
-        "feed_name", "field", "header", "ord", "last", "kind",
-        (before.isNull() | (before < F.col("ord") - 1)).alias("starts"),
-        (after.isNull() | (after > F.col("ord") + 1)).alias("ends"),
-        F.lag("kind").over(run).alias("kind_before"),
-    )
-    going_on = marked.where(~F.col("starts") & (F.col("kind") != F.col("kind_before"))).select("feed_name", "ord", F.lit("type_changed").alias("change_kind"), "header")
-    here = F.struct("header", "kind")
-    starts = marked.where(F.col("starts") & (F.col("ord") > 1)).select("feed_name", "ord", "field", here.alias("new"), F.lit(None).cast("struct<header:string,kind:string>").alias("old"))
-    ends = marked.where(F.col("ends") & (F.col("ord") < F.col("last"))).select("feed_name", (F.col("ord") + 1).alias("ord"), "field", F.lit(None).cast("struct<header:string,kind:string>").alias("new"), here.alias("old"))
+    spans = cut(_islands(catalogue))
+    files = _ordered(catalogue).select("feed_name", "ord", "file_id").distinct()
+    here, none = F.struct("header", "kind"), F.lit(None).cast("struct<header:string,kind:string>")
+    starts = spans.where("first_ord > 1").select("feed_name", F.col("first_ord").alias("ord"), "field", here.alias("new"), none.alias("old"))
+    ends = spans.where("last_ord < last").select("feed_name", (F.col("last_ord") + 1).alias("ord"), "field", none.alias("new"), here.alias("old"))
     # a field has a handful of headers in one file, so these lists are tiny
     met = starts.unionByName(ends).groupBy("feed_name", "ord", "field").agg(F.array_sort(F.collect_list("new")).alias("new"), F.array_sort(F.collect_list("old")).alias("old"))
-    pairs = met.select("feed_name", "ord", F.explode(F.arrays_zip("new", "old")).alias("p")).select("feed_name", "ord", "p.new", "p.old")
-    renamed = F.col("new").isNotNull() & F.col("old").isNotNull()
-    kinds = F.array(
-        F.when(renamed, F.struct(F.lit("renamed").alias("change_kind"), F.col("new.header").alias("header"))),
-        F.when(renamed & (F.col("new.kind") != F.col("old.kind")), F.struct(F.lit("type_changed").alias("change_kind"), F.col("new.header").alias("header"))),
-        F.when(F.col("old").isNull(), F.struct(F.lit("added").alias("change_kind"), F.col("new.header").alias("header"))),
-        F.when(F.col("new").isNull(), F.struct(F.lit("removed").alias("change_kind"), F.col("old.header").alias("header"))),
-    )
-    at_edges = pairs.select("feed_name", "ord", F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("k")).select("feed_name", "ord", "k.change_kind", "k.header")
-    found = going_on.unionByName(at_edges).withColumnRenamed("feed_name", "_feed").withColumnRenamed("ord", "_ord")
+    goes_on = lambda x, others: F.exists(others, lambda o: o["header"] == x["header"])
+    retyped = F.filter("new", lambda n: F.exists("old", lambda o: (o["header"] == n["header"]) & (o["kind"] != n["kind"])))
+    met = met.select(
+        "feed_name", "ord", retyped.alias("retyped"),
+        F.arrays_zip(F.filter("new", lambda n: ~goes_on(n, F.col("old"))).alias("new"), F.filter("old", lambda o: ~goes_on(o, F.col("new"))).alias("old")).alias("pairs"),
+    )
+    change = lambda kind, header: F.struct(F.lit(kind).alias("change_kind"), header.alias("header"))
+
+    def of_pair(p: Column) -> Column:
+        renamed = p["new"].isNotNull() & p["old"].isNotNull()
+        return F.array(
+            F.when(renamed, change("renamed", p["new"]["header"])),
+            F.when(renamed & (p["new"]["kind"] != p["old"]["kind"]), change("type_changed", p["new"]["header"])),
+            F.when(p["old"].isNull(), change("added", p["new"]["header"])),
+            F.when(p["new"].isNull(), change("removed", p["old"]["header"])),
+        )
+
+    every = F.concat(F.transform("retyped", lambda n: change("type_changed", n["header"])), F.filter(F.flatten(F.transform("pairs", of_pair)), lambda k: k.isNotNull()))
+    found = met.select(F.col("feed_name").alias("_feed"), F.col("ord").alias("_ord"), F.inline(every))
     return found.join(files, F.col("_feed").eqNullSafe(F.col("feed_name")) & (F.col("_ord") == F.col("ord"))).select("file_id", "change_kind", "header")
 
 

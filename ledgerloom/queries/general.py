@@ -44,8 +44,10 @@ def p1_unified(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_table(spark: SparkSession, d: str) -> DataFrame:
-    """The consistent table with every field of the files; ``p1_unified`` and its SQL have the five known ones."""
-    return drift.consistent_table(table(spark, d, "raw_report_lines"), codes=_codes(spark, d)).drop("extras")
+    """The consistent table with every field of the files; those outside the alias table are in ``others``, as JSON in the order of their names."""
+    whole = drift.consistent_table(table(spark, d, "raw_report_lines"), codes=_codes(spark, d)).drop("extras")
+    given = F.array_sort(F.map_entries(F.map_filter("others", lambda _, x: x.isNotNull())))
+    return whole.withColumn("others", F.to_json(F.map_from_entries(given)))
 
 
 _FIELD_CASE = "case " + " ".join("when plain in (" + ", ".join(f"'{s}'" for s in sorted({drift._spelling(h) for h in f.headers})) + f") then '{f.name}'" for f in drift.REPORT_FIELDS) + " when plain = '' then 'other:' || header else 'other:' || plain end"
@@ -112,7 +114,7 @@ def _sql_clean(x: str) -> str:
     return f"case when lower({trimmed}) not in ({words}) then {trimmed} end"
 
 
-def _p1_unified_sql() -> str:
+def _p1_unified_sql(others: bool = False) -> str:
     columns = []
     for f in drift.REPORT_FIELDS:
         options = []
@@ -126,12 +128,20 @@ def _p1_unified_sql() -> str:
                 options.append(_sql_clean(_sql_text(h)))
         value = f"coalesce({', '.join(options)})"
         columns.append(f"try_cast({value} as double) as {f.name}" if f.kind == "number" else f"{value} as {f.name}")
+    if others:
+        columns.append("coalesce(o.others, '{}') as others")
+    rest = f"""left join (
+  select file_id, line_no, record_text, '{{' || string_agg(to_json(plain) || ':' || to_json(x), ',' order by plain) || '}}' as others from (
+    select file_id, line_no, record_text, plain, first(x order by header) as x from (
+      select file_id, line_no, record_text, k.key as header, regexp_replace(lower(k.key), '[^\\p{{L}}\\p{{N}}]+', '', 'g') as plain, {_sql_clean("json_extract_string(k.value, '$')")} as x
+      from parsed, json_each(j) k) where x is not null and plain not in ({', '.join(f"'{s}'" for f in drift.REPORT_FIELDS for s in sorted({drift._spelling(h) for h in f.headers}))}) group by all)
+  group by all) o on o.file_id = p.file_id and o.line_no = p.line_no and o.record_text = p.record_text""" if others else ""
     return f"""
 with lines as (
   select distinct file_id, feed_name, file_month, line_no, record_text from raw_report_lines
   where json_valid(record_text) and json_type(record_text) = 'OBJECT'),
 parsed as (select *, cast(record_text as json) as j from lines)
-select file_id, feed_name, file_month, line_no, {', '.join(columns)} from parsed
+select p.file_id, feed_name, file_month, p.line_no, {', '.join(columns)} from parsed p {rest}
 """
 
 
@@ -320,6 +330,7 @@ SQL = {
     "p1_found": _P1_FOUND,
     "p1_lifespans": _P1_LIFESPANS,
     "p1_unified": _p1_unified_sql(),
+    "p1_table": _p1_unified_sql(others=True),
     "p3_found": _P3_FOUND,
     "p3_profile": _P3_PROFILE,
     "p3_load_metrics": _P3_LOAD_METRICS,
