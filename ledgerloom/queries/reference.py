@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.similarity import ratio_udf
 from ledgerloom.functions.text import clean_token, normalize_text, simple_normalize
-from ledgerloom.operators import dimensions, provider, reports, resolution
+from ledgerloom.operators import dimensions, provider, reports, resolution, rules
 from ledgerloom.operators.sequences import numbered
 from ledgerloom.plans import pipeline
 from ledgerloom.sources import workbook
@@ -740,6 +740,47 @@ def arabic_digits(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "report_rows").where("model is not null").select(F.translate("model", "٠١٢٣٤٥٦٧٨٩", "0123456789").alias("model")).distinct()
 
 
+# -- naming rules given as tables
+
+
+@query(f"""with q as (select distinct brand_id as scope, regexp_extract(canonical_name, '([0-9]+)$', 1) as value from dim_model where brand_id is not null and regexp_matches(canonical_name, '[0-9]$')),
+a as (select distinct brand_id, regexp_extract(canonical_name, '([0-9]+)$', 1) as number from dim_model where source_system = 'registry_master' and regexp_matches(canonical_name, '[0-9]$'))
+select scope as brand_id, value, a.number is not null as is_model from q left join a on a.brand_id = q.scope and a.number = q.value""")
+def standalone_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Bare numbers asked for within a brand, held against a table of the numbers that are models there (here the registry's)."""
+    numbered_models = table(spark, d, "dim_model").where(F.col("canonical_name").rlike("[0-9]$")).withColumn("number", F.regexp_extract("canonical_name", "([0-9]+)$", 1))
+    asked = numbered_models.where("brand_id is not null").select(F.col("brand_id").alias("scope"), F.col("number").alias("value")).distinct()
+    allowed = numbered_models.where("source_system = 'registry_master'").select(F.col("brand_id").alias("scope"), "number")
+    return rules.standalone_numbers(asked, allowed).withColumnRenamed("scope", "brand_id")
+
+
+@query(f"""with n as (select brand_id, model_id, {n_sql('canonical_name')} as k from dim_model where brand_id is not null)
+select a.brand_id, a.model_id, arg_max(b.model_id, (length(b.k), -cast(substring(b.model_id, 3) as int))) as parent_id from n a join n b on a.brand_id = b.brand_id and b.k <> '' and starts_with(a.k, b.k || ' ') group by a.brand_id, a.model_id""")
+def protected_submodels(spark: SparkSession, d: str) -> DataFrame:
+    """Models whose name goes on from that of another model of the brand; they are never folded into it."""
+    names = table(spark, d, "dim_model").select(F.col("brand_id").alias("scope"), F.col("model_id").alias("entity_id"), F.col("canonical_name").alias("name"))
+    return rules.parents(names).select(F.col("scope").alias("brand_id"), F.col("entity_id").alias("model_id"), "parent_id")
+
+
+_SUFFIX_WORDS = ("plus", "lite", "gt", "my19", "2022")
+
+
+@query(f"""with n as (select row_id, {n_sql('model')} as k from report_rows), w as (select unnest([{', '.join(f"'{x}'" for x in _SUFFIX_WORDS)}]) as word)
+select row_id, case when regexp_extract(k, '([^ ]+)$', 1) not in (select word from w) then k when contains(k, ' ') then regexp_extract(k, '^(.*) [^ ]+$', 1) end as bare from n""")
+def drop_listed_suffixes(spark: SparkSession, d: str) -> DataFrame:
+    """Model names without a trim or generation at their end; a trim alone is no model."""
+    listed = spark.createDataFrame([(w,) for w in _SUFFIX_WORDS], "word string")
+    return rules.without_suffixes(table(spark, d, "report_rows").select("row_id", "model"), "model", listed, "bare").select("row_id", "bare")
+
+
+@query(f"""with o as (select {n_sql('canonical_name')} as k, min(country) as origin from dim_brand where country is not null group by 1)
+select brand_id, case when country is null or trim(country, ' ') = '' then coalesce(o.origin, country) else country end as country from dim_brand b left join o on o.k <> '' and o.k = {n_sql('b.canonical_name')}""")
+def country_by_brand(spark: SparkSession, d: str) -> DataFrame:
+    """Missing countries from a table of the brands' origins (here other records of the same name)."""
+    brands = table(spark, d, "dim_brand")
+    return rules.countries(brands, brands.select(F.col("canonical_name").alias("brand"), "country")).select("brand_id", "country")
+
+
 # -- integrity of the loaded star schema
 
 

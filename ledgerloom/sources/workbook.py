@@ -7,24 +7,35 @@ Workbooks are read as binary files, one workbook a row, so that thousands of the
 from __future__ import annotations
 
 import io
+import os
 import re
 import zipfile
 from collections.abc import Iterable, Iterator, Sequence
 from xml.etree import ElementTree
+from dataclasses import dataclass
 from xml.sax.saxutils import escape
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.types import StructType
 
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships"}
 _REF = re.compile(r"([A-Z]+)(\d+)")
 
 
 def is_workbook(name: Column) -> Column:
+    """Names that may be uploaded."""
     return F.lower(name).rlike(r"\.(xlsx|xlsm|xls)$")
 
 
+def is_readable(name: Column) -> Column:
+    """Names of the zipped formats; the binary one of old has to be saved anew before it is read."""
+    return F.lower(name).rlike(r"\.(xlsx|xlsm)$")
+
+
 def dated_name(name: Column, day: Column) -> Column:
     """``name-YYYY-MM-DD.ext`` without folders."""
     pattern = r"([^/]*?)(\.[^./]*)?$"
@@ -124,7 +135,7 @@ def write_workbook(sheets: Sequence[tuple[str, Sequence[Sequence[object]], Seque
 
 def workbook_files(spark: SparkSession, path: str) -> DataFrame:
     """``path, content`` of the workbooks under a path."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(is_workbook(F.col("path"))).select("path", "content")
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(is_readable(F.col("path"))).select("path", "content")
 
 
 def scan(files: DataFrame, columns: Sequence[str], skip_rows: int = 0, sheet: int = 0) -> DataFrame:
@@ -147,3 +158,74 @@ def scan(files: DataFrame, columns: Sequence[str], skip_rows: int = 0, sheet: in
 
     schema = "path string, row_no int, " + ", ".join(f"`{c}` string" for c in wanted)
     return files.mapInPandas(read, schema)
+
+
+ROWS_PER_BOOK = 100_000
+
+
+@dataclass
+class _Books(WriterCommitMessage):
+    names: list[str]
+
+
+class _BookWriter(DataSourceWriter):
+    """Each task writes its rows as books of a bounded size under names of its own; they get their final names when all tasks are done."""
+
+    def __init__(self, folder: str, columns: list[str], rows: int, overwrite: bool):
+        self.folder, self.columns, self.rows, self.overwrite = folder, columns, rows, overwrite
+
+    def write(self, iterator: Iterator) -> _Books:
+        task = TaskContext.get()
+        names: list[str] = []
+        rows: list[list[object]] = []
+
+        def close() -> None:
+            name = f"part-{task.partitionId():05d}-{len(names):04d}-{task.taskAttemptId()}.xlsx"
+            with open(os.path.join(self.folder, f".{name}"), "wb") as out:
+                out.write(write_workbook([("Sheet1", [self.columns, *rows], [])]))
+            names.append(name)
+            rows.clear()
+
+        os.makedirs(self.folder, exist_ok=True)
+        for row in iterator:
+            rows.append([None if v is None else v if isinstance(v, (int, float)) else str(v) for v in (None if isinstance(v, float) and v != v else v for v in row)])
+            if len(rows) == self.rows:
+                close()
+        if rows:
+            close()
+        return _Books(names)
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        written = {n for m in messages if m is not None for n in m.names}
+        os.makedirs(self.folder, exist_ok=True)
+        if self.overwrite:
+            for old in os.listdir(self.folder):
+                if old.endswith(".xlsx") and not old.startswith("."):
+                    os.remove(os.path.join(self.folder, old))
+        for name in written:
+            os.replace(os.path.join(self.folder, f".{name}"), os.path.join(self.folder, name))
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        for m in messages:
+            for name in m.names if m is not None else ():
+                if os.path.exists(os.path.join(self.folder, f".{name}")):
+                    os.remove(os.path.join(self.folder, f".{name}"))
+
+
+class WorkbookSink(DataSource):
+    """``df.write.format("workbooks").save(folder)``: books of at most ``rowsPerBook`` rows below a header row, in a folder all workers see."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "workbooks"
+
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
+        return _BookWriter(self.options["path"].removeprefix("file://"), schema.names, int(self.options.get("rowsPerBook", ROWS_PER_BOOK)), overwrite)
+
+
+def write_books(df: DataFrame, folder: str, rows_per_book: int = ROWS_PER_BOOK, mode: str = "overwrite") -> None:
+    """Writes a table as workbooks; numbers stay numbers, nulls and NaN stay empty, other values are text."""
+    if not 0 < rows_per_book < 1_048_576:
+        raise ValueError("a sheet holds up to 1,048,576 rows with its header")
+    df.sparkSession.dataSource.register(WorkbookSink)
+    df.write.format("workbooks").option("rowsPerBook", rows_per_book).mode(mode).save(folder)
