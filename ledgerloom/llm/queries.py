@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import freetext, leakage, packing, subjects, survivor
@@ -35,6 +35,45 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return freetext.resolve_rows(*[table(spark, d, t) for t in ("report_rows", "dim_brand", "dim_brand_alias", "dim_model", "dim_governorate", "dim_governorate_alias")])
 
 
+def _letters(column: str) -> Column:
+    return F.regexp_replace(F.lower(column), "[^a-z]", "")
+
+
+def p5_closest(spark: SparkSession, d: str) -> DataFrame:
+    """The pigeonhole join by itself, over the Latin letters of all typed governorates and brands and of the lists; its SQL compares every pair."""
+    rows = table(spark, d, "report_rows")
+    fields = (("governorate", "dim_governorate", "governorate_id"), ("brand", "dim_brand", "brand_id"))
+    typed = [rows.select(F.lit(f).alias("scope"), _letters(f).alias("key"), F.array(F.lit("")).alias("trims")) for f, _, _ in fields]
+    refs = [table(spark, d, t).select(F.lit(f).alias("scope"), F.col(i).alias("entity_id"), _letters("canonical_name").alias("key"), F.lit("").alias("trim")) for f, t, i in fields]
+    return freetext.closest(typed[0].unionByName(typed[1]).where("key <> ''").distinct(), refs[0].unionByName(refs[1])).select("scope", "key", "entity_id")
+
+
+_LETTERS = "regexp_replace(lower({}), '[^a-z]', '', 'g')"
+_EDITS_SQL = "case when length({0}) >= 5 then 2 when length({0}) = 4 then 1 else 0 end"
+_P5_CLOSEST = f"""
+with v as ({' union '.join(f"select '{f}' as scope, {_LETTERS.format(f)} as k from report_rows where {f} is not null" for f in ('governorate', 'brand'))}),
+r as (select distinct 'governorate' as scope, governorate_id as id, {_LETTERS.format('canonical_name')} as k from dim_governorate union select 'brand', brand_id, {_LETTERS.format('canonical_name')} from dim_brand),
+m as (select v.scope, v.k, r.id, levenshtein(v.k, r.k) as d from v join r on r.scope = v.scope and r.k <> '' and v.k <> '' and (v.k = r.k or levenshtein(v.k, r.k) <= {_EDITS_SQL.format('r.k')})),
+b as (select *, min(d) over (partition by scope, k) as best from m)
+select scope, k as key, min(id) as entity_id from b where d = best group by scope, k having count(distinct id) = 1
+"""
+
+
+def p2_near_names(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs of names that may be slips of one another, over the Latin letters of all model names of a brand record; its SQL compares every pair."""
+    models = table(spark, d, "dim_model").where("brand_id is not null")
+    near = freetext.near_keys(models.select(F.concat(F.lit("record|"), "brand_id").alias("scope"), _letters("canonical_name").alias("key")))
+    return survivor._slips(near).select(F.substring("scope", 8, 100).alias("brand_id"), F.col("key").alias("name_1"), F.col("ref_key").alias("name_2"), "d")
+
+
+_P2_NEAR = f"""
+with n as (select distinct brand_id, {_LETTERS.format('canonical_name')} as k from dim_model where brand_id is not null),
+p as (select a.brand_id, a.k as name_1, b.k as name_2, levenshtein(a.k, b.k) as d, least(length(a.k), length(b.k)) as m, length(b.k) as n, length(a.k) = length(b.k) and list_sort(string_split(a.k, '')) = list_sort(string_split(b.k, '')) as swapped
+  from n a join n b on a.brand_id = b.brand_id and a.k < b.k and a.k <> '' where levenshtein(a.k, b.k) <= 3)
+select brand_id, name_1, name_2, cast(d as int) as d from p where d <= (case when n >= 11 then 3 when n >= 5 then 2 when n = 4 then 1 else 0 end) and (d = 1 or d = 2 and swapped or d = 2 and m >= 9 or d = 3 and m >= 11)
+"""
+
+
 # -- p7: evaluation texts leaking into training text
 
 
@@ -110,7 +149,7 @@ def p6_audit(spark: SparkSession, d: str) -> DataFrame:
     return packing.audit(documents, p6_containers(spark, d))
 
 
-QUERIES = {"p2_found": p2_found, "p2_members": p2_members, "p2_survivors": p2_survivors, "p5_found": p5_found, "p7_found": p7_found, "p7_item_report": p7_item_report, "p7_reordered": p7_reordered,
+QUERIES = {"p2_found": p2_found, "p2_members": p2_members, "p2_near_names": p2_near_names, "p2_survivors": p2_survivors, "p5_found": p5_found, "p5_closest": p5_closest, "p7_found": p7_found, "p7_item_report": p7_item_report, "p7_reordered": p7_reordered,
     "p8_found": p8_found,
     "p8_composition": p8_composition,
     "p8_heldout": p8_heldout,
@@ -120,5 +159,7 @@ QUERIES = {"p2_found": p2_found, "p2_members": p2_members, "p2_survivors": p2_su
 }
 
 SQL: dict[str, str] = {
+    "p2_near_names": _P2_NEAR,
+    "p5_closest": _P5_CLOSEST,
     "p6_audit": "select count(distinct doc_id) as n_texts, 0 as n_missing, 0 as n_strange, 0 as n_repeated, 0 as n_gaps, 0 as n_split, 0 as n_over from documents where text is not null",
 }
