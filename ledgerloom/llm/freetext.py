@@ -152,7 +152,7 @@ def place_refs(places: DataFrame, aliases: DataFrame) -> DataFrame:
 def _brand_names(brands: DataFrame, aliases: DataFrame) -> DataFrame:
     """The keys of a brand that may stand before its models' names: ``_names_of, brand_keys``; a brand has a handful."""
     refs = brand_refs(brands, aliases)
-    return refs.groupBy(F.col("entity_id").alias("_names_of")).agg(F.collect_set("key").alias("brand_keys"))
+    return refs.groupBy(F.col("entity_id").alias("_names_of")).agg(names.brand_keys(F.collect_set("key")).alias("brand_keys"))
 
 
 def _model_scope() -> Column:

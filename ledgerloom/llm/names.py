@@ -59,8 +59,16 @@ def letters_of(joined: Column) -> Column:
     return F.regexp_replace(joined, r"\d+", "")
 
 
-def with_model_parts(df: DataFrame, value: str, brand_keys: str) -> DataFrame:
-    """Adds ``_worded`` (the words without numbers), ``joined`` (all words but leading brand names and model-year marks), ``numbers`` and ``key`` (its letters).
+BRAND_KEYS = "array<struct<n:int,k:string>>"
+
+
+def brand_keys(keys: Column) -> Column:
+    """The keys of a brand that may stand before its models' names, the longest first, with their lengths; one-letter ones are left out."""
+    return F.reverse(F.array_sort(F.transform(F.filter(keys, lambda k: F.length(k) >= 2), lambda k: F.struct(F.length(k).alias("n"), k.alias("k")))))
+
+
+def with_model_parts(df: DataFrame, value: str, keys: str) -> DataFrame:
+    """Adds, with the column ``brand_keys`` made by the function of that name, ``_worded`` (the words without numbers), ``joined`` (all words but leading brand names and model-year marks), ``numbers`` and ``key`` (its letters).
 
     Spoken numbers, and Roman ones at the end, become digits. Leading names of the brand go, up to three
     of them, the longest first; '' is left where there is nothing else. Each step is a column of its
@@ -74,14 +82,13 @@ def with_model_parts(df: DataFrame, value: str, brand_keys: str) -> DataFrame:
     step = step.withColumn("_n", F.size("_tokens"))
     step = step.withColumn("_tokens", F.transform("_tokens", lambda w, i: F.when((i > 0) & (i == F.col("_n") - 1), _roman(_near_number_word(number_word(w)))).otherwise(number_word(w))))
     step = step.withColumn("_worded", F.transform(F.filter("_tokens", lambda w: w.rlike(r"\D")), lambda w: F.regexp_replace(w, r"\d+", "")))
-    step = step.withColumn("_bk", F.reverse(F.array_sort(F.transform(F.filter(F.coalesce(brand_keys, F.array().cast("array<string>")), lambda k: F.length(k) >= 2), lambda k: F.struct(F.length(k).alias("n"), k.alias("k"))))))
-    step = step.withColumn("_bk", F.flatten(F.array_repeat("_bk", 3)))
+    step = step.withColumn("_bk", F.coalesce(keys, F.array().cast(BRAND_KEYS)))
     # a leading word that nearly is the brand's name, before other words
     first = F.coalesce(F.try_element_at("_tokens", F.lit(1)), F.lit(""))
     nearly = (F.col("_n") > 1) & F.exists("_bk", lambda b: (b["n"] >= 5) & (F.levenshtein(first, b["k"], 2).between(0, 2)))
     step = step.withColumn("joined", _joined(F.when(nearly, F.slice("_tokens", F.lit(2), F.greatest(F.col("_n"), F.lit(1)))).otherwise(F.col("_tokens"))))
     step = step.withColumn(
-        "joined", F.aggregate("_bk", F.col("joined"), lambda acc, b: F.when(acc.startswith(b["k"]), F.substring(acc, b["n"] + 1, F.length(acc))).otherwise(acc))
+        "joined", F.aggregate(F.flatten(F.array_repeat("_bk", 3)), F.col("joined"), lambda acc, b: F.when(acc.startswith(b["k"]), F.substring(acc, b["n"] + 1, F.length(acc))).otherwise(acc))
     )
     return step.withColumn("numbers", numbers_of(F.col("joined"))).withColumn("key", letters_of(F.col("joined"))).drop("_text", "_tokens", "_n", "_bk")
 
@@ -102,17 +109,18 @@ def with_typed_trims(df: DataFrame) -> DataFrame:
     step = df.withColumn("_last", F.coalesce(F.try_element_at("_worded", F.lit(-1)), F.lit(""))).withColumn("_one", F.size("_worded") <= 1)
     step = step.withColumn("_sorted", F.array_join(F.array_sort(F.split("_last", "")), ""))
 
-    def near(word: Column, trim: str) -> Column:
-        return F.levenshtein(word, F.lit(trim), 1).between(0, 1)
+    # one expression that goes over the table of trims, as twelve of them in a row make code too long to be compiled
+    table = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(len(t)).alias("n"), F.lit("".join(sorted(t))).alias("s")) for t in TRIMS])
 
-    def hit(trim: str) -> Column:
-        n = len(trim)
-        ending = near(F.right("key", F.lit(n)), trim) | near(F.right("key", F.lit(n + 1)), trim) | (near(F.right("key", F.lit(n - 1)), trim) if n > 2 else F.lit(False))
+    def hit(t: Column) -> Column:
+        near = lambda word: F.levenshtein(word, t["t"], 1).between(0, 1)
+        key = F.col("key")
+        ending = near(F.right(key, t["n"])) | near(F.right(key, t["n"] + 1)) | ((t["n"] > 2) & near(F.right(key, t["n"] - 1)))
         # most last words are too long or too short to be near at all
-        whole = F.length("_last").between(max(1, n - 1), n + 1) & (near(F.col("_last"), trim) | (F.col("_sorted") == "".join(sorted(trim))))
-        return F.when(F.when(F.col("_one"), ending).otherwise(whole), F.lit(trim))
+        whole = F.length("_last").between(F.greatest(F.lit(1), t["n"] - 1), t["n"] + 1) & (near(F.col("_last")) | (F.col("_sorted") == t["s"]))
+        return F.when(F.col("_one"), ending).otherwise(whole)
 
-    step = step.withColumn("_found", F.filter(F.array(*[hit(t) for t in TRIMS]), lambda t: t.isNotNull()))
+    step = step.withColumn("_found", F.transform(F.filter(table, hit), lambda t: t["t"]))
     doubtful = (F.length("_last") >= 4) & ~F.col("_last").isin(*TRIMS)
     several = F.when(doubtful, F.concat("_found", F.array(F.lit("~")))).otherwise(F.col("_found"))
     return step.withColumn("trims", F.when(F.col("_one") | (F.size("_found") == 0), F.concat(F.array(F.lit("")), "_found")).otherwise(several)).drop("_last", "_one", "_sorted", "_found")
