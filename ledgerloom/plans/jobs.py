@@ -7,7 +7,7 @@ from collections.abc import Callable
 from datetime import date, datetime, timezone
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import reports
@@ -73,6 +73,7 @@ def run_job(spark: SparkSession, job_id: str, states: str, out: str, day: date,
 
 
 def job_list(spark: SparkSession, states: str) -> DataFrame:
-    """The latest state of each job."""
-    latest = Window.partitionBy("job_id").orderBy(F.col("at").desc())
-    return spark.read.parquet(states).withColumn("_r", F.row_number().over(latest)).where("_r = 1").drop("_r").orderBy(F.col("at").desc())
+    """The latest state of each job, newest first; of states noted at one time the one with more rows counts."""
+    noted = spark.read.parquet(states)
+    latest = noted.groupBy("job_id").agg(F.max_by(F.struct(*[c for c in noted.columns if c != "job_id"]), F.struct("at", F.coalesce("n_rows", F.lit(-1)))).alias("s"))
+    return latest.select("job_id", "s.*").orderBy(F.col("at").desc())

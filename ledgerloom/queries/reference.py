@@ -11,8 +11,9 @@ from ledgerloom.functions.similarity import ratio_udf
 from ledgerloom.functions.text import clean_token, normalize_text, simple_normalize
 from ledgerloom.operators import dimensions, provider, reports, resolution, rules
 from ledgerloom.operators.sequences import numbered
-from ledgerloom.plans import pipeline
-from ledgerloom.sources import workbook
+from ledgerloom.plans import jobs, pipeline
+from ledgerloom.session import scratch
+from ledgerloom.sources import master, workbook
 from ledgerloom.tables import table
 
 QUERIES = {}
@@ -203,6 +204,54 @@ def log_union_dedup(spark: SparkSession, d: str) -> DataFrame:
     return reports.log_union(rows.where("count_value is null").select("brand", "model"), rows.where("license_type is null").select("brand", "model", F.lit("again").alias("reason")))
 
 
+_MASTER_SQL = " union all ".join(
+    f"select '{k}' as entity_type, {key} as entity_id, canonical_name, normalized_name, {aliases} as aliases, {'brand_id' if k == 'model' else 'null'} as brand_id, {'country' if k == 'brand' else 'null'} as country, {'motor_type' if k == 'model' else 'null'} as motor_type from {t} d"
+    for k, t, key, aliases in (
+        ("brand", "dim_brand", "brand_id", "(select coalesce(string_agg(distinct alias, '|' order by alias), '') from dim_brand_alias a where a.brand_id = d.brand_id)"), ("model", "dim_model", "model_id", "''"),
+        ("license_type", "dim_licensetype", "licensetype_id", "''"), ("governorate_city", "dim_governorate", "governorate_id", "(select coalesce(string_agg(distinct alias, '|' order by alias), '') from dim_governorate_alias a where a.governorate_id = d.governorate_id)"),
+    )
+)
+
+
+@query(_MASTER_SQL)
+def master_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """All master data written as documents and read again."""
+    path = scratch(spark)
+    kinds = (*pipeline.KINDS, pipeline.MODEL)
+    master.save_master(master.master_entities(pipeline.with_alias_tables(run_tables(spark, d)), kinds), path)
+    return master.load_master(spark, path, lines=True).withColumn("aliases", F.array_join("aliases", "|"))
+
+
+@query("select row_id, brand, model, 'no count' as reason from report_rows where count_value is null union all select row_id, brand, null, 'no licence' from report_rows where license_type is null")
+def log_append_and_read(spark: SparkSession, d: str) -> DataFrame:
+    """Two runs append to a log; it is read again with a record in it that is broken and one that is missing a column."""
+    path, rows = scratch(spark), table(spark, d, "report_rows")
+    master.write_log(rows.where("count_value is null").select("row_id", "brand", "model", F.lit("no count").alias("reason")), path)
+    master.write_log(rows.where("license_type is null").select("row_id", "brand", F.lit("no licence").alias("reason")), path)
+    spark.range(1).select(F.lit('{"row_id": 1, "brand": ').alias("value")).write.mode("append").text(path)
+    return master.read_log(spark, path, "row_id bigint, brand string, model string, reason string", lines=True)
+
+
+@query("""select row_id, trim(brand, ' ') as brand, cast(count_value as varchar) as count_value, file_name from (
+  select row_id, brand, case when isnan(count_value) then null when count_value = floor(count_value) then cast(cast(count_value as bigint) as varchar) else cast(count_value as varchar) end as count_value, file_name from report_rows)""")
+def workbook_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Report rows written as workbooks of 1,000 rows and read again."""
+    folder = scratch(spark).removeprefix("file:")
+    rows = table(spark, d, "report_rows").select("row_id", "brand", "count_value", "file_name")
+    workbook.write_books(rows, folder, rows_per_book=1000)
+    back = workbook.scan(workbook.workbook_files(spark, folder), rows.columns)
+    return back.select(F.col("row_id").cast("bigint").alias("row_id"), F.trim("brand").alias("brand"), F.regexp_replace("count_value", r"\.0$", "").alias("count_value"), "file_name")
+
+
+@query("select cast(user_id as varchar) as job_id, arg_max(event_type, (ts, event_id)) as status, max(ts) as at from events group by user_id")
+def job_list(spark: SparkSession, d: str) -> DataFrame:
+    """The latest state of each job (users and their events stand for jobs and their states)."""
+    path = scratch(spark)
+    states = table(spark, d, "events").select(F.col("user_id").cast("string").alias("job_id"), F.col("event_type").alias("status"), F.col("ts").alias("at"), F.col("event_id").alias("n_rows"))
+    states.write.parquet(path)
+    return jobs.job_list(spark, path).select("job_id", "status", "at")
+
+
 _SOURCE = f"select brand_id, any_value(upper(canonical_name)) as canonical_name, any_value({n_sql('canonical_name')}) as normalized_name, any_value('updated') as country, any_value(source_system) as source_system, any_value(updated_at) as updated_at from dim_brand where source_system <> 'registry_master' group by brand_id"
 
 
