@@ -46,7 +46,7 @@ STEP = 8
 WINDOWS = ((15, 3), (16, 4), (20, 5), (24, 6), (28, 7))
 REACH = 48  # words on either side of a seed; a passage has a part of fewer than 30 held words and 8 edits that is one itself
 MARGIN = 64  # words that are none before and after each body
-GAP = 64  # zeros between documents, so that no window reaches from one into another
+GAP = 64  # zeros around every document: no window reaches from one into another, nor beyond the batch
 BLOCK_WORDS = 500_000
 REORDERED_TILE = 6  # words of the least tile of a reordered passage
 REORDERED_COVERAGE = 0.5  # share of the body that such tiles must cover
@@ -99,13 +99,17 @@ class SeedIndex:
             self.flat[at : at + len(body)] = body
         self.longest = int(lengths.max()) if len(lengths) else 0
         # which words an item has: a table of hashes, which says yes to all it has and to few others
-        held = np.concatenate([k * np.int64(self.size) + np.unique(b) for k, b in enumerate(self.bodies)]) if len(lengths) else np.empty(0, dtype=np.int64)
-        self.held_bits = max(10, int(held.size * 16).bit_length())
+        words = [np.unique(b) for b in self.bodies]
+        self.held_bits = min(31, max(10, int(sum(w.size for w in words) * 16).bit_length()))
         self.held = np.zeros(1 << self.held_bits, dtype=bool)
-        self.held[self._held_slot(held)] = True
+        for k, w in enumerate(words):
+            self.held[self._held_slot(np.array([k]), w[None, :])] = True
 
-    def _held_slot(self, codes: np.ndarray) -> np.ndarray:
-        return (codes.astype(np.uint64) * _MIX) >> np.uint64(64 - self.held_bits)
+    def _held_slot(self, items: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """One row of words per item, in 32 bits."""
+        mixed = words.astype(np.uint32) * np.uint32(0x9E3779B1) + (items.astype(np.uint32) * np.uint32(0x85EBCA6B))[:, None]
+        mixed ^= mixed >> np.uint32(15)
+        return (mixed * np.uint32(0xC2B2AE35)) >> np.uint32(32 - self.held_bits)
 
     def size_in_bytes(self) -> int:
         """Of the arrays; the vocabulary comes to some 100 bytes a word beside."""
@@ -162,14 +166,13 @@ class SeedIndex:
             body, text = begin[mine] + first, diagonal[mine] + first
             # a passage begins with a held word
             near = np.arange(-edits, edits + 1)
-            begun = (ids[np.clip(text[:, None] + near, 0, len(ids) - 1)] == self.flat[body][:, None]).any(axis=1)
+            begun = (ids[text[:, None] + near] == self.flat[body][:, None]).any(axis=1)
             mine, body, text = mine[begun], body[begun], text[begun]
             cost = band[None, :].repeat(len(mine), 0)
             for step in range(span):
                 if not len(mine):
                     break
-                at = (text + step)[:, None] + shifts[None, :]
-                same = ids[np.clip(at, 0, len(ids) - 1, out=at)] == self.flat[body + step][:, None]
+                same = ids[(text + step)[:, None] + shifts[None, :]] == self.flat[body + step][:, None]
                 following = cost + ~same
                 # a body word left out: the text stays where it is
                 np.minimum(following[:, :-1], cost[:, 1:] + 1, out=following[:, :-1])
@@ -220,31 +223,35 @@ class SeedIndex:
         chosen = chosen[once]
         place, item, diagonal = place[chosen] // STEP * STEP, item[chosen], diagonal[chosen]
         good, fits = np.zeros(len(place), dtype=bool), np.zeros((len(WINDOWS), len(place)), dtype=bool)
-        widest = sum(WINDOWS[-1])
+        widest, most = sum(WINDOWS[-1]), WINDOWS[-1][1]
         around = np.arange(-widest, widest + STEP)
-        for lo in range(0, len(place), 50_000):
+
+        def crowded(hits: np.ndarray, span: int, edits: int) -> np.ndarray:
+            """Rows with enough hits for ``span`` words and ``edits`` in some stretch of that many places."""
+            cut_off, width = widest - span - edits, span + edits
+            sums = np.cumsum(hits[:, cut_off : hits.shape[1] - cut_off], axis=1, dtype=np.int8)
+            return (sums[:, width:] - sums[:, :-width]).max(axis=1) >= span - edits
+
+        for lo in range(0, len(place), 20_000):
+            rows = np.arange(lo, min(lo + 20_000, len(place)))
             # of the words around, enough must be the item's at all
-            words = ids[np.clip(place[lo : lo + 50_000, None] + around, 0, len(ids) - 1)]
-            sums = np.cumsum(self.held[self._held_slot((item[lo : lo + 50_000] * self.size)[:, None] + words)], axis=1, dtype=np.int16)
+            words = ids[place[rows, None] + around]
+            held = self.held[self._held_slot(item[rows], words)]
+            by_rule = np.array([crowded(held, *rule) for rule in WINDOWS])
+            some = by_rule.any(axis=0)
+            rows, words, by_rule = rows[some], words[some], by_rule[:, some]
+            # and must stand where the item has them, give or take the edits
+            near = self.flat[(self.begins[item[rows]] + place[rows] - diagonal[rows])[:, None] + np.arange(-widest - most, widest + STEP + most)]
+            equal = near[:, most : most + len(around)] == words
+            shift = 0
             for r, (span, edits) in enumerate(WINDOWS):
-                cut_off, width = widest - span - edits, span + edits
-                part = sums[:, cut_off : sums.shape[1] - cut_off]
-                fits[r, lo : lo + 50_000] = (part[:, width:] - part[:, :-width]).max(axis=1) >= span - edits
+                while shift < edits:
+                    shift += 1
+                    equal |= near[:, most + shift : most + shift + len(around)] == words
+                    equal |= near[:, most - shift : most - shift + len(around)] == words
+                fits[r, rows] = by_rule[r] & crowded(equal, span, edits)
         for r, (span, edits) in enumerate(WINDOWS):
             some = np.flatnonzero(~good & fits[r])
-            width = span + edits
-            around = np.arange(-width, width + STEP)
-            # and must stand where the item has them, give or take the edits
-            words = ids[np.clip(place[some, None] + around, 0, len(ids) - 1)]
-            column = place[some, None] + around - diagonal[some, None]
-            np.clip(column, -MARGIN + edits, self.lengths[item[some], None] + MARGIN - 1 - edits, out=column)
-            column += self.begins[item[some], None]
-            equal = self.flat[column] == words
-            for shift in range(1, edits + 1):
-                equal |= self.flat[column + shift] == words
-                equal |= self.flat[column - shift] == words
-            sums = np.cumsum(equal, axis=1, dtype=np.int16)
-            some = some[(sums[:, width:] - sums[:, :-width]).max(axis=1) >= span - edits]
             good[some] = self._within_edits(ids, place[some], item[some], diagonal[some], span, edits)
         return place[good], item[good], (place - diagonal)[good]
 
