@@ -71,7 +71,7 @@ def edits_sql(a: str, b: str) -> str:
 def cascade_sql(p: str, values: str, entities: str, aliases: str, numeric: bool = True) -> str:
     """Common table expressions of the cascade over ``values(scope, value)``; the last, ``<p>hit``, has what it finds."""
     pairs = f"{p}l v join {aliases} a on a.scope = v.scope and a.k <> ''"
-    near = "3 * least(length(v.k), length(a.k)) >= 2 * greatest(length(v.k), length(a.k)) and (strlen(v.k) > length(v.k) or strlen(a.k) > length(a.k) or 5 * levenshtein(v.k, a.k) <= length(v.k) + length(a.k))"
+    near = "3 * least(length(v.k), length(a.k)) >= 2 * greatest(length(v.k), length(a.k)) and 5 * levenshtein(v.k, a.k) <= (length(v.k) + length(a.k)) * case when strlen(v.k) = length(v.k) and strlen(a.k) = length(a.k) then 1 when regexp_matches(v.k || a.k, '^[\\x{0}-\\x{7ff}]*$') then 2 else 4 end"
     return f"""
 {p}v as materialized (select scope, value, {n_sql('value')} as k from {values}),
 {p}e as materialized (select v.scope, v.value, min(e.id) as id from {p}v v join {entities} e on e.scope = v.scope and e.k = v.k where v.k <> '' group by all),
