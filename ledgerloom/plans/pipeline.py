@@ -65,7 +65,7 @@ def _known(tables: dict[str, DataFrame], kinds: Sequence[Kind]) -> tuple[DataFra
         named = named.unionByName(more.withColumn("ord", ord_(1, F.col("_o"))).select("scope", "entity_id", "alias", "ord"))
         entities = own if entities is None else entities.unionByName(own)
         aliases = named if aliases is None else aliases.unionByName(named)
-    return cut(entities), cut(aliases.where(clean_token(F.col("alias")) != ""))
+    return entities, aliases.where(clean_token(F.col("alias")) != "")
 
 
 def _next(dim: DataFrame, key: str) -> int:
@@ -196,13 +196,13 @@ def _named(hits: DataFrame, dim: DataFrame, key: str, columns: dict[str, str]) -
 
 
 def resolve_all(
-    rows: DataFrame, tables: dict[str, DataFrame], ask: Provider | None = None, enrich: Provider | None = None, config: Config = Config()
+    rows: DataFrame, tables: dict[str, DataFrame], ask: Provider | None = None, enrich: Provider | None = None, config: Config = Config(), learn: bool = True
 ) -> tuple[DataFrame, DataFrame, DataFrame, dict[str, DataFrame]]:
     """Report rows resolved by the whole cascade, what was found for each distinct value, the log of uncertain hits, and the master data after it.
 
     Every value goes through exact name, alias, short typo and likeness; what is left is asked of ``ask``, if there is one. Models are
     sought within their brand once brands are settled, number words as digits. Values found by typo, likeness or answer are learned as
-    aliases. ``enrich`` fills countries and motor types that entities found here lack. Only distinct values are resolved; the report rows
+    aliases, unless ``learn`` is false (the alias tables are then those that came in). ``enrich`` fills countries and motor types that entities found here lack. Only distinct values are resolved; the report rows
     are read for them and joined once with each field's answers.
     """
     tables = with_alias_tables(tables)
@@ -219,14 +219,14 @@ def resolve_all(
             more, after[kind.table], log = _external(left.where(F.col("scope") == kind.name), kind, after[kind.table], None, ask, config)
             hits, failures = hits.unionByName(more.withColumn("score", F.lit(None).cast("double"))), failures.unionByName(log)
         hits = cut(hits)
-    for kind in KINDS:
+    for kind in KINDS if learn else ():
         after[kind.aliases] = _learn(after[kind.aliases], hits.where(F.col("scope") == kind.name), kind.key)
 
     brand_hits = hits.where("scope = 'brand'").select(F.col("value").alias("brand"), F.col("entity_id").alias("scope"))
     brand_names = cut(after["dim_brand"].dropDuplicates(["brand_id"]).select(F.col("brand_id").alias("scope"), F.coalesce("canonical_name", F.lit("")).alias("brand_name")))
     pairs = cut(rows.where(clean_token(F.col("model")) != "").groupBy("brand", "model").agg(F.min("row_id").alias("ord")).join(brand_hits, "brand").join(brand_names, "scope"))
     pairs = pairs.withColumn("value", resolution.number_word_to_digit(clean_token(F.col("model")), F.col("brand_name")))
-    wanted = cut(pairs.groupBy("scope", "value").agg(F.min("ord").alias("ord"), F.first("brand_name").alias("brand_name")))
+    wanted = pairs.groupBy("scope", "value").agg(F.min("ord").alias("ord"), F.min("brand_name").alias("brand_name"))
     found = cut(resolution.scored_cascade(wanted.select("scope", "value"), *_known(tables, (MODEL,)), models=True, threshold=config.fuzzy_threshold))
     model_hits = found.where("entity_id is not null")
     if ask is not None:
@@ -234,7 +234,8 @@ def resolve_all(
         spelled = after["dim_brand"].select(normalize_text(F.col("canonical_name")).alias("_n")).unionByName(after["dim_brand_alias"].select(normalize_text(F.col("alias")).alias("_n"))).distinct()
         more, after["dim_model"], log = _external(left, MODEL, after["dim_model"], spelled, ask, config)
         model_hits, failures = cut(model_hits.unionByName(more.withColumn("score", F.lit(None).cast("double")))), failures.unionByName(log)
-    after["dim_model_alias"] = _learn(after["dim_model_alias"], model_hits, "model_id")
+    if learn:
+        after["dim_model_alias"] = _learn(after["dim_model_alias"], model_hits, "model_id")
 
     if enrich is not None:
         used = lambda h, key: h.select(F.col("entity_id").alias(key))
@@ -242,13 +243,13 @@ def resolve_all(
         after["dim_model"] = enriched(after["dim_model"], used(model_hits, "model_id"), "model_id", "motor_type", brand_names, enrich, config.min_confidence)
 
     def answers(scope: str, raw: str, kind: Kind, columns: dict[str, str]) -> DataFrame:
-        return cut(_named(hits.where(F.col("scope") == scope), after[kind.table], kind.key, columns).drop("scope", "stage", "score").withColumnsRenamed({"value": raw}))
+        return _named(hits.where(F.col("scope") == scope), after[kind.table], kind.key, columns).drop("scope", "stage", "score").withColumnsRenamed({"value": raw})
 
     brand_map = answers("brand", "brand", KINDS[0], {"canonical_name": "brand_canonical_name", "country": "brand_country"}).withColumnRenamed("entity_id", "brand_id")
     place_map = answers("governorate_city", "governorate", KINDS[1], {"canonical_name": "governorate_canonical_name"}).withColumnRenamed("entity_id", "governorate_id")
     type_map = answers("license_type", "license_type", KINDS[2], {"canonical_name": "license_type_canonical_name"}).withColumnRenamed("entity_id", "license_type_id")
     model_map = _named(pairs.select("brand", "model", "scope", "value").join(model_hits, ["scope", "value"]), after["dim_model"], "model_id", {"canonical_name": "model_canonical_name", "motor_type": "model_motor_type"})
-    model_map = cut(model_map.select("brand", "model", F.col("entity_id").alias("model_id"), "model_canonical_name", "model_motor_type"))
+    model_map = model_map.select("brand", "model", F.col("entity_id").alias("model_id"), "model_canonical_name", "model_motor_type")
     full = rows.join(brand_map, "brand", "left").join(place_map, "governorate", "left").join(type_map, "license_type", "left").join(model_map, ["brand", "model"], "left")
     resolved = full.select(
         "row_id", F.col("governorate").alias("Governorate"), F.col("license_type").alias("License Type"), F.col("brand").alias("Brand"), F.col("model").alias("Model"),

@@ -137,7 +137,7 @@ def run_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 def resolved(spark: SparkSession, d: str) -> DataFrame:
     """Report rows after the whole cascade."""
     tables = run_tables(spark, d)
-    return pipeline.resolve_all(tables["report_rows"], tables)[0]
+    return pipeline.resolve_all(tables["report_rows"], tables, learn=False)[0]
 
 
 def places(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -15,7 +15,7 @@ def resolve_stream(spark: SparkSession, folder: str, schema: StructType, dimensi
     A batch that is run again overwrites its own output, so every file counts exactly once.
     """
     def load(rows: DataFrame, batch: int) -> None:
-        resolve_all(rows, dimensions)[0].write.mode("overwrite").parquet(f"{out}/batch={batch}")
+        resolve_all(rows, dimensions, learn=False)[0].write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
     stream = spark.readStream.schema(schema).parquet(folder)
     return stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
