@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from ledgerloom.functions.similarity import lcs_length, ratio
+from ledgerloom.functions.similarity import lcs_length, nearest, ratio
 from ledgerloom.functions.text import clean_token, fold, normalize_text
 from ledgerloom.operators import dimensions, resolution, sequences
 from pyspark.sql import functions as F
@@ -75,6 +75,42 @@ def test_fuzzy_candidates_lose_nothing(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("longest", [4, 14, 90, 300])
+def test_nearest_is_brute_force(longest):
+    rng = random.Random(longest)
+    word = lambda: "".join(rng.choice("abcdefgh é\u0627\U0001d4b3") for _ in range(rng.randint(0, longest)))
+    names = [word() for _ in range(40)]
+    values = [word() for _ in range(20)] + [x[: len(x) // 2] + word()[:2] + x[len(x) // 2 + 1 :] for x in names] + names[:5]
+    for threshold, first in ((80, 90), (80, 80), (60, 90), (95, 90)):
+        want = set()
+        for i, x in enumerate(values):
+            scores = [(ratio(x, y), j) for j, y in enumerate(names) if x and y]
+            best = max(s for s, _ in scores) if scores else 0
+            want |= {(i, j, s) for s, j in scores if s == best >= threshold}
+        assert set(zip(*(x.tolist() for x in nearest(values, names, threshold, first)), strict=True)) == want
+    assert [len(x) for x in (*nearest([], names, 80), *nearest(values, [], 80))] == [0] * 6
+
+
+def test_fuzzy_match_over_blocks(spark, monkeypatch):
+    """Many spellings of few names: sought once each, over several blocks of both sides, ties across blocks to the alias known first."""
+    monkeypatch.setattr(resolution, "VALUE_BLOCK", 3)
+    monkeypatch.setattr(resolution, "ALIAS_BLOCK", 2)
+    names = ["corolla cross", "corolla crosa", "corolla crosb", "yaris hatch", "land cruiser"]
+    a = spark.createDataFrame([(s, f"{s}{i}", x, i) for s in "xy" for i, x in enumerate(names)], "scope string, entity_id string, alias string, ord int")
+    asked = ["corolla crosz", "yaris hatcg", "lnd cruiser", "sunny", "corola cross", "yari hatch", "land cruser", "corolla crozs"]
+    values = sorted({("x", form(x) + end) for x in asked for form in (str, str.upper, str.title) for end in ("", ".", " -", "  ")} | {("z", "yaris hatch")})
+    got = {(r.scope, r.value): (r.entity_id, r.score) for r in resolution.fuzzy_match(spark.createDataFrame(values, "scope string, value string"), a).collect()}
+    want = {}
+    for scope, value in values:
+        plain = value.lower().strip(" .-")
+        best, i = max((ratio(plain, y), -i) for i, y in enumerate(names))
+        if scope == "x" and best >= 80:
+            want[scope, value] = (f"x{-i}", best)
+    assert got == want and len({v for v, _ in want.values()}) == 3
+    pairs = resolution.dealt(spark.createDataFrame(values, "scope string, value string"), a)
+    assert pairs[0].where("scope = 'x'").select("v").distinct().count() == len(asked)
+
+
 def test_align_answers(spark):
     requests = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "i int, raw string")
     answers = spark.createDataFrame([(0, 1, "x"), (0, 2, "y"), (2, 1, None), (7, 1, "z")], "i int, o int, name string")
