@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ledgerloom.config import Config, load_config
 from ledgerloom.operators import dimensions, provider
 from ledgerloom.plans import jobs, pipeline
+from ledgerloom.queries import reference
 from ledgerloom.sources import master
 from ledgerloom.streaming import filedrop
 
@@ -185,3 +186,15 @@ def test_config():
     for bad in ({"LEDGERLOOM_BATCH_SIZE": "0"}, {"LEDGERLOOM_FILTER_PRIVATE": "maybe"}, {"LEDGERLOOM_FUZZY_THRESHOLD": "101"}):
         with pytest.raises(ValueError):
             load_config(bad)
+
+
+def test_queries_that_show_no_aliases_learn_none(spark, monkeypatch):
+    def learned(*_):
+        raise AssertionError("aliases were learned and numbered for nothing")
+
+    monkeypatch.setattr(pipeline, "_learn", learned)
+    monkeypatch.setattr(reference, "run_tables", lambda spark, _: tables(spark))
+    for name in ("cascade_all_types", "low_confidence_log", "fact_build", "fact_attributes", "eav_unpivot"):
+        assert reference.QUERIES[name](spark, "").columns
+    with pytest.raises(AssertionError, match="for nothing"):
+        reference.QUERIES["alias_learning"](spark, "")
