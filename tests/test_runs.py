@@ -198,3 +198,21 @@ def test_queries_that_show_no_aliases_learn_none(spark, monkeypatch):
         assert reference.QUERIES[name](spark, "").columns
     with pytest.raises(AssertionError, match="for nothing"):
         reference.QUERIES["alias_learning"](spark, "")
+
+
+SHOWN = [
+    ("filter_private_class", {"license_type"}, [(1, "L1"), (3, "L1")]),
+]
+
+
+@pytest.mark.parametrize(("name", "scopes", "rows"), SHOWN)
+def test_queries_seek_only_the_fields_they_show(spark, monkeypatch, name, scopes, rows):
+    sought, cascade = set(), pipeline.resolution.scored_cascade
+
+    def seen(values, *rest, **named):
+        sought.update(r.scope for r in values.select("scope").distinct().collect())
+        return cascade(values, *rest, **named)
+
+    monkeypatch.setattr(reference, "run_tables", lambda spark, _: tables(spark))
+    monkeypatch.setattr(pipeline.resolution, "scored_cascade", seen)
+    assert sorted(map(tuple, reference.QUERIES[name](spark, "").collect())) == rows and sought == scopes
