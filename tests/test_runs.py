@@ -202,6 +202,7 @@ def test_queries_that_show_no_aliases_learn_none(spark, monkeypatch):
 
 SHOWN = [
     ("filter_private_class", {"license_type"}, [(1, "L1"), (3, "L1")]),
+    ("model_requests_distinct", {"brand"}, [("B1", "corolla", "Corolla", 1), ("B1", "yaris", "Yaris", 3)]),
 ]
 
 
