@@ -204,6 +204,7 @@ SHOWN = [
     ("filter_private_class", {"license_type"}, [(1, "L1"), (3, "L1")]),
     ("model_requests_distinct", {"brand"}, [("B1", "corolla", "Corolla", 1), ("B1", "yaris", "Yaris", 3)]),
     ("filter_metadata_complete", {"brand", "B1"}, [(1, "Japan", "Petrol"), (2, "Japan", "Petrol")]),
+    ("missing_metadata_unpivot", {"brand", "B1"}, [("Toyota", "Yaris", "model_motor_type")]),
 ]
 
 
