@@ -4,6 +4,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
+from ledgerloom.functions import similarity
 from ledgerloom.functions.similarity import lcs_length, nearest, ratio
 from ledgerloom.functions.text import clean_token, fold, normalize_text
 from ledgerloom.operators import dimensions, resolution, sequences
@@ -91,6 +92,27 @@ def test_nearest_is_brute_force(longest):
     assert [len(x) for x in (*nearest([], names, 80), *nearest(values, [], 80))] == [0] * 6
 
 
+def test_letters_are_counted_for_few_pairs(monkeypatch):
+    """Most pairs are settled by one machine word, and nothing is lost by it."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(9, 16)))
+    names = [word() for _ in range(300)]
+    values = [word() for _ in range(200)] + [x[1:] + "q" for x in names[:50]]
+    met, places = [], similarity._places
+    monkeypatch.setattr(similarity, "_places", lambda close: met.append(places(close)) or met[-1])
+    got = {(i, j) for i, j, _ in zip(*(x.tolist() for x in nearest(values, names, 80)), strict=True)}
+    best = [(max(ratio(x, y) for y in names), x) for x in values]
+    assert got == {(i, j) for i, (b, x) in enumerate(best) if b >= 80 for j, y in enumerate(names) if ratio(x, y) == b}
+    assert sum(len(at[0]) for at in met) < len(values) * len(names) / 20
+
+
+def test_number_words_are_those_of_the_expression(spark):
+    models = ["MG One", "one", "MG one", "Zone", "mg-ten", "MG  Seven", "Onex", "MGEight", "MG THREE", "x six", "", "7", "MG\u00a0Nine"]
+    df = spark.createDataFrame([(m, b) for m in models for b in ("MG", "")], "m string, b string").withColumn("f", F.lower("b"))
+    got = resolution.with_number_words(df, "m", "f", "v").select("m", "b", "v", resolution.number_word_to_digit(F.col("m"), F.col("b")).alias("want")).collect()
+    assert all(r.v == r.want for r in got) and {r.m for r in got if r.v != r.m} == {"MG One", "one", "MG one", "MG  Seven", "MGEight", "MG THREE", "MG\u00a0Nine"}
+
+
 def test_fuzzy_match_over_blocks(spark, monkeypatch):
     """Many spellings of few names: sought once each, over several blocks of both sides, ties across blocks to the alias known first."""
     monkeypatch.setattr(resolution, "VALUE_BLOCK", 3)

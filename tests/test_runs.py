@@ -219,3 +219,36 @@ def test_queries_seek_only_the_fields_they_show(spark, monkeypatch, name, scopes
     monkeypatch.setattr(reference, "run_tables", lambda spark, _: tables(spark))
     monkeypatch.setattr(pipeline.resolution, "scored_cascade", seen)
     assert sorted(map(tuple, reference.QUERIES[name](spark, "").collect())) == rows and sought == scopes
+
+
+UNATTACHED = [
+    ("row_count_metrics", [(4, 3)]),
+]
+
+
+@pytest.mark.parametrize(("name", "rows"), UNATTACHED)
+def test_queries_of_ids_attach_nothing_else(spark, monkeypatch, name, rows):
+    def attached(*_):
+        raise AssertionError("columns of the lists were joined for nothing")
+
+    monkeypatch.setattr(reference, "run_tables", lambda spark, _: tables(spark))
+    monkeypatch.setattr(pipeline, "_named", attached)
+    assert sorted(map(tuple, reference.QUERIES[name](spark, "").collect())) == rows
+
+
+def test_filtered_projection_shuffles_rows_for_models_alone(spark, monkeypatch):
+    """Few answers are sent to the rows, models are cleaned once grouped; the rows are the same where the answers are too many to send."""
+    written, cut = [], pipeline.cut
+    monkeypatch.setattr(reference, "run_tables", lambda spark, _: tables(spark))
+    monkeypatch.setattr(pipeline, "cut", lambda df: written.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
+    got = []
+    for most in (pipeline.SENT_ROWS, 0):
+        monkeypatch.setattr(pipeline, "SENT_ROWS", most)
+        df = reference.QUERIES["filtered_projection"](spark, "")
+        got.append(sorted(map(str, df.collect())))
+        if most:
+            assert df._jdf.queryExecution().optimizedPlan().toString().count("rightHint=(strategy=broadcast)") == 3
+    assert got[0] == got[1] and len(got[0]) == 4
+    pairs = next(p for p in written if "_cleaned" in p and "model" in p)
+    below = pairs[pairs.index("Aggregate") :]
+    assert "regexp_replace" in pairs and "regexp_replace" not in below[: below.index("LogicalRDD")]
