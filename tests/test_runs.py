@@ -223,6 +223,7 @@ def test_queries_seek_only_the_fields_they_show(spark, monkeypatch, name, scopes
 
 UNATTACHED = [
     ("row_count_metrics", [(4, 3)]),
+    ("filter_essential_ids", [(1,), (2,), (3,)]),
     ("resolution_stats", [("brand", 3, 1), ("governorate", 3, 1), ("license_type", 3, 1), ("model", 3, 1)]),
 ]
 
