@@ -150,3 +150,23 @@ def test_numbers_upserts(spark):
     assert sorted(map(tuple, dimensions.merge_upsert(once, source, "k").collect())) == sorted(map(tuple, once.collect()))
     ids = dimensions.surrogate_ids(spark.createDataFrame([("n", 5), ("m", 1), ("n", 2), (None, 0)], "name string, o int"), "name", "o", "brand", 99_999)
     assert sorted(map(tuple, ids.collect())) == [("BR100000", "n"), ("BR99999", "m")]
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_text_join_is_the_join_on_texts_even_where_numbers_are_equal(spark, monkeypatch, how):
+    left = spark.createDataFrame([("s", "a", 1), ("s", "a", 2), ("s", "b", 3), ("t", "a", 4), (None, "a", 5), ("s", None, 6), ("s", "A", 7)], "scope string, value string, n int")
+    right = spark.createDataFrame([("s", "a", "x"), ("t", "a", "y"), (None, "a", "z"), ("s", None, "w"), ("s", "ab", "v")], "scope string, value string, id string")
+    rows = lambda df: sorted(df.select("n", "scope", "value", "id").collect(), key=str)
+    plain = rows(left.join(right, ["scope", "value"], how))
+    assert rows(resolution.text_join(left, right, ["scope", "value"], how)) == plain
+    monkeypatch.setattr(resolution.F, "xxhash64", lambda *_: F.lit(1).cast("bigint"))
+    assert rows(resolution.text_join(left, right, ["scope", "value"], how)) == plain
+
+
+def test_normalized_values_give_what_their_values_give(spark):
+    values = spark.createDataFrame([("b", v) for v in ("Corolla", "corolla!", "YARIS", "corola x", "yari", "zzzzzzzz", "--")], "scope string, value string")
+    entities = spark.createDataFrame([("b", "M1", "Corolla"), ("b", "M2", "Yaris")], "scope string, entity_id string, name string")
+    aliases = entities.select("scope", "entity_id", F.col("name").alias("alias"), F.lit(0).cast("bigint").alias("ord"))
+    plain = resolution.scored_cascade(values, entities, aliases, models=True).where("entity_id is not null").withColumn("value", normalize_text(F.col("value"))).distinct()
+    short = resolution.scored_cascade(values.withColumn("value", normalize_text(F.col("value"))), entities, aliases, models=True, normalized=True)
+    assert sorted(map(tuple, short.collect())) == sorted(map(tuple, plain.select(*short.columns).collect())) and short.count() == 4

@@ -1,4 +1,5 @@
 import json
+import re
 from datetime import date
 
 import pytest
@@ -254,3 +255,17 @@ def test_filtered_projection_shuffles_rows_for_models_alone(spark, monkeypatch):
     pairs = next(p for p in written if "_cleaned" in p and "model" in p)
     below = pairs[pairs.index("Aggregate") :]
     assert "regexp_replace" in pairs and "regexp_replace" not in below[: below.index("LogicalRDD")]
+
+
+def test_filtered_projection_groups_models_by_brand_id_and_joins_by_number(spark, monkeypatch):
+    """A brand spelled in two ways gives a model one row, whether brands are sent to the rows or not; no join of rows sorts by names of models."""
+    written, cut = [], pipeline.cut
+    monkeypatch.setattr(reference, "run_tables", lambda spark, _: tables(spark))
+    monkeypatch.setattr(pipeline, "cut", lambda df: written.append(cut(df)) or written[-1])
+    for most in (pipeline.SENT_ROWS, 0):
+        monkeypatch.setattr(pipeline, "SENT_ROWS", most)
+        df = reference.QUERIES["filtered_projection"](spark, "")
+        pairs = next(w for w in reversed(written) if "model" in w.columns)
+        assert sorted((r.scope, r.model) for r in pairs.collect()) == [("B1", "Corolla"), ("B1", "Yaris")]
+        assert not re.search(r"model#\d+ = ", df._jdf.queryExecution().optimizedPlan().toString())
+        assert sorted((r.row_id, r.brand_country, r.model_canonical_name) for r in df.collect()) == [(1, "Japan", "Corolla"), (2, "Japan", "Corolla"), (3, "Japan", "Yaris"), (4, None, None)]
